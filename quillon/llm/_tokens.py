@@ -6,6 +6,7 @@ from __future__ import annotations
 from collections.abc import Callable, Iterator
 
 import pyarrow as pa
+import pyarrow.compute as pc
 
 #: Entries that a cache keeps at most, and characters of a pre-token worth keeping.
 CACHE_ENTRIES = 1_000_000
@@ -16,7 +17,7 @@ SLICE_CHARS = 4_000_000
 
 def slices(batch: pa.RecordBatch, text: str = "text") -> Iterator[tuple[pa.RecordBatch, list[str]]]:
     """The batch in slices of about SLICE_CHARS, with their texts (null: empty)."""
-    sizes = pa.compute.fill_null(pa.compute.binary_length(batch.column(text)), 0).to_pylist()
+    sizes = pc.fill_null(pc.binary_length(batch.column(text)), 0).to_pylist()
     start = total = 0
     for i, n in enumerate(sizes):
         if i > start and total + n > SLICE_CHARS:

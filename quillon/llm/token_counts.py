@@ -15,6 +15,7 @@ from collections import Counter
 from collections.abc import Iterator
 
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -75,7 +76,7 @@ def token_counts(docs: DataFrame, model_file: str, limit: int = 4096, id_col: st
         for batch in batches:
             for part, texts in slices(batch):
                 n = pa.array(counter.count(texts), pa.int64())
-                size = pa.compute.fill_null(pa.compute.cast(pa.compute.binary_length(part.column("text")), pa.int64()), 0)
-                yield pa.RecordBatch.from_arrays([part.column("doc_id"), size, n, pa.compute.greater(n, limit)], names=["doc_id", "n_bytes", "n_tokens", "over_limit"])
+                size = pc.fill_null(pc.cast(pc.binary_length(part.column("text")), pa.int64()), 0)
+                yield pa.RecordBatch.from_arrays([part.column("doc_id"), size, n, pc.greater(n, limit)], names=["doc_id", "n_bytes", "n_tokens", "over_limit"])
 
     return rows.mapInArrow(run, "doc_id long, n_bytes long, n_tokens long, over_limit boolean")
