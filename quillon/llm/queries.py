@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 
 from quillon.llm.packing import pack_documents
 from quillon.llm.piece_codec import piece_digests
+from quillon.llm.simhash import edited_fingerprints
 from quillon.llm.token_counts import token_counts
 
 
@@ -21,6 +22,10 @@ def op1_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_counts(_table(spark, sf_dir, "documents"), public_tokenizers.path("piece_bpe_32k.model"))
 
 
+def op3_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return edited_fingerprints(_table(spark, sf_dir, "documents"))
+
+
 def op6_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pack_documents(_table(spark, sf_dir, "documents"), public_tokenizers.path("word_bpe_49k.json"))
 
@@ -30,7 +35,7 @@ def op9_piece_codec(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_token_counts, op6_best_fit_packing, op9_piece_codec)}
+    return {f.__name__: f for f in (op1_token_counts, op3_fingerprints, op6_best_fit_packing, op9_piece_codec)}
 
 
 def oracle_sql() -> dict[str, str]:
