@@ -10,8 +10,10 @@ from pyspark.sql import functions as F
 
 from quillon.llm.packing import pack_documents
 from quillon.llm.piece_codec import piece_digests
+from quillon.llm.quality import score_quality, train_quality
 from quillon.llm.simhash import edited_fingerprints
 from quillon.llm.token_counts import token_counts
+from quillon.llm.toxicity import score_toxicity, train_toxicity
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -26,16 +28,26 @@ def op3_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
     return edited_fingerprints(_table(spark, sf_dir, "documents"))
 
 
+def op4_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = _table(spark, sf_dir, "documents")
+    return score_toxicity(docs, train_toxicity(docs, _table(spark, sf_dir, "labels")))
+
+
 def op6_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pack_documents(_table(spark, sf_dir, "documents"), public_tokenizers.path("word_bpe_49k.json"))
 
 
+def op7_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = _table(spark, sf_dir, "documents")
+    return score_quality(docs, train_quality(docs, _table(spark, sf_dir, "labels")))
+
+
 def op9_piece_codec(spark: SparkSession, sf_dir: str) -> DataFrame:
     return piece_digests(_table(spark, sf_dir, "documents"), public_tokenizers.path("piece_bpe_32k.model"))
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_token_counts, op3_fingerprints, op6_best_fit_packing, op9_piece_codec)}
+    return {f.__name__: f for f in (op1_token_counts, op3_fingerprints, op4_toxicity, op6_best_fit_packing, op7_quality, op9_piece_codec)}
 
 
 def oracle_sql() -> dict[str, str]:
