@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quillon.llm import line_dedup
+from quillon.llm import exact_search, line_dedup
 from quillon.llm.packing import pack_documents
 from quillon.llm.piece_codec import piece_digests
 from quillon.llm.quality import score_quality, train_quality
@@ -47,13 +47,17 @@ def op7_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return score_quality(docs, train_quality(docs, _table(spark, sf_dir, "labels")))
 
 
+def op8_exact_top_k(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return exact_search.top_k(_table(spark, sf_dir, "embeddings"))
+
+
 def op9_piece_codec(spark: SparkSession, sf_dir: str) -> DataFrame:
     return piece_digests(_table(spark, sf_dir, "documents"), public_tokenizers.path("piece_bpe_32k.model"))
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_token_counts, op3_fingerprints, op4_toxicity, op5_line_dedup, op6_best_fit_packing, op7_quality, op9_piece_codec)}
+    return {f.__name__: f for f in (op1_token_counts, op3_fingerprints, op4_toxicity, op5_line_dedup, op6_best_fit_packing, op7_quality, op8_exact_top_k, op9_piece_codec)}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op5_line_dedup": line_dedup.ORACLE_SQL}
+    return {"op5_line_dedup": line_dedup.ORACLE_SQL, "op8_exact_top_k": exact_search.ORACLE_SQL}
