@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quillon.llm import exact_search, line_dedup
+from quillon.llm import exact_search, line_dedup, substring_dedup
 from quillon.llm.packing import pack_documents
 from quillon.llm.piece_codec import piece_digests
 from quillon.llm.quality import score_quality, train_quality
@@ -55,9 +55,13 @@ def op9_piece_codec(spark: SparkSession, sf_dir: str) -> DataFrame:
     return piece_digests(_table(spark, sf_dir, "documents"), public_tokenizers.path("piece_bpe_32k.model"))
 
 
+def op10_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return substring_dedup.substring_digests(_table(spark, sf_dir, "documents"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_token_counts, op3_fingerprints, op4_toxicity, op5_line_dedup, op6_best_fit_packing, op7_quality, op8_exact_top_k, op9_piece_codec)}
+    return {f.__name__: f for f in (op1_token_counts, op3_fingerprints, op4_toxicity, op5_line_dedup, op6_best_fit_packing, op7_quality, op8_exact_top_k, op9_piece_codec, op10_substring_dedup)}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op5_line_dedup": line_dedup.ORACLE_SQL, "op8_exact_top_k": exact_search.ORACLE_SQL}
+    return {"op5_line_dedup": line_dedup.ORACLE_SQL, "op8_exact_top_k": exact_search.ORACLE_SQL, "op10_substring_dedup": substring_dedup.ORACLE_SQL}
