@@ -1,15 +1,70 @@
-"""A corpus pipeline of the operators in quillon.llm; filled in below as they are built."""
+"""A corpus pipeline: quality, line dedup, near-duplicate documents, repeated passages, packing.
+
+Each stage works on all rows of the stage before it. All but the last return the columns of
+`documents`; where a stage changes a text, n_chars is counted again.
+"""
 
 from __future__ import annotations
 
+import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from quillon.llm._shared import checkpointed, measured
+from quillon.llm.jaccard_join import jaccard_join
+from quillon.llm.line_dedup import dedup_lines
+from quillon.llm.packing import pack_documents
+from quillon.llm.quality import train_quality, with_quality
+from quillon.llm.substring_dedup import dedup_substrings
+
+
+def _recounted(docs: DataFrame, columns: list[str]) -> DataFrame:
+    """The columns, with n_chars (where there is one) as the text now has it."""
+    return docs.select(*[F.char_length("text").cast("long").alias(c) if c == "n_chars" else F.col(c) for c in columns])
+
+
+def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """The documents that the quality classifier, trained on the labelled ones among them, accepts."""
+    model = train_quality(docs, spark.read.parquet(f"{sf_dir}/labels.parquet"))
+    return with_quality(docs, model).where("predicted = 1").select(*docs.columns)
+
+
+def line_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """All documents, without the lines of repeated three-line windows."""
+    return _recounted(dedup_lines(docs), docs.columns)
+
+
+def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """The smallest doc_id of each group of documents that links of similarity 0.8 or more connect.
+
+    Rows without an id belong to no group and stay.
+    """
+    others = jaccard_join(docs).where("doc_id <> class_id").select(F.col("doc_id").alias("__other")).distinct()
+    others = measured(checkpointed(others), F.lit(16))
+    return docs.join(others, docs["doc_id"].cast("long") == others["__other"], "left_anti").select(*docs.columns)
+
+
+def substring_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """All documents, without the words of 13-word sequences that a smaller doc_id has too."""
+    return _recounted(dedup_substrings(docs), docs.columns)
+
+
+def packing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """The pieces of all documents, each with its place in a sequence of 4096 tokens."""
+    return pack_documents(docs, public_tokenizers.path("word_bpe_49k.json"))
+
+
+STAGES = [("quality", quality), ("line_dedup", line_dedup), ("near_duplicates", near_duplicates), ("substring_dedup", substring_dedup), ("packing", packing)]
 
-STAGES: list = []
+#: The first stage is a trained model, which SQL cannot express; tests hold the stages against brute force.
 ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The stages over the whole table documents, each one's result kept in the shared folder."""
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
-    for _, stage in STAGES:
+    for name, stage in STAGES:
         docs = stage(spark, docs, sf_dir)
+        if name != STAGES[-1][0]:
+            docs = checkpointed(docs)
     return docs

@@ -98,3 +98,10 @@ def score_quality(docs: DataFrame, model: bytes, threshold: float = 0.3, id_col:
     """
     rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), (fold(id_col) == 0).alias("held_out"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
     return scored(rows, model, load, score, threshold, "doc_id long, held_out boolean", ["doc_id", "held_out"])
+
+
+def with_quality(docs: DataFrame, model: bytes, threshold: float = 0.3, text_col: str = "text") -> DataFrame:
+    """docs with every column, and score and predicted beside them; columns of docs of these names are replaced."""
+    plain = docs.drop("score", "predicted")
+    schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in plain.schema.fields)
+    return scored(plain, model, load, score, threshold, schema, plain.columns, text_col)

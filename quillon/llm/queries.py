@@ -9,6 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from quillon.llm import exact_search, line_dedup, substring_dedup
+from quillon.llm.jaccard_join import jaccard_join
 from quillon.llm.packing import pack_documents
 from quillon.llm.piece_codec import piece_digests
 from quillon.llm.quality import score_quality, train_quality
@@ -25,6 +26,10 @@ def op1_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_counts(_table(spark, sf_dir, "documents"), public_tokenizers.path("piece_bpe_32k.model"))
 
 
+def op2_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return jaccard_join(_table(spark, sf_dir, "documents"))
+
+
 def op3_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
     return edited_fingerprints(_table(spark, sf_dir, "documents"))
 
@@ -60,7 +65,7 @@ def op10_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_token_counts, op3_fingerprints, op4_toxicity, op5_line_dedup, op6_best_fit_packing, op7_quality, op8_exact_top_k, op9_piece_codec, op10_substring_dedup)}
+    return {f.__name__: f for f in (op1_token_counts, op2_jaccard_join, op3_fingerprints, op4_toxicity, op5_line_dedup, op6_best_fit_packing, op7_quality, op8_exact_top_k, op9_piece_codec, op10_substring_dedup)}
 
 
 def oracle_sql() -> dict[str, str]:

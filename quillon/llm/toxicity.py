@@ -106,14 +106,17 @@ def score_toxicity(docs: DataFrame, model: bytes, threshold: float = 0.5, id_col
     return scored(rows, model, load, score, threshold, "doc_id long, held_out boolean", ["doc_id", "held_out"])
 
 
-def scored(rows: DataFrame, model: bytes, load, score, threshold: float, schema: str, names: list[str]) -> DataFrame:
-    """rows' columns `names`, then score and predicted of their text, by slices of bounded size."""
+def scored(rows: DataFrame, model: bytes, load, score, threshold: float, schema, names: list[str], text: str = "text") -> DataFrame:
+    """rows' columns `names`, then score and predicted of their text (null: empty), by slices of bounded size.
+
+    schema: of the columns `names`, as a string.
+    """
     shared = rows.sparkSession.sparkContext.broadcast(model)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         parameters = load(shared.value)
         for batch in batches:
-            texts = batch.column("text").to_pylist()
+            texts = ["" if t is None else t for t in batch.column(text).to_pylist()]
             start = total = 0
             for i in range(len(texts) + 1):
                 n = len(texts[i]) if i < len(texts) else 0
