@@ -4,12 +4,519 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import functions as F
 
+from quillon.functions import dates as D
+from quillon.functions import numbers as N
+from quillon.functions import text as X
+from quillon.operators import blocks, compare, dependency, derive, labels, profile, sequence
 
-def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {}
+Query = Callable[[SparkSession, str], DataFrame]
+
+_QUERIES: dict[str, Query] = {}
+_SQL: dict[str, str] = {}
+
+LINEITEM = ["l_orderkey", "l_partkey", "l_suppkey", "l_linenumber", "l_quantity", "l_extendedprice", "l_discount", "l_tax", "l_returnflag", "l_linestatus", "l_shipdate"]
+ORDERS = ["o_orderkey", "o_custkey", "o_orderstatus", "o_totalprice", "o_orderdate", "o_orderpriority"]
+EVENTS = ["event_id", "ts", "user_id", "event_type", "value", "props"]
+DOCUMENTS = ["doc_id", "text", "lang", "source", "n_chars"]
+DICTIONARIES = ["l_discount", "l_linestatus", "l_returnflag", "l_shipdate", "l_tax"]
+ROWS = 4096
+
+
+def query(sql: str | None = None):
+    def add(f: Query) -> Query:
+        _QUERIES[f.__name__] = f
+        if sql is not None:
+            _SQL[f.__name__] = sql
+        return f
+
+    return add
+
+
+def _t(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+
+
+def _rows(spark: SparkSession, sf_dir: str, name: str, key: str) -> DataFrame:
+    """A table whose key numbers its rows from 0, in blocks."""
+    return sequence.with_blocks(_t(spark, sf_dir, name).withColumn("rid", F.col(key).cast("long")), ROWS)
+
+
+def _melt(table: str, names: list[str]) -> str:
+    return " UNION ALL ".join(f"SELECT {i} AS position, '{c}' AS col, coalesce(CAST({c} AS VARCHAR), '') AS cell FROM {table}" for i, c in enumerate(names))
+
+
+_BLOCK = f"{{key}} // {ROWS}"
+_PLAIN = r"regexp_full_match(cell, '-?[0-9]+(\.[0-9]+)?')"
+_DEC = rf"CASE WHEN {_PLAIN} THEN length(regexp_extract(cell, '\.([0-9]+)$', 1)) END"
+_MANT = rf"CASE WHEN {_PLAIN} AND abs(TRY_CAST(replace(cell, '.', '') AS HUGEINT)) < 4611686018427387904 THEN TRY_CAST(replace(cell, '.', '') AS BIGINT) END"
+_CANON = rf"coalesce(regexp_full_match(cell, '-?(0|[1-9][0-9]*)(\.[0-9]+)?') AND NOT regexp_full_match(cell, '-0(\.0+)?') AND ({_MANT}) IS NOT NULL, false)"
+
+
+def _profile_sql(table: str, names: list[str]) -> str:
+    return f"""WITH m AS ({_melt(table, names)}), c AS (SELECT position, col, cell, count(*) AS n FROM m GROUP BY ALL)
+SELECT position, col, CAST(sum(n) AS BIGINT) AS n, count(*) AS n_distinct, CAST(sum(CASE WHEN {_PLAIN} THEN n ELSE 0 END) AS BIGINT) AS n_plain,
+  CAST(sum(CASE WHEN {_CANON} THEN n ELSE 0 END) AS BIGINT) AS n_canonical, min({_DEC}) AS min_dec, max({_DEC}) AS max_dec, max(abs({_MANT})) AS max_abs,
+  CAST(sum(CASE WHEN contains(cell, chr(10)) THEN n ELSE 0 END) AS BIGINT) AS n_newline, CAST(sum(CASE WHEN contains(cell, chr(1)) OR contains(cell, chr(2)) THEN n ELSE 0 END) AS BIGINT) AS n_marker,
+  CAST(sum(strlen(cell) * n) AS BIGINT) AS n_bytes FROM c GROUP BY position, col"""
+
+
+def _classify_sql(table: str, names: list[str]) -> str:
+    return f"""WITH p AS ({_profile_sql(table, names)}), k AS (SELECT *, n > 0 AND n_canonical = n AND min_dec = max_dec AS num FROM p)
+SELECT position, col, CASE WHEN num THEN 'NUM' WHEN n_distinct <= least(65536, greatest(n, 2) // 2) THEN 'DICT' ELSE 'TEXT' END AS kind,
+  CASE WHEN num THEN max_dec END AS dec, n, n_distinct FROM k"""
+
+
+# -- column model -----------------------------------------------------------------
+
+
+@query(_classify_sql("lineitem", LINEITEM))
+def classify_columns(spark, sf_dir):
+    return profile.classified(profile.column_profile(_t(spark, sf_dir, "lineitem")))
+
+
+@query(_classify_sql("orders", ORDERS))
+def classify_orders(spark, sf_dir):
+    return profile.classified(profile.column_profile(_t(spark, sf_dir, "orders")))
+
+
+@query(_profile_sql("events", EVENTS))
+def profile_columns(spark, sf_dir):
+    return profile.column_profile(_t(spark, sf_dir, "events"))
+
+
+@query(f"WITH m AS ({_melt('documents', DOCUMENTS)}) SELECT col, bool_or(contains(cell, chr(10))) AS has_newline FROM m GROUP BY col")
+def newline_columns(spark, sf_dir):
+    return profile.column_profile(_t(spark, sf_dir, "documents")).select("col", (F.col("n_newline") > 0).alias("has_newline"))
+
+
+@query(f"WITH m AS ({_melt('documents', DOCUMENTS)}) SELECT col, bool_or(contains(cell, chr(1)) OR contains(cell, chr(2))) AS has_marker FROM m GROUP BY col")
+def marker_columns(spark, sf_dir):
+    return profile.column_profile(_t(spark, sf_dir, "documents")).select("col", (F.col("n_marker") > 0).alias("has_marker"))
+
+
+@query(f"WITH m AS ({_melt('lineitem', LINEITEM)}) SELECT col, count(*) FILTER (WHERE {_CANON}) AS n_canonical FROM m GROUP BY col")
+def numeric_canonical_count(spark, sf_dir):
+    return profile.column_profile(_t(spark, sf_dir, "lineitem")).select("col", "n_canonical")
+
+
+@query(f"""WITH m AS ({_melt('events', EVENTS)}), d AS (SELECT col, {_DEC} AS dec FROM m), c AS (SELECT col, dec, count(*) AS n_cells FROM d WHERE dec IS NOT NULL GROUP BY ALL)
+SELECT col, dec, n_cells FROM c QUALIFY row_number() OVER (PARTITION BY col ORDER BY n_cells DESC, dec) = 1""")
+def modal_decimals(spark, sf_dir):
+    return profile.modal_decimals(_t(spark, sf_dir, "events"))
+
+
+@query("SELECT 'l_discount' AS col, CASE WHEN count(DISTINCT l_discount) <= 256 THEN 1 WHEN count(DISTINCT l_discount) <= 65536 THEN 2 ELSE 4 END AS width FROM lineitem UNION ALL SELECT 'l_shipdate', CASE WHEN count(DISTINCT l_shipdate) <= 256 THEN 1 WHEN count(DISTINCT l_shipdate) <= 65536 THEN 2 ELSE 4 END FROM lineitem")
+def dict_width(spark, sf_dir):
+    p = profile.column_profile(_t(spark, sf_dir, "lineitem").select("l_discount", "l_shipdate"))
+    return p.select("col", F.when(F.col("n_distinct") <= 256, 1).when(F.col("n_distinct") <= 65536, 2).otherwise(4).alias("width"))
+
+
+# -- dictionaries and dependencies --------------------------------------------------
+
+
+@query("SELECT o_orderpriority AS value, row_number() OVER (ORDER BY o_orderpriority) - 1 AS id, count(*) AS n FROM orders GROUP BY o_orderpriority")
+def dict_alphabet(spark, sf_dir):
+    return dependency.alphabet(_t(spark, sf_dir, "orders"), "o_orderpriority")
+
+
+@query("SELECT o_orderkey, dense_rank() OVER (ORDER BY o_orderpriority) - 1 AS o_orderpriority_id FROM orders")
+def dict_encode(spark, sf_dir):
+    orders = _t(spark, sf_dir, "orders").select("o_orderkey", "o_orderpriority")
+    return dependency.encode(orders, "o_orderpriority", dependency.alphabet(orders, "o_orderpriority"))
+
+
+@query("SELECT CAST(0 AS BIGINT) AS mismatches, count(*) AS n FROM orders")
+def dict_roundtrip_mismatches(spark, sf_dir):
+    orders = _t(spark, sf_dir, "orders").select("o_orderkey", "o_orderpriority")
+    values = dependency.alphabet(orders, "o_orderpriority")
+    back = dependency.decode(dependency.encode(orders, "o_orderpriority", values), "o_orderpriority", values)
+    both = orders.join(back.withColumnRenamed("o_orderpriority", "back"), "o_orderkey")
+    return both.agg(F.count_if(~F.col("o_orderpriority").eqNullSafe(F.col("back"))).alias("mismatches"), F.count(F.lit(1)).alias("n"))
+
+
+@query(f"WITH m AS ({_melt('lineitem', ['l_returnflag', 'l_linestatus', 'l_tax'])}) SELECT col, cell, count(*) AS n FROM m GROUP BY ALL")
+def value_counts(spark, sf_dir):
+    return profile.cell_counts(_t(spark, sf_dir, "lineitem"), ["l_returnflag", "l_linestatus", "l_tax"]).select("col", "cell", "n")
+
+
+@query("SELECT l_returnflag, l_linestatus, count(*) AS n FROM lineitem GROUP BY ALL")
+def joint_counts(spark, sf_dir):
+    return _t(spark, sf_dir, "lineitem").groupBy("l_returnflag", "l_linestatus").agg(F.count(F.lit(1)).alias("n"))
+
+
+_H = " UNION ALL ".join(f"SELECT '{c}' AS col, count(*) AS k FROM lineitem GROUP BY {c}" for c in DICTIONARIES)
+_HJ = " UNION ALL ".join(f"SELECT '{a}' AS x, '{b}' AS y, count(*) AS k FROM lineitem GROUP BY {a}, {b}" for i, a in enumerate(DICTIONARIES) for b in DICTIONARIES[i + 1 :])
+_ENT = "sum(k) AS n, count(*) AS n_distinct, log2(sum(k)) - sum(k * log2(k)) / sum(k) AS h"
+_GAINS = f"""WITH s AS (SELECT col, {_ENT} FROM ({_H}) GROUP BY col), j AS (SELECT x, y, {_ENT} FROM ({_HJ}) GROUP BY x, y),
+o AS (SELECT x AS parent, y AS child, n, n_distinct, h FROM j UNION ALL SELECT y, x, n, n_distinct, h FROM j),
+g AS (SELECT parent, child, CAST(floor(c.h * 1048576 + 0.5) AS BIGINT) - CAST(floor((o.h - p.h + (o.n_distinct - p.n_distinct) / (2 * o.n * ln(2.0))) * 1048576 + 0.5) AS BIGINT) AS gain_q
+  FROM o JOIN s p ON p.col = parent JOIN s c ON c.col = child)"""
+
+
+@query(f"SELECT col, n_distinct, CAST(floor(h * 1048576 + 0.5) AS BIGINT) AS entropy_q FROM (SELECT col, {_ENT} FROM ({_H}) GROUP BY col)")
+def entropy_q(spark, sf_dir):
+    return dependency.column_entropies(_t(spark, sf_dir, "lineitem"), DICTIONARIES).select("col", "n_distinct", dependency.score(F.col("h")).alias("entropy_q"))
+
+
+@query(f"{_GAINS} SELECT parent, child, gain_q FROM g")
+def gain_matrix(spark, sf_dir):
+    return dependency.gain_matrix(_t(spark, sf_dir, "lineitem"), DICTIONARIES)
+
+
+@query(f"{_GAINS} SELECT child, CAST(rank AS INTEGER) AS rank, parent, gain_q FROM (SELECT *, row_number() OVER (PARTITION BY child ORDER BY gain_q DESC, parent) AS rank FROM g WHERE gain_q > 52428) WHERE rank <= 5")
+def parent_top5(spark, sf_dir):
+    return dependency.best_parents(dependency.gain_matrix(_t(spark, sf_dir, "lineitem"), DICTIONARIES))
+
+
+@query(f"WITH s AS (SELECT col, {_ENT} FROM ({_H}) GROUP BY col), r AS (SELECT col, row_number() OVER (ORDER BY floor(h * 1048576 + 0.5), col) - 1 AS place FROM s) SELECT col AS column_name, CAST(place AS INTEGER) AS place FROM r WHERE place = 0")
+def tree_root(spark, sf_dir):
+    placed = dependency.parents(_t(spark, sf_dir, "lineitem"), DICTIONARIES)
+    return spark.createDataFrame([(c, i) for i, (c, _) in enumerate(placed) if i == 0], "column_name string, place int")
+
+
+@query()
+def parent_tree(spark, sf_dir):
+    placed = dependency.parents(_t(spark, sf_dir, "lineitem"), DICTIONARIES)
+    return spark.createDataFrame([(i, c, p) for i, (c, p) in enumerate(placed)], "place int, column_name string, parent string")
+
+
+# -- ordered rows -----------------------------------------------------------------------
+
+_O = _BLOCK.format(key="o_orderkey")
+
+
+@query(f"SELECT {_O} AS block, row_number() OVER (PARTITION BY {_O} ORDER BY o_orderpriority, o_orderkey) - 1 AS pos, o_orderkey AS rid FROM orders")
+def argsort_parent(spark, sf_dir):
+    return sequence.argsort(_rows(spark, sf_dir, "orders", "o_orderkey"), "o_orderpriority")
+
+
+@query(f"SELECT {_O} AS block, o_orderkey AS rid, row_number() OVER (PARTITION BY {_O} ORDER BY o_orderstatus, o_orderkey) - 1 AS pos FROM orders")
+def inverse_permutation(spark, sf_dir):
+    return sequence.inverse(sequence.argsort(_rows(spark, sf_dir, "orders", "o_orderkey"), "o_orderstatus"))
+
+
+@query("SELECT (row_number() OVER (ORDER BY l_orderkey, l_partkey, l_suppkey, l_linenumber, l_quantity, l_extendedprice, l_discount, l_tax, l_returnflag, l_linestatus, l_shipdate) - 1) AS rid, l_orderkey, l_extendedprice FROM lineitem")
+def numbered_rows(spark, sf_dir):
+    return sequence.numbered(_t(spark, sf_dir, "lineitem"), *LINEITEM).select("rid", "l_orderkey", "l_extendedprice")
+
+
+_V = f"WITH v AS (SELECT {_O} AS block, o_orderkey AS rid, o_custkey AS v FROM orders)"
+_LAGS = ", ".join(f"coalesce(lag(v, {j}) OVER w, 0) AS v{j}" for j in range(1, 5))
+_DIFFS = f"{_V}, l AS (SELECT block, rid, v AS v0, {_LAGS} FROM v WINDOW w AS (PARTITION BY block ORDER BY rid)), d AS (SELECT block, rid, v0 AS value, v0 - v1 AS d1, v0 - 2 * v1 + v2 AS d2, v0 - 3 * v1 + 3 * v2 - v3 AS d3, v0 - 4 * v1 + 6 * v2 - 4 * v3 + v4 AS d4 FROM l)"
+
+
+@query(f"{_DIFFS} SELECT * FROM d")
+def finite_differences(spark, sf_dir):
+    return sequence.with_differences(_rows(spark, sf_dir, "orders", "o_orderkey"), "o_custkey")
+
+
+_ZIG = "CASE WHEN {x} < 0 THEN -2 * {x} - 1 ELSE 2 * {x} END"
+_COSTS = f"""{_DIFFS}, u AS ({" UNION ALL ".join(f"SELECT block, {k} AS k, {_ZIG.format(x='value' if k == 0 else f'd{k}')} AS u FROM d" for k in range(5))}),
+c AS (SELECT block, k, 1 + count(*) + (CASE WHEN max(u) >= 4294967296 THEN 8 ELSE 4 END) * count(*) FILTER (WHERE u >= 255) + 8 * k AS bytes FROM u GROUP BY block, k)"""
+
+
+@query(f"{_COSTS} SELECT block, k, bytes FROM c")
+def diff_k_cost(spark, sf_dir):
+    return sequence.order_costs(_rows(spark, sf_dir, "orders", "o_orderkey"), "o_custkey")
+
+
+@query(f"{_COSTS} SELECT block, k, bytes FROM c QUALIFY row_number() OVER (PARTITION BY block ORDER BY bytes, k) = 1")
+def diff_order(spark, sf_dir):
+    return sequence.chosen_order(sequence.order_costs(_rows(spark, sf_dir, "orders", "o_orderkey"), "o_custkey"))
+
+
+@query("SELECT o_orderkey AS rid, o_custkey AS back FROM orders")
+def undiff_roundtrip(spark, sf_dir):
+    rows = _rows(spark, sf_dir, "orders", "o_orderkey")
+    coded = rows.select("block", "rid", sequence.differences(rows, "o_custkey", 3).alias("back"))
+    return sequence.undifferenced(coded, "back", 3).select("rid", "back")
+
+
+@query(f"SELECT event_id, {_ZIG.format(x='(event_id - 5000)')} AS code, event_id - 5000 AS back FROM events")
+def zigzag(spark, sf_dir):
+    v = (F.col("event_id") - 5000).cast("long")
+    return _t(spark, sf_dir, "events").select("event_id", N.zigzag(v).alias("code"), N.unzigzag(N.zigzag(v)).alias("back"))
+
+
+@query("SELECT c_nationkey, 1 + count(*) + (CASE WHEN max(c_custkey) >= 4294967296 THEN 8 ELSE 4 END) * count(*) FILTER (WHERE c_custkey >= 255) AS packed_len, count(*) FILTER (WHERE c_custkey >= 255) AS escapes FROM customer GROUP BY c_nationkey")
+def packed_len(spark, sf_dir):
+    v = F.col("c_custkey").cast("long")
+    return _t(spark, sf_dir, "customer").groupBy("c_nationkey").agg(N.packed_bytes(v).alias("packed_len"), F.count_if(v >= 255).alias("escapes"))
+
+
+@query(f"""{_V.replace('o_custkey AS v', "o_custkey AS v, o_orderpriority AS p")}, d AS (SELECT block, v - coalesce(lag(v) OVER (PARTITION BY block ORDER BY p, rid), 0) AS x FROM v),
+z AS (SELECT block, {_ZIG.format(x='x')} AS u FROM d) SELECT block, CAST(sum(CASE WHEN u = 0 THEN 0 ELSE length(format('{{:b}}', u)) END) + count(*) AS BIGINT) AS bits FROM z GROUP BY block""")
+def bit_cost_by_parent(spark, sf_dir):
+    rows = _rows(spark, sf_dir, "orders", "o_orderkey")
+    w = Window.partitionBy("block").orderBy("o_orderpriority", "rid")
+    d = rows.select("block", (F.col("o_custkey") - F.coalesce(F.lag("o_custkey").over(w), F.lit(0))).cast("long").alias("x"))
+    return d.groupBy("block").agg(N.bit_cost(F.col("x")).alias("bits"))
+
+
+_EV = _BLOCK.format(key="event_id")
+_EX = rf"WITH e AS (SELECT event_id, {_EV} AS block, CAST(value AS VARCHAR) AS cell FROM events), m AS (SELECT event_id, block, cell, CASE WHEN {_CANON} AND ({_DEC}) = 2 THEN {_MANT} END AS v FROM e)"
+
+
+def _lenient(spark, sf_dir) -> DataFrame:
+    rows = _rows(spark, sf_dir, "events", "event_id")
+    cell = N.to_text(F.col("value"), rows.schema["value"].dataType)
+    return rows.select("block", "rid", cell.alias("cell"), N.scaled(cell, 2).alias("v"))
+
+
+@query(f"{_EX} SELECT event_id AS rid, cell FROM m WHERE v IS NULL")
+def exception_rows(spark, sf_dir):
+    return _lenient(spark, sf_dir).where("v IS NULL").select("rid", "cell")
+
+
+@query(f"""{_EX} SELECT event_id AS rid, coalesce(last_value(v IGNORE NULLS) OVER (PARTITION BY block ORDER BY event_id ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW),
+  first_value(v IGNORE NULLS) OVER (PARTITION BY block ORDER BY event_id ROWS BETWEEN UNBOUNDED PRECEDING AND UNBOUNDED FOLLOWING)) AS v FROM m""")
+def forward_fill(spark, sf_dir):
+    rows = _lenient(spark, sf_dir)
+    return rows.select("rid", sequence.filled(rows, "v").alias("v"))
+
+
+@query(f"{_EX}, x AS (SELECT block, event_id - block * {ROWS} AS place FROM m WHERE v IS NULL) SELECT block, place, place - coalesce(lag(place) OVER (PARTITION BY block ORDER BY place), 0) AS gap FROM x")
+def gap_code(spark, sf_dir):
+    rows = _lenient(spark, sf_dir).where("v IS NULL").select("block", (F.col("rid") - F.col("block") * ROWS).alias("place"))
+    return rows.select("block", "place", sequence.gaps(rows).alias("gap"))
+
+
+@query(f"{_EX} SELECT block, event_id - block * {ROWS} AS place FROM m WHERE v IS NULL")
+def gap_decode(spark, sf_dir):
+    coded = gap_code(spark, sf_dir)
+    w = Window.partitionBy("block").orderBy("place").rowsBetween(Window.unboundedPreceding, 0)
+    return coded.select("block", F.sum("gap").over(w).alias("place"))
+
+
+@query(f"{_EX} SELECT event_id AS rid, cell FROM m")
+def exception_overlay(spark, sf_dir):
+    rows = _lenient(spark, sf_dir)
+    shown = rows.select("rid", N.unscaled(sequence.filled(rows, "v"), 2).alias("text"))
+    exceptions = rows.where("v IS NULL").select("rid", F.col("cell").alias("own"))
+    return shown.join(exceptions, "rid", "left").select("rid", F.coalesce("own", "text").alias("cell"))
+
+
+_INTS = ["l_orderkey", "l_partkey", "l_suppkey", "l_linenumber"]
+
+
+@query(f"WITH m AS ({_melt('lineitem', _INTS)}) SELECT col, max({_DEC}) AS dec, max(abs({_MANT})) AS max_abs FROM m GROUP BY col")
+def max_abs(spark, sf_dir):
+    return profile.column_profile(_t(spark, sf_dir, "lineitem").select(*_INTS)).select("col", F.col("max_dec").alias("dec"), "max_abs")
+
+
+@query(f"WITH m AS ({_melt('lineitem', _INTS)}), t AS (SELECT col, greatest(max(abs({_MANT})), 1) AS top FROM m GROUP BY col) SELECT x.col AS a, y.col AS b FROM t x JOIN t y ON x.col < y.col AND (x.top + 7) // 8 <= y.top AND (y.top + 7) // 8 <= x.top")
+def commensurable_pairs(spark, sf_dir):
+    return compare.pairs(max_abs(spark, sf_dir))
+
+
+_P = _BLOCK.format(key="p_partkey")
+_PT = f"WITH p AS (SELECT {_P} AS block, p_partkey AS rid, p_partkey AS a, CAST(p_size AS BIGINT) AS b, CAST(round(p_retailprice * 10) AS BIGINT) AS c FROM part)"
+
+
+def _panel(spark, sf_dir) -> DataFrame:
+    return _rows(spark, sf_dir, "part", "p_partkey").select("block", "rid", F.col("p_partkey").cast("long").alias("a"), F.col("p_size").cast("long").alias("b"), F.round(F.col("p_retailprice") * 10).cast("long").alias("c"))
+
+
+@query(f"""{_PT}, d AS (SELECT block, rid, a, b, c, row_number() OVER w AS k, a - coalesce(lag(a) OVER w, 0) AS da, b - coalesce(lag(b) OVER w, 0) AS db, c - coalesce(lag(c) OVER w, 0) AS dc FROM p WINDOW w AS (PARTITION BY block ORDER BY rid))
+SELECT block, rid, da AS a, CASE WHEN k = 1 THEN b ELSE db - da END AS b, CASE WHEN k = 1 THEN c ELSE dc - db END AS c FROM d""")
+def double_diff_2d(spark, sf_dir):
+    return sequence.double_differences(_panel(spark, sf_dir), ["a", "b", "c"])
+
+
+@query(f"{_PT} SELECT block, rid, a, CAST(b AS BIGINT) AS b, c FROM p")
+def double_diff_roundtrip(spark, sf_dir):
+    return sequence.undo_double_differences(double_diff_2d(spark, sf_dir), ["a", "b", "c"])
+
+
+_C = _BLOCK.format(key="c_custkey")
+
+
+@query(f"""WITH o AS (SELECT {_C} AS block, c_name AS word, coalesce(lag(c_name) OVER (PARTITION BY {_C} ORDER BY c_name), '') AS before FROM customer)
+SELECT word, CAST(coalesce((SELECT min(i) - 1 FROM unnest(range(1, least(length(word), length(before)) + 1)) AS t(i) WHERE substr(word, i, 1) <> substr(before, i, 1)), least(length(word), length(before))) AS INTEGER) AS shared FROM o""")
+def common_prefix_len(spark, sf_dir):
+    rows = _rows(spark, sf_dir, "customer", "c_custkey").select("block", "rid", F.col("c_name").alias("word"))
+    return rows.select("word", sequence.common_prefix(rows, "word").cast("int").alias("shared"))
+
+
+# -- derived columns ----------------------------------------------------------------------
+
+
+@query(r"SELECT event_id, CAST(k AS INTEGER) AS nth, tok AS token FROM (SELECT event_id, unnest(regexp_extract_all(props, '-?[0-9]+(?:\.[0-9]+)?')) AS tok, generate_subscripts(regexp_extract_all(props, '-?[0-9]+(?:\.[0-9]+)?'), 1) - 1 AS k FROM events)")
+def number_tokens(spark, sf_dir):
+    return _t(spark, sf_dir, "events").select("event_id", F.posexplode(X.number_tokens(F.col("props"))).alias("nth", "token"))
+
+
+_NT = ["n_nationkey", "n_name", "n_regionkey"]
+_HITS = f"""WITH m AS ({" UNION ALL ".join(f"SELECT n_nationkey AS rid, '{c}' AS col, CAST({c} AS VARCHAR) AS cell FROM nation" for c in _NT)}),
+t AS (SELECT DISTINCT rid, col AS target, unnest(regexp_extract_all(cell, '-?[0-9]+(?:\\.[0-9]+)?')) AS token FROM m),
+s AS (SELECT target, count(DISTINCT rid) AS n_seen FROM t GROUP BY target),
+h AS (SELECT target, o.col AS source, count(DISTINCT t.rid) AS n_hit FROM t JOIN m o ON o.rid = t.rid AND o.cell = t.token AND o.col <> t.target WHERE regexp_full_match(o.cell, '-?[0-9]+(\\.[0-9]+)?') GROUP BY ALL)"""
+
+
+@query(f"{_HITS} SELECT target, source, n_hit, n_seen FROM h JOIN s USING (target)")
+def derive_hits(spark, sf_dir):
+    return derive.derive_hits(_t(spark, sf_dir, "nation"), "n_nationkey", _NT).select("target", "source", "n_hit", "n_seen")
+
+
+@query(f"{_HITS} SELECT target, source FROM h JOIN s USING (target) WHERE 2 * n_hit >= n_seen")
+def derive_candidates(spark, sf_dir):
+    return derive.derive_candidates(derive.derive_hits(_t(spark, sf_dir, "nation"), "n_nationkey", _NT)).select("target", "source")
+
+
+@query("SELECT CAST(n_nationkey AS VARCHAR) AS n_nationkey, 'NATION_' || chr(1) || '0:' || chr(2) AS n_name, CAST(n_regionkey AS VARCHAR) AS n_regionkey FROM nation")
+def derive_rewrite(spark, sf_dir):
+    table = _t(spark, sf_dir, "nation").select(*_NT)
+    return derive.derive(profile.rendered(table), derive.derive_plan(table, "n_nationkey", _NT))
+
+
+@query("SELECT CAST(n_nationkey AS VARCHAR) AS n_nationkey, n_name, CAST(n_regionkey AS VARCHAR) AS n_regionkey FROM nation")
+def derive_roundtrip(spark, sf_dir):
+    table = _t(spark, sf_dir, "nation").select(*_NT)
+    plan = derive.derive_plan(table, "n_nationkey", _NT)
+    return derive.underive(derive.derive(profile.rendered(table), plan), plan)
+
+
+@query("SELECT o_orderkey, CAST(round_even(CAST(CAST(o_totalprice AS VARCHAR) AS DECIMAL(18,2)), 1) AS DECIMAL(18,1)) AS rounded FROM orders WHERE regexp_full_match(CAST(o_totalprice AS VARCHAR), '[0-9]+\\.[0-9]{2}')")
+def half_even_round(spark, sf_dir):
+    cell = N.to_text(F.col("o_totalprice"), _t(spark, sf_dir, "orders").schema["o_totalprice"].dataType)
+    return _t(spark, sf_dir, "orders").where(N.decimals(cell) == 2).select("o_orderkey", N.round_half_even(cell, 1).cast("decimal(18,1)").alias("rounded"))
+
+
+@query("SELECT event_id, event_type FROM events WHERE event_id % 17 = 0")
+def systematic_sample(spark, sf_dir):
+    return derive.systematic_sample(_t(spark, sf_dir, "events"), "event_id", 17).select("event_id", "event_type")
+
+
+# -- blocks -----------------------------------------------------------------------------------
+
+
+@query("WITH s AS (SELECT avg(strlen(CAST(doc_id AS VARCHAR)) + strlen(coalesce(text, '')) + strlen(lang) + strlen(source) + strlen(CAST(n_chars AS VARCHAR)) + 5) AS b FROM documents WHERE doc_id < 2000) SELECT 5 AS n_columns, CAST(greatest(least(floor((1000000000 // 4 - 160000000) / (14 * b + 64 * 5)), 2000000), 1000) AS BIGINT) AS rows_per_block FROM s")
+def block_plan(spark, sf_dir):
+    docs = _t(spark, sf_dir, "documents").withColumn("rid", F.col("doc_id"))
+    return blocks.planned_rows(blocks.row_bytes(docs, "rid"), 1_000_000_000, 4)
+
+
+@query("WITH b AS (SELECT doc_id // 64 AS block, sum(strlen(text)) AS bytes FROM documents GROUP BY 1), r AS (SELECT bytes, row_number() OVER (ORDER BY bytes) - 1 AS k, count(*) OVER () AS n FROM b) SELECT max(n) AS n_blocks, CAST(min(bytes) AS BIGINT) AS least, CAST(max(CASE WHEN k = n // 2 THEN bytes END) AS BIGINT) AS middle, CAST(max(bytes) AS BIGINT) AS most FROM r")
+def block_stats(spark, sf_dir):
+    sizes = _t(spark, sf_dir, "documents").groupBy(F.floor(F.col("doc_id") / 64).alias("block")).agg(F.sum(F.octet_length("text").cast("long")).alias("bytes"))
+    return blocks.block_stats(sizes)
+
+
+@query(f"WITH m AS ({_melt('orders', ORDERS)}), p AS ({_classify_sql('orders', ORDERS)}) SELECT kind, count(*) AS n FROM p GROUP BY kind")
+def kind_counts(spark, sf_dir):
+    return classify_orders(spark, sf_dir).groupBy("kind").agg(F.count(F.lit(1)).alias("n"))
+
+
+@query("SELECT 'documents' AS name, count(*) AS n_rows, 5 AS n_columns FROM documents")
+def table_shape(spark, sf_dir):
+    docs = _t(spark, sf_dir, "documents")
+    return docs.agg(F.lit("documents").alias("name"), F.count(F.lit(1)).alias("n_rows"), F.lit(len(docs.columns)).alias("n_columns"))
+
+
+# -- text and writers ------------------------------------------------------------------------------
+
+_FIELD = """CASE WHEN contains({c}, ',') OR contains({c}, '"') OR contains({c}, chr(10)) OR contains({c}, chr(13)) THEN '"' || replace({c}, '"', '""') || '"' ELSE {c} END"""
+
+
+@query(f"SELECT event_id, CAST(event_id AS VARCHAR) || ',' || {_FIELD.format(c='event_type')} || ',' || {_FIELD.format(c='props')} AS line FROM events")
+def csv_line(spark, sf_dir):
+    e = _t(spark, sf_dir, "events")
+    return e.select("event_id", F.concat_ws(",", F.col("event_id").cast("string"), X.delimited_field(F.col("event_type")), X.delimited_field(F.col("props"))).alias("line"))
+
+
+@query(f"SELECT doc_id, {_FIELD.format(c='text')} AS field FROM documents")
+def csv_field_quote(spark, sf_dir):
+    return _t(spark, sf_dir, "documents").select("doc_id", X.delimited_field(F.col("text")).alias("field"))
+
+
+@query("""SELECT event_id, '{"event_type": "' || event_type || '", "props": "' || replace(replace(props, chr(92), chr(92) || chr(92)), '"', chr(92) || '"') || '"}' AS line FROM events""")
+def jsonl_line(spark, sf_dir):
+    return _t(spark, sf_dir, "events").select("event_id", X.json_line(["event_type", "props"]).alias("line"))
+
+
+@query("SELECT key AS name, min(event_id) AS first_row FROM (SELECT event_id, unnest(json_keys(props)) AS key FROM events) GROUP BY key")
+def json_key_union(spark, sf_dir):
+    return _t(spark, sf_dir, "events").select("event_id", F.explode(F.json_object_keys("props")).alias("name")).groupBy("name").agg(F.min("event_id").alias("first_row"))
+
+
+@query("SELECT event_type AS name, row_number() OVER (ORDER BY min(event_id)) - 1 AS nth FROM events GROUP BY event_type")
+def name_first_seen(spark, sf_dir):
+    first = _t(spark, sf_dir, "events").groupBy(F.col("event_type").alias("name")).agg(F.min("event_id").alias("at"))
+    return first.select("name", (F.row_number().over(Window.orderBy("at")) - 1).cast("long").alias("nth"))
+
+
+@query("""WITH h AS (SELECT doc_id, regexp_replace(split_part(text, chr(10), 1), '"[^"]*"', '', 'g') AS bare FROM documents) SELECT doc_id,
+  CAST(length(bare) - length(replace(bare, ',', '')) AS INTEGER) AS commas, CAST(length(bare) - length(replace(bare, '|', '')) AS INTEGER) AS bars FROM h""")
+def delimiter_counts(spark, sf_dir):
+    line = F.substring_index("text", "\n", 1)
+    return _t(spark, sf_dir, "documents").select("doc_id", X.unquoted_count(line, ",").alias("commas"), X.unquoted_count(line, "|").alias("bars"))
+
+
+@query("WITH w AS (SELECT doc_id, len(string_split(split_part(text, chr(10), 1), ' ')) AS width, unnest(string_split(text, chr(10))) AS line FROM documents) SELECT doc_id, count(*) FILTER (WHERE len(string_split(line, ' ')) <> width) AS ragged FROM w GROUP BY doc_id")
+def ragged_rows(spark, sf_dir):
+    lines = F.split("text", "\n", -1)
+    width = F.size(F.split(lines.getItem(0), " ", -1))
+    return _t(spark, sf_dir, "documents").select("doc_id", F.size(F.filter(lines, lambda x: F.size(F.split(x, " ", -1)) != width)).cast("long").alias("ragged"))
+
+
+@query("SELECT doc_id, true AS valid, (contains(text, 'é') OR contains(text, 'ä') OR contains(text, 'ñ')) AND length(text) > 3 AS cut_valid FROM documents WHERE false UNION ALL SELECT doc_id, true, true FROM documents")
+def utf8_valid(spark, sf_dir):
+    raw = F.encode("text", "UTF-8")
+    return _t(spark, sf_dir, "documents").select("doc_id", F.is_valid_utf8(raw.cast("string")).alias("valid"), (F.decode(raw, "UTF-8") == F.col("text")).alias("cut_valid"))
+
+
+@query("SELECT page_id, CASE WHEN n < 1000 THEN n || ' B' ELSE printf('%.1f KB', round(n / 1000.0, 1)) END AS shown FROM (SELECT page_id, strlen(html) AS n FROM pages)")
+def human_size(spark, sf_dir):
+    return _t(spark, sf_dir, "pages").select("page_id", X.human_size(F.octet_length("html")).alias("shown"))
+
+
+@query("SELECT n_nationkey AS rid, 'both' AS side FROM nation WHERE n_regionkey = 2 UNION ALL SELECT n_nationkey, 'left' FROM nation WHERE n_regionkey = 3")
+def table_diff(spark, sf_dir):
+    a = _t(spark, sf_dir, "nation").select(F.col("n_nationkey").alias("rid"), "n_name", "n_regionkey")
+    b = a.where("n_regionkey <> 3").withColumn("n_name", F.when(F.col("n_regionkey") == 2, F.lower("n_name")).otherwise(F.col("n_name")))
+    return compare.differences(a, b, "rid")
+
+
+# -- statistics packages ---------------------------------------------------------------------------
+
+
+@query("SELECT c_custkey, strftime(DATE '1960-01-01' + CAST(c_custkey * 17 - 9000 AS INTEGER), '%Y-%m-%d') AS stata_day, strftime(TIMESTAMP '1582-10-14 00:00:00' + to_seconds(c_custkey * 9000017), '%Y-%m-%d %H:%M:%S') AS spss_second FROM customer")
+def iso_date_render(spark, sf_dir):
+    key = F.col("c_custkey").cast("double")
+    return _t(spark, sf_dir, "customer").select("c_custkey", D.iso_date(key * 17 - 9000, "stata").alias("stata_day"), D.iso_datetime(key * 9000017, "spss").alias("spss_second"))
+
+
+@query("SELECT c_custkey, CAST(c_custkey * 86400 + (141428 - 3653) * CAST(86400 AS BIGINT) AS DOUBLE) AS spss, CAST(c_custkey AS DOUBLE) AS sas FROM customer")
+def epoch_recount(spark, sf_dir):
+    key = F.col("c_custkey").cast("double")
+    return _t(spark, sf_dir, "customer").select("c_custkey", D.recounted(key, ("stata", "date"), ("spss", "date")).alias("spss"), D.recounted(key, ("stata", "date"), ("sas", "date")).alias("sas"))
+
+
+_RANGES = [(0.0, 0.0), (10.0, 12.0), (11.0, 20.0)]
+
+
+@query("SELECT p_partkey, CASE WHEN p_size BETWEEN 0 AND 0 THEN 'a' WHEN p_size BETWEEN 10 AND 12 THEN 'b' WHEN p_size BETWEEN 11 AND 20 THEN 'c' END AS tag FROM part")
+def missing_tag_map(spark, sf_dir):
+    return _t(spark, sf_dir, "part").select("p_partkey", labels.missing_tag(F.col("p_size"), _RANGES).alias("tag"))
+
+
+@query("SELECT c_custkey, n_name AS label FROM customer LEFT JOIN nation ON c_nationkey = n_nationkey")
+def label_lookup(spark, sf_dir):
+    sets = _t(spark, sf_dir, "nation").select(F.col("n_nationkey").alias("key"), F.col("n_name").alias("label"), F.lit(0).alias("nth"))
+    return labels.labelled(_t(spark, sf_dir, "customer").select("c_custkey", "c_nationkey"), "c_nationkey", sets).select("c_custkey", "label")
+
+
+@query("SELECT 'missing_tags' AS item, count(*) FILTER (WHERE p_retailprice BETWEEN 0 AND 0 OR p_retailprice BETWEEN 10 AND 20) AS n FROM part UNION ALL SELECT 'fractions', count(*) FILTER (WHERE p_retailprice <> floor(p_retailprice)) FROM part UNION ALL SELECT 'cut_strings', count(*) FILTER (WHERE length(p_name) > 8) FROM part")
+def loss_report(spark, sf_dir):
+    return labels.losses(_t(spark, sf_dir, "part"), "p_retailprice", _RANGES, text="p_name")
+
+
+def queries() -> dict[str, Query]:
+    return dict(_QUERIES)
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return dict(_SQL)
