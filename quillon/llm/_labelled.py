@@ -40,4 +40,5 @@ def trained(rows: DataFrame, fit: Callable[[list[str], list[int]], bytes]) -> by
         seen.sort(key=lambda r: ((r[0] * 0x9E3779B97F4A7C15) & (2**64 - 1), r[1]))  # neither by id nor by class
         yield pa.RecordBatch.from_arrays([pa.array([fit([r[1] for r in seen], [r[2] for r in seen])], pa.binary())], names=["model"])
 
-    return bytes(rows.repartition(1).mapInArrow(run, "model binary").first()["model"])
+    model = rows.repartition(1).mapInArrow(run, "model binary").first()  # none without rows
+    return bytes(model["model"]) if model else fit([], [])
