@@ -3,11 +3,13 @@
 A word is a run without ASCII blanks. Every 13 consecutive words have a minimizer, the
 smallest hash of the word triples in them, which decides the block they belong to; so equal
 windows meet in one block, wherever they stand, and a document need not be factored against
-any other. What a document sends to a block are stretches of words, as 32-bit word codes; a
-block orders its stretches by document, indexes their windows, and factors each stretch
-greedily against the documents of smaller doc_id: a factor goes on while the reference's next
-word is the stretch's next word. Factors of 13 words or more are duplicate spans; the windows
-at a factor's end are looked up by themselves, since they can continue in another document.
+any other. What a document sends to a block are stretches, each as the 64-bit fingerprints of its
+windows one word apart; a block orders its stretches by document, indexes their windows, and
+factors each stretch greedily against the documents of smaller doc_id: a factor goes on while the
+next window, and so the next word, is in the reference too. Factors are at least 13 words long and
+become duplicate spans; the windows at a factor's end are looked up by themselves, since they can
+continue in another document. Windows of one block and one fingerprint count as equal; blocks do
+not grow with the input, so that chance equals stay at about 10^-13 for each window.
 
 Before anything is shuffled, the documents of a slice are compared with each other: a window
 that a smaller document of the slice has too is a duplicate already and is not sent. A passage
@@ -22,7 +24,7 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 from pyspark import TaskContext
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from quillon.llm._hashing import Texts, mix, span_hashes
@@ -71,7 +73,7 @@ def _cover(at: np.ndarray, doc: np.ndarray, place: np.ndarray, window: int) -> t
 
 
 def _slice_rows(ids: np.ndarray, texts: list[str], blocks: int, window: int, salt: int) -> Iterator[tuple[int, bytes, bytes, bytes, bytes]]:
-    """What a slice sends: (block, document ids and counts, places, sizes, word codes) and, with a
+    """What a slice sends: (block, document ids and counts, places, sizes, fingerprints) and, with a
     negative block, (., ids, starts, stops, .) of the duplicates within the slice."""
     order = np.argsort(ids, kind="stable")
     ids, texts = ids[order], [texts[i] for i in order]
@@ -112,47 +114,34 @@ def _slice_rows(ids: np.ndarray, texts: list[str], blocks: int, window: int, sal
     by = np.argsort(block[begin], kind="stable")
     begin, size = begin[by], size[by]
     where, first = block[begin], at[begin]
-    codes = (words & _U(0xFFFFFFFF)).astype("<u4")
+    prints = np.zeros(m, _U)
+    prints[inside] = hashes
     cuts = np.flatnonzero(np.concatenate([[True], where[1:] != where[:-1], [True]]))
     for a, b in zip(cuts, cuts[1:]):
         f, n = first[a:b], size[a:b]
         own, counts = np.unique(who[f], return_counts=True)
         head = np.concatenate([[len(own)], np.diff(own, prepend=0), counts]).astype("<i8")
-        yield int(where[a]), head.tobytes(), place[f].astype("<u4").tobytes(), n.astype(np.uint8).tobytes(), codes[_ranges(f, n + window - 1)].tobytes()
+        yield int(where[a]), head.tobytes(), place[f].astype("<u4").tobytes(), n.astype(np.uint8).tobytes(), prints[_ranges(f, n)].astype("<u8").tobytes()
 
 
-def _parse_block(doc: np.ndarray, place: np.ndarray, size: np.ndarray, codes: np.ndarray, window: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+def _parse_block(doc: np.ndarray, place: np.ndarray, size: np.ndarray, prints: np.ndarray, window: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Duplicate spans (document, start, stop) of a block's stretches: document and place of each
-    stretch's first word, its number of windows, and the word codes of all."""
-    span = size + window - 1
-    offset = np.cumsum(span) - span
+    stretch's first word, its number of windows, and the fingerprints of all windows."""
     order = np.lexsort((place, doc))  # references come first
-    start = _ranges(offset[order], size[order])  # of each window in codes
-    who = np.repeat(doc[order], size[order])
-    where = _ranges(place[order], size[order])
-    run = np.repeat(np.arange(len(order)), size[order])
-    hashes = np.empty(len(start), _U)
-    by_code = np.argsort(start)
-    hashes[by_code] = span_hashes(codes.astype(_U), start[by_code], start[by_code] + window)
-    by = np.argsort(hashes, kind="stable")  # the index: equal windows, the smallest document's first
-    ranked = hashes[by]
+    offset = np.cumsum(size) - size
+    size = size[order]
+    prints = prints[_ranges(offset[order], size)]
+    who = np.repeat(doc[order], size)
+    where = _ranges(place[order], size)
+    run = np.repeat(np.arange(len(order)), size)
+    by = np.argsort(prints, kind="stable")  # the index: equal windows, the smallest document's first
+    ranked = prints[by]
     head = np.concatenate([[True], ranked[1:] != ranked[:-1]])
-    reference = np.empty(len(start), np.int64)
-    reference[by] = by[np.flatnonzero(head)][np.cumsum(head) - 1]
-    found = np.flatnonzero(who > who[reference])
-    same = np.ones(len(found), bool)
-    for k in range(window):
-        same &= codes[start[found] + k] == codes[start[reference[found]] + k]
-    if not same.all():  # windows of one hash that differ: look these up by their words
-        group = np.isin(hashes, hashes[found[~same]])
-        lowest: dict[bytes, int] = {}
-        words = {int(i): codes[start[i] : start[i] + window].tobytes() for i in np.flatnonzero(group)}
-        for i in sorted(words, key=lambda i: who[i]):
-            lowest.setdefault(words[i], int(who[i]))
-        hit = [i for i, w in words.items() if lowest[w] < who[i]]
-        found = np.sort(np.concatenate([found[~group[found]], np.array(hit, np.int64)]))
-    # greedy factors: windows that follow each other in the stretch; where the reference jumps, the
-    # windows across the jump are in `found` by themselves, so neighbouring factors join
+    smallest = np.empty(len(prints), np.int64)
+    smallest[by] = who[by[np.flatnonzero(head)]][np.cumsum(head) - 1]
+    found = np.flatnonzero(who > smallest)
+    # greedy factors: windows that follow each other in the stretch; where the reference changes, the
+    # windows across the change are in `found` by themselves, so neighbouring factors join
     begin = _stretches(found, run[found])
     length = np.diff(np.append(begin, len(found)))
     first = found[begin]
@@ -180,7 +169,7 @@ def duplicate_spans(docs: DataFrame, window: int = WINDOW, id_col: str = "doc_id
             nonlocal ids, texts, held, salt
             salt += 1
             for row in _slice_rows(np.array(ids, np.int64), texts, blocks, window, salt):
-                yield pa.RecordBatch.from_arrays([pa.array([row[0]], pa.int64()), *(pa.array([x], pa.binary()) for x in row[1:])], names=["block", "docs", "places", "sizes", "codes"])
+                yield pa.RecordBatch.from_arrays([pa.array([row[0]], pa.int64()), *(pa.array([x], pa.binary()) for x in row[1:])], names=["block", "docs", "places", "sizes", "prints"])
             ids, texts, held = [], [], 0
 
         for batch in batches:
@@ -204,10 +193,10 @@ def duplicate_spans(docs: DataFrame, window: int = WINDOW, id_col: str = "doc_id
                 n = int(head[0])
                 docs.append(np.repeat(np.cumsum(head[1 : n + 1]), head[n + 1 :]))
             join = lambda c, kind: np.frombuffer(b"".join(column(c)), kind)
-            doc, start, stop = _parse_block(np.concatenate(docs), join("places", "<u4").astype(np.int64), join("sizes", np.uint8).astype(np.int64), join("codes", "<u4"), window)
+            doc, start, stop = _parse_block(np.concatenate(docs), join("places", "<u4").astype(np.int64), join("sizes", np.uint8).astype(np.int64), join("prints", "<u8"), window)
         return pa.table([pa.array(doc, pa.int64()), pa.array(start, pa.int64()), pa.array(stop, pa.int64())], names=["doc_id", "start", "stop"])
 
-    sent = rows.mapInArrow(send, "block long, docs binary, places binary, sizes binary, codes binary")
+    sent = rows.mapInArrow(send, "block long, docs binary, places binary, sizes binary, prints binary")
     return sent.groupBy("block").applyInArrow(parse, "doc_id long, start long, stop long")
 
 
@@ -224,9 +213,22 @@ def _kept(text: str, spans: list[int] | None) -> tuple[int, int, bytes]:
     return len(words), len(words) - len(keep), b" ".join([words[i] for i in keep.tolist()])
 
 
+def _merged(spans: Column) -> Column:
+    """Sorted ranges (start << 32 | stop) with those that meet or overlap made one."""
+    stop = lambda x: x.bitwiseAND(F.lit(0xFFFFFFFF))
+
+    def add(done: Column, x: Column) -> Column:
+        last = F.element_at(done, -1)
+        joined = F.concat(F.slice(done, 1, F.size(done) - 1), F.array(F.shiftleft(F.shiftright(last, 32), 32).bitwiseOR(F.greatest(stop(last), stop(x)))))
+        return F.when((F.size(done) > 0) & (F.shiftright(x, 32) <= stop(last)), joined).otherwise(F.concat(done, F.array(x)))
+
+    return F.aggregate(spans, F.array().cast("array<bigint>"), add)
+
+
 def _with_spans(docs: DataFrame, window: int, id_col: str, text_col: str) -> DataFrame:
     spans = duplicate_spans(docs, window, id_col, text_col)
-    spans = spans.groupBy("doc_id").agg(F.collect_list(F.shiftleft("start", 32).bitwiseOR(F.col("stop"))).alias("__spans")).withColumnRenamed("doc_id", "__id")
+    spans = spans.groupBy("doc_id").agg(F.array_sort(F.collect_list(F.shiftleft("start", 32).bitwiseOR(F.col("stop")))).alias("__spans"))
+    spans = spans.select(F.col("doc_id").alias("__id"), _merged(F.col("__spans")).alias("__spans"))
     side = measured(checkpointed(spans), F.size("__spans") * 8 + 24)
     return docs.withColumn("__key", F.col(id_col).cast("long")).join(side, F.col("__key") == F.col("__id"), "left")
 

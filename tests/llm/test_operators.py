@@ -257,11 +257,11 @@ def test_substring_dedup_of_long_repeats(spark, monkeypatch):
     assert by_name(substring_dedup.substring_digests(docs), columns) == want
 
 
-def test_windows_of_one_hash_are_told_apart(monkeypatch):
-    monkeypatch.setattr(substring_dedup, "span_hashes", lambda v, s, e: np.zeros(len(s), np.uint64))
-    codes = np.array([*range(13), *range(1, 14), *range(13)], "<u4")
-    got = substring_dedup._parse_block(np.array([1, 2, 3]), np.array([0, 5, 9]), np.array([1, 1, 1]), codes, 13)
-    assert [x.tolist() for x in got] == [[3], [9], [22]]
+def test_a_block_factors_against_smaller_documents():
+    prints = np.array([7, 8, 9, 8, 9, 5, 7, 9, 8], np.uint64)
+    got = substring_dedup._parse_block(np.array([3, 1, 2, 2]), np.array([10, 0, 4, 9]), np.array([3, 2, 2, 2]), prints, 13)
+    # document 1 has 8, 9; 2 has 5, 7 and, apart, 9, 8; 3 has 7, 8, 9
+    assert sorted(zip(*(x.tolist() for x in got))) == [(2, 9, 23), (3, 10, 25)]
 
 
 # -- near duplicates ------------------------------------------------------------------------------
