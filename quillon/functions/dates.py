@@ -15,9 +15,10 @@ def kind_of(family: str, shown: str) -> str:
     """date, datetime, time or other, by a display format's name."""
     f = shown.lower().lstrip("%").lstrip("-")
     if family == "stata":
-        if f.startswith(("tc", "c")) and f[:2] != "co":
-            mask = f[2:] if f.startswith("tc") else f[1:]
-            return "time" if mask and not set(mask) & set("dnmy") and "h" in mask else "datetime"
+        if f.startswith("tc"):
+            # the mask's own codes: hours, minutes and seconds, or a part of a date
+            mask = shown.lstrip("%-")[2:]
+            return "time" if set(mask) & set("Hh") and not set(mask) & set("CYJNnDdWwo") else "datetime"
         return "date" if f.startswith(("td", "d")) else "other"
     name = f.rstrip("0123456789.")
     if family == "spss":

@@ -11,9 +11,10 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-PLAIN = r"^-?[0-9]+(\.[0-9]+)?$"
-CANONICAL = r"^-?(0|[1-9][0-9]*)(\.[0-9]+)?$"
-NEGATIVE_ZERO = r"^-0(\.0+)?$"
+#: Patterns of whole cells.
+PLAIN = r"-?[0-9]+(\.[0-9]+)?"
+CANONICAL = r"-?(0|[1-9][0-9]*)(\.[0-9]+)?"
+NEGATIVE_ZERO = r"-0(\.0+)?"
 TOKEN = r"(-?[0-9]+(?:\.[0-9]+)?)"
 REACH = 1 << 62
 MOST_DECIMALS = 18
@@ -39,8 +40,13 @@ def to_text(value: Column, kind: T.DataType) -> Column:
     return F.coalesce(text, F.lit(""))
 
 
+def matches(cell: Column, pattern: str) -> Column:
+    """Whether the pattern takes the whole cell; an end of line at its end is part of it."""
+    return cell.rlike(f"^(?:{pattern})\\z")
+
+
 def is_plain(cell: Column) -> Column:
-    return cell.rlike(PLAIN)
+    return matches(cell, PLAIN)
 
 
 def decimals(cell: Column) -> Column:
@@ -56,7 +62,7 @@ def mantissa(cell: Column) -> Column:
 
 def is_canonical(cell: Column) -> Column:
     """Whether the cell is what its mantissa and its number of decimals are written as."""
-    return F.coalesce(cell.rlike(CANONICAL) & ~cell.rlike(NEGATIVE_ZERO) & mantissa(cell).isNotNull(), F.lit(False))
+    return F.coalesce(matches(cell, CANONICAL) & ~matches(cell, NEGATIVE_ZERO) & mantissa(cell).isNotNull(), F.lit(False))
 
 
 def scaled(cell: Column, places: Column | int) -> Column:

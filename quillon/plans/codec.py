@@ -36,7 +36,7 @@ class Damaged(ValueError):
 
 
 def mantissa(cell: str, places: int) -> int | None:
-    if not _canonical.match(cell) or _minus_zero.match(cell) or cell.endswith("\n"):
+    if not _canonical.fullmatch(cell) or _minus_zero.fullmatch(cell):
         return None
     whole, _, rest = cell.partition(".")
     if len(rest) != places:
@@ -55,7 +55,7 @@ def written(value: int, places: int) -> str:
 def numbers(cells: list[str], lenient: bool) -> tuple[int, np.ndarray, dict[int, str]] | None:
     """(decimals, mantissas, exceptions) of a column; lenient: with at most EXCEPTION_PERCENT exceptions,
     whose mantissas repeat the one before them (the first one's, at the start)."""
-    counts = Counter(len(c.partition(".")[2]) for c in cells if _canonical.match(c))
+    counts = Counter(len(c.partition(".")[2]) for c in cells if _canonical.fullmatch(c))
     if not counts or not lenient and len(counts) > 1:
         return None
     places = min(counts, key=lambda d: (-counts[d], d))
@@ -286,7 +286,7 @@ def _derivations(columns: list[list[str]]) -> dict[int, list[int]]:
     for r in sample:
         offers: dict[str, set[int]] = {}
         for c, cells in enumerate(columns):
-            if plain.match(cells[r]):
+            if plain.fullmatch(cells[r]):
                 for text in {cells[r], *(x for d in range(derive.MOST_ROUNDING + 1) if (x := derive._round(cells[r], d)) is not None)}:
                     offers.setdefault(text, set()).add(c)
         for c, cells in enumerate(columns):
@@ -298,7 +298,7 @@ def _derivations(columns: list[list[str]]) -> dict[int, list[int]]:
     used: set[int] = set()
     for c in range(len(columns)):
         sources = [s for s in range(len(columns)) if hits[c, s] and 2 * hits[c, s] >= seen[c] and s not in out]
-        if sources and c not in used and not all(plain.match(x) for x in columns[c]):
+        if sources and c not in used and not all(plain.fullmatch(x) for x in columns[c]):
             out[c] = sources[: derive.MOST_SOURCES]
             used.update(out[c])
     return out
