@@ -4,6 +4,8 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -11,6 +13,8 @@ from quillon.functions import dates as D
 from quillon.functions import numbers as N
 from quillon.functions import text as X
 from quillon.operators import blocks, compare, dependency, derive, labels, profile, sequence
+from quillon.plans import archive, codec
+from quillon.sources import delimited, json_rows, stats
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -514,6 +518,103 @@ def loss_report(spark, sf_dir):
     return labels.losses(_t(spark, sf_dir, "part"), "p_retailprice", _RANGES, text="p_name")
 
 
+# -- files and archives, there and back ------------------------------------------------------------
+
+
+def _blocks(spark, sf_dir, name: str, key: str, columns: list[str]) -> DataFrame:
+    """rid, block and the columns as text."""
+    rows = _rows(spark, sf_dir, name, key)
+    return rows.select("block", "rid", *[N.to_text(F.col(c), rows.schema[c].dataType).alias(c) for c in columns])
+
+
+def _returned(rows: DataFrame, columns: list[str], work) -> DataFrame:
+    """n, mismatches over all cells, where `work` takes a block's columns of text to other ones."""
+
+    def run(group: pa.Table) -> pa.Table:
+        cells = [group.column(c).to_pylist() for c in columns]
+        back = work(cells)
+        wrong = sum(len(a) != len(b) or a != b for a, b in zip(cells, back)) and sum(x != y for a, b in zip(cells, back) for x, y in zip(a, b))
+        return pa.table({"n": pa.array([group.num_rows], pa.int64()), "mismatches": pa.array([wrong], pa.int64())})
+
+    return rows.groupBy("block").applyInArrow(run, "n long, mismatches long").agg(F.sum("n").alias("n"), F.sum("mismatches").alias("mismatches"))
+
+
+@query("SELECT CAST(count(*) AS BIGINT) AS n, CAST(0 AS BIGINT) AS mismatches FROM orders")
+def archive_roundtrip(spark, sf_dir):
+    return _returned(_blocks(spark, sf_dir, "orders", "o_orderkey", ORDERS), ORDERS, lambda cells: codec.decode_block(codec.encode_block(ORDERS, cells))[1])
+
+
+@query("SELECT CAST(count(*) AS BIGINT) AS n, CAST(0 AS BIGINT) AS mismatches FROM documents")
+def archive_text_roundtrip(spark, sf_dir):
+    return _returned(_blocks(spark, sf_dir, "documents", "doc_id", DOCUMENTS), DOCUMENTS, lambda cells: codec.decode_block(codec.encode_block(DOCUMENTS, cells))[1])
+
+
+@query("SELECT CAST(count(*) AS BIGINT) AS n, CAST(0 AS BIGINT) AS mismatches FROM documents")
+def delimited_roundtrip(spark, sf_dir):
+    rows = _blocks(spark, sf_dir, "documents", "doc_id", DOCUMENTS)
+    lines = rows.select("block", *DOCUMENTS, F.concat(F.concat_ws(",", *[X.delimited_field(F.col(c)) for c in DOCUMENTS]), F.lit("\n")).alias("line"))
+
+    def parse(group: pa.Table) -> pa.Table:
+        back = list(delimited.records("".join(group.column("line").to_pylist())))
+        want = list(map(list, zip(*(group.column(c).to_pylist() for c in DOCUMENTS))))
+        return pa.table({"n": pa.array([len(back)], pa.int64()), "mismatches": pa.array([sum(a != b for a, b in zip(want, back))], pa.int64())})
+
+    return lines.groupBy("block").applyInArrow(parse, "n long, mismatches long").agg(F.sum("n").alias("n"), F.sum("mismatches").alias("mismatches"))
+
+
+@query("SELECT CAST(count(*) AS BIGINT) AS n, CAST(0 AS BIGINT) AS mismatches FROM documents")
+def json_roundtrip(spark, sf_dir):
+    rows = _blocks(spark, sf_dir, "documents", "doc_id", DOCUMENTS)
+    lines = rows.select("block", *DOCUMENTS, F.concat(X.json_line(DOCUMENTS), F.lit("\n")).alias("line"))
+
+    def parse(group: pa.Table) -> pa.Table:
+        back = [[r[c] for c in DOCUMENTS] for r in json_rows.rows("".join(group.column("line").to_pylist()), True)]
+        want = list(map(list, zip(*(group.column(c).to_pylist() for c in DOCUMENTS))))
+        return pa.table({"n": pa.array([len(back)], pa.int64()), "mismatches": pa.array([sum(a != b for a, b in zip(want, back))], pa.int64())})
+
+    return lines.groupBy("block").applyInArrow(parse, "n long, mismatches long").agg(F.sum("n").alias("n"), F.sum("mismatches").alias("mismatches"))
+
+
+@query("SELECT kind, count(*) AS n, CAST(0 AS BIGINT) AS mismatches FROM part, (VALUES ('dta'), ('sav'), ('xpt')) AS k(kind) GROUP BY kind")
+def statistics_roundtrip(spark, sf_dir):
+    rows = _rows(spark, sf_dir, "part", "p_partkey").select("block", "p_name", "p_brand", F.col("p_size").cast("double").alias("p_size"), "p_retailprice")
+
+    def run(group: pa.Table) -> pa.Table:
+        found = []
+        numbers = lambda c: (group.column(c).to_numpy(), [None] * group.num_rows)
+        data = stats.Dataset("sas", [stats.Variable("p_name", True, 40), stats.Variable("p_brand", True, 20), stats.Variable("p_size"), stats.Variable("p_retailprice")], [group.column("p_name").to_pylist(), group.column("p_brand").to_pylist(), numbers("p_size"), numbers("p_retailprice")])
+        for kind in ("dta", "sav", "xpt"):
+            own, _ = stats.translated(data, kind)
+            back = stats.rendered(stats.parser(kind)(stats.writer(kind)(own)))
+            found.append((kind, group.num_rows, sum(a != b for x, y in zip(stats.rendered(data), back) for a, b in zip(x, y))))
+        return pa.table([pa.array([f[0] for f in found]), pa.array([f[1] for f in found], pa.int64()), pa.array([f[2] for f in found], pa.int64())], names=["kind", "n", "mismatches"])
+
+    return rows.groupBy("block").applyInArrow(run, "kind string, n long, mismatches long").groupBy("kind").agg(F.sum("n").alias("n"), F.sum("mismatches").alias("mismatches"))
+
+
+@query()
+def order_probe(spark, sf_dir):
+    """block, child, parent, own_bytes, parent_bytes: what each dictionary's ids compress to in their own order and in that of another."""
+    rows = _blocks(spark, sf_dir, "orders", "o_orderkey", ["o_orderstatus", "o_orderpriority", "o_orderdate"])
+    names = ["o_orderstatus", "o_orderpriority", "o_orderdate"]
+
+    def run(group: pa.Table) -> pa.Table:
+        group = group.sort_by("rid")
+        ids = {c: np.unique(np.array(group.column(c).to_pylist()), return_inverse=True)[1] for c in names}
+        found = [(group.column("block")[0].as_py(), c, p, codec.probe(ids[c].astype("<u2").tobytes()), codec.probe(ids[c][np.argsort(ids[p], kind="stable")].astype("<u2").tobytes())) for c in names for p in names if c != p]
+        return pa.table([pa.array(x) for x in zip(*found)], names=["block", "child", "parent", "own_bytes", "parent_bytes"])
+
+    return rows.groupBy("block").applyInArrow(run, "block long, child string, parent string, own_bytes long, parent_bytes long")
+
+
+@query()
+def block_sizes(spark, sf_dir):
+    """block, n_rows, n_bytes: what each block of lineitem, in the order of its keys, is encoded to."""
+    rows = sequence.numbered(_t(spark, sf_dir, "lineitem"), *LINEITEM)
+    texts = rows.select(F.lit("lineitem").alias("file"), "rid", *[N.to_text(F.col(c), rows.schema[c].dataType).alias(f"c{i}") for i, c in enumerate(LINEITEM)])
+    return archive.encode(delimited.Table(texts, LINEITEM), 20_000).select("block", "n_rows", "n_bytes")
+
+
 def queries() -> dict[str, Query]:
     return dict(_QUERIES)
 
