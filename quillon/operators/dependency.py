@@ -11,6 +11,8 @@ from itertools import combinations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from quillon.operators._lineage import kept
+
 LEAST_GAIN = 0.05
 _ONE = 1 << 20
 
@@ -41,31 +43,29 @@ def decode(df: DataFrame, name: str, values: DataFrame) -> DataFrame:
     return joined.withColumn(name, checked).drop("__i", "__v", f"{name}_id")
 
 
-def column_entropies(df: DataFrame, names: list[str]) -> DataFrame:
-    """col, n, n_distinct, h: the plug-in entropy of each column in bits."""
-    rows = df.select(F.inline(F.array(*[F.struct(F.lit(c).alias("col"), F.col(c).cast("string").alias("v")) for c in names])))
-    counts = rows.groupBy("col", "v").agg(F.count(F.lit(1)).alias("k"))
-    return _entropy(counts, ["col"])
-
-
-def pair_entropies(df: DataFrame, names: list[str]) -> DataFrame:
-    """x, y, n, n_distinct, h of every unordered pair of columns: one pass, one shuffle of joint counts."""
-    pairs = [F.struct(F.lit(a).alias("x"), F.lit(b).alias("y"), F.col(a).cast("string").alias("v"), F.col(b).cast("string").alias("w")) for a, b in combinations(names, 2)]
-    counts = df.select(F.inline(F.array(*pairs))).groupBy("x", "y", "v", "w").agg(F.count(F.lit(1)).alias("k"))
-    return _entropy(counts, ["x", "y"])
-
-
-def _entropy(counts: DataFrame, by: list[str]) -> DataFrame:
+def _set_entropies(df: DataFrame, names: list[str], sets: list[tuple[str, ...]]) -> DataFrame:
+    """x, y (null for a single column), n, n_distinct, h of each set of columns: one pass, one shuffle of
+    counts by the columns' own types. Nulls are a value like others."""
+    counts = df.select(*names).groupingSets([[F.col(c) for c in s] for s in sets], *[F.col(c) for c in names]).agg(F.count(F.lit(1)).alias("k"), F.grouping_id().alias("g"))
     # sum of -p log2 p = log2 n - (sum of k log2 k) / n
     n = F.sum("k")
-    return counts.groupBy(*by).agg(n.alias("n"), F.count(F.lit(1)).alias("n_distinct"), (F.log2(n) - F.sum(F.col("k") * F.log2("k")) / n).alias("h"))
+    by = counts.where("k > 0").groupBy("g").agg(n.alias("n"), F.count(F.lit(1)).alias("n_distinct"), (F.log2(n) - F.sum(F.col("k") * F.log2("k")) / n).alias("h"))
+    bit = {c: 1 << (len(names) - 1 - i) for i, c in enumerate(names)}
+    ids = df.sparkSession.createDataFrame([((1 << len(names)) - 1 - sum(bit[c] for c in s), s[0], s[1] if len(s) > 1 else None) for s in sets], "g long, x string, y string")
+    return by.join(F.broadcast(ids), "g").select("x", "y", "n", "n_distinct", "h")
+
+
+def column_entropies(df: DataFrame, names: list[str]) -> DataFrame:
+    """col, n, n_distinct, h: the plug-in entropy of each column in bits."""
+    return _set_entropies(df, names, [(c,) for c in names]).select(F.col("x").alias("col"), "n", "n_distinct", "h")
 
 
 def gain_matrix(df: DataFrame, names: list[str]) -> DataFrame:
     """parent, child, gain_q of every ordered pair: H(child) - H(child | parent), where the conditional
     entropy is corrected for what few rows hide, by (joint values - parent values) / (2 n ln 2)."""
-    single = column_entropies(df, names)
-    joint = pair_entropies(df, names)
+    # a row for each column and pair: few, and needed three times
+    found = kept(_set_entropies(df, names, [*((c,) for c in names), *combinations(names, 2)]).coalesce(1))
+    single, joint = found.where("y IS NULL").select(F.col("x").alias("col"), "n_distinct", "h"), found.where("y IS NOT NULL")
     both = joint.select(F.col("x").alias("parent"), F.col("y").alias("child"), "n", "n_distinct", "h").union(joint.select("y", "x", "n", "n_distinct", "h"))
     p = single.select(F.col("col").alias("parent"), F.col("h").alias("hp"), F.col("n_distinct").alias("np"))
     c = single.select(F.col("col").alias("child"), F.col("h").alias("hc"))

@@ -1,18 +1,21 @@
 """What kind of column each column of a table is.
 
-One pass melts the table into (column, cell) and counts each distinct cell, with partial
-counts before the shuffle; everything else is computed on distinct cells.
+One pass counts the distinct cells of all columns, with partial counts before the shuffle;
+everything else is computed on distinct cells.
 """
 
 from __future__ import annotations
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from quillon.functions import numbers as N
 
 #: A dictionary has at most this many values, and at most half as many as the table has rows.
 DICTIONARY_VALUES = 65_536
+#: Columns counted in one pass; a grouping id has a bit for each.
+SETS = 48
 
 
 def rendered(df: DataFrame, names: list[str] | None = None) -> DataFrame:
@@ -29,7 +32,39 @@ def melted(df: DataFrame, names: list[str] | None = None) -> DataFrame:
 
 
 def cell_counts(df: DataFrame, names: list[str] | None = None) -> DataFrame:
-    return melted(df, names).groupBy("position", "col", "cell").agg(F.count(F.lit(1)).alias("n"))
+    """position, col, cell, n: how often each text occurs in each column.
+
+    Values are counted by their own type, one grouping set for each column, and only distinct
+    ones are written as text. Types that cannot be grouped by are text from the start.
+    """
+    names = names or df.columns
+    parts = [_counted(df, names[i : i + SETS], i) for i in range(0, len(names), SETS)]
+    out = parts[0]
+    for more in parts[1:]:
+        out = out.unionByName(more)
+    return out
+
+
+def _counted(df: DataFrame, names: list[str], first: int) -> DataFrame:
+    def plain(c: str):
+        kind = df.schema[c].dataType
+        if isinstance(kind, (T.StringType, T.ArrayType, T.MapType, T.StructType, T.BinaryType, T.VariantType)):
+            return N.to_text(F.col(f"`{c}`"), kind)
+        return F.col(f"`{c}`")
+
+    keys = [f"__k{i}" for i in range(len(names))]
+    rows = df.select(*[plain(c).alias(k) for c, k in zip(names, keys)])
+    counts = rows.groupingSets([[F.col(k)] for k in keys], *[F.col(k) for k in keys]).agg(F.count(F.lit(1)).alias("n"), F.grouping_id().alias("g"))
+    every = (1 << len(keys)) - 1
+    cell = position = name = None
+    for i, (c, k) in enumerate(zip(names, keys)):
+        own = F.col("g") == (every ^ (1 << (len(keys) - 1 - i)))
+        text = N.to_text(F.col(k), rows.schema[k].dataType)
+        cell = F.when(own, text) if cell is None else cell.when(own, text)
+        position = F.when(own, first + i) if position is None else position.when(own, first + i)
+        name = F.when(own, c) if name is None else name.when(own, c)
+    # an empty table has no rows, whatever its columns
+    return counts.select(position.alias("position"), name.alias("col"), cell.alias("cell"), "n").where("n > 0")
 
 
 def column_profile(df: DataFrame) -> DataFrame:
