@@ -575,7 +575,7 @@ def json_roundtrip(spark, sf_dir):
     return lines.groupBy("block").applyInArrow(parse, "n long, mismatches long").agg(F.sum("n").alias("n"), F.sum("mismatches").alias("mismatches"))
 
 
-@query("SELECT kind, count(*) AS n, CAST(0 AS BIGINT) AS mismatches FROM part, (VALUES ('dta'), ('sav'), ('xpt')) AS k(kind) GROUP BY kind")
+@query("SELECT kind, count(*) AS n, CAST(0 AS BIGINT) AS mismatches FROM part, (VALUES ('dta'), ('por'), ('sav'), ('xpt')) AS k(kind) GROUP BY kind")
 def statistics_roundtrip(spark, sf_dir):
     rows = _rows(spark, sf_dir, "part", "p_partkey").select("block", "p_name", "p_brand", F.col("p_size").cast("double").alias("p_size"), "p_retailprice")
 
@@ -583,7 +583,7 @@ def statistics_roundtrip(spark, sf_dir):
         found = []
         numbers = lambda c: (group.column(c).to_numpy(), [None] * group.num_rows)
         data = stats.Dataset("sas", [stats.Variable("p_name", True, 40), stats.Variable("p_brand", True, 20), stats.Variable("p_size"), stats.Variable("p_retailprice")], [group.column("p_name").to_pylist(), group.column("p_brand").to_pylist(), numbers("p_size"), numbers("p_retailprice")])
-        for kind in ("dta", "sav", "xpt"):
+        for kind in ("dta", "por", "sav", "xpt"):
             own, _ = stats.translated(data, kind)
             back = stats.rendered(stats.parser(kind)(stats.writer(kind)(own)))
             found.append((kind, group.num_rows, sum(a != b for x, y in zip(stats.rendered(data), back) for a, b in zip(x, y))))
@@ -592,6 +592,19 @@ def statistics_roundtrip(spark, sf_dir):
     return rows.groupBy("block").applyInArrow(run, "kind string, n long, mismatches long").groupBy("kind").agg(F.sum("n").alias("n"), F.sum("mismatches").alias("mismatches"))
 
 
+@query()
+def size_estimate(spark, sf_dir):
+    """block, col, n_bytes, estimate, probe: what each text column of a block would compress to, by estimate and by measure."""
+    names = ["event_type", "props"]
+
+    def run(group: pa.Table) -> pa.Table:
+        group = group.sort_by("rid")
+        raw = {c: codec.joined(group.column(c).to_pylist())[0] for c in names}
+        return pa.table([pa.array(x) for x in zip(*((group.column("block")[0].as_py(), c, len(r), codec.size_estimate(r), codec.probe(r)) for c, r in raw.items()))], names=["block", "col", "n_bytes", "estimate", "probe"])
+
+    return _blocks(spark, sf_dir, "events", "event_id", names).groupBy("block").applyInArrow(run, "block long, col string, n_bytes long, estimate long, probe long")
+
+
 @query()
 def order_probe(spark, sf_dir):
     """block, child, parent, own_bytes, parent_bytes: what each dictionary's ids compress to in their own order and in that of another."""

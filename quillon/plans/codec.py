@@ -147,6 +147,30 @@ def joined(cells: list[str]) -> tuple[bytes, list[int] | None]:
     return "".join(c + "\n" for c in cells).encode(), None
 
 
+def size_estimate(raw: bytes) -> int:
+    """Bytes that a greedy search for repeats would leave: three for each repeat of four bytes or more,
+    found by the last place of their first four, and for the rest their entropy given the byte before."""
+    last: dict[bytes, int] = {}
+    pairs, singles, repeats, at = Counter(), Counter(), 0, 0
+    while at < len(raw):
+        key = raw[at : at + 4]
+        was = last.get(key) if len(key) == 4 else None
+        last[key] = at
+        if was is not None:
+            n = 4
+            while at + n < len(raw) and raw[was + n] == raw[at + n]:
+                n += 1
+            repeats += 1
+            at += n
+            continue
+        before = raw[at - 1] if at else -1
+        pairs[before, raw[at]] += 1
+        singles[before] += 1
+        at += 1
+    bits = sum(-n * np.log2(n / singles[b]) for (b, _), n in pairs.items())
+    return 3 * repeats + int(np.ceil(bits / 8))
+
+
 def probe(raw: bytes) -> int:
     """An estimate of a stream's compressed size: of four slices spread over a long one."""
     part = 65_536

@@ -114,22 +114,22 @@ def losses(data: Dataset) -> list[tuple[str, int]]:
 
 
 #: What a destination can hold: longest name, longest label, longest string, tags, user-missing ranges.
-CAPACITY = {"dta": (32, 80, 2045, True, False), "xpt": (32, 40, 32767, True, False), "sav": (64, 255, 32767, False, True), "zsav": (64, 255, 32767, False, True)}
+CAPACITY = {"dta": (32, 80, 2045, True, False), "xpt": (32, 40, 32767, True, False), "sav": (64, 255, 32767, False, True), "zsav": (64, 255, 32767, False, True), "por": (8, 255, 255, False, True)}
 
 
 def parser(kind: str):
-    from quillon.sources import spss, stata, transport
+    from quillon.sources import portable, spss, stata, transport
 
-    found = {"xpt": transport.parse, "dta": stata.parse, "sav": spss.parse, "zsav": spss.parse}.get(kind)
+    found = {"xpt": transport.parse, "dta": stata.parse, "sav": spss.parse, "zsav": spss.parse, "por": portable.parse}.get(kind)
     if found is None:
         raise Refused(f"{kind} files are not read yet")
     return found
 
 
 def writer(kind: str):
-    from quillon.sources import spss, stata, transport
+    from quillon.sources import portable, spss, stata, transport
 
-    found = {"xpt": transport.written, "dta": stata.written, "sav": spss.written}.get(kind)
+    found = {"xpt": transport.written, "dta": stata.written, "sav": spss.written, "por": portable.written}.get(kind)
     if found is None:
         raise Refused(f"{kind} files are not written")
     return found
@@ -249,6 +249,21 @@ def read_stats_text(spark: SparkSession, path: str) -> Table:
     return Table(_files(spark, path).mapInArrow(run, columns), names, schema)
 
 
+def text_losses(spark: SparkSession, path: str) -> list[tuple[str, int]]:
+    """What copies of the files as text lose, summed over them."""
+    parse = parser(format_of(path))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            for raw in b.column("content"):
+                found = losses(parse(raw.as_py()))
+                yield pa.RecordBatch.from_arrays([pa.array([k for k, _ in found], pa.string()), pa.array([n for _, n in found], pa.int64())], names=["item", "n"])
+
+    from pyspark.sql import functions as F
+
+    return [(r["item"], r["n"]) for r in _files(spark, path).mapInArrow(run, "item string, n long").groupBy("item").agg(F.sum("n").alias("n")).orderBy("item").collect()]
+
+
 def translate(spark: SparkSession, source: str, kind: str) -> DataFrame:
     """file, data, lost: each file as one of another package, checked by reading it back, and what it lost as JSON."""
     parse, write, again = parser(format_of(source)), writer(kind), parser(kind)

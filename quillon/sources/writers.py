@@ -12,6 +12,7 @@ from quillon.functions.text import delimited_field
 from quillon.sources.bytes_in import Refused, format_of
 from quillon.sources.delimited import DELIMITER_OF, Table, read_delimited
 from quillon.sources.json_rows import json_lines, quoted, read_json
+from quillon.sources.stats import read_stats_text
 
 
 def read_table(spark: SparkSession, path: str, encoding: str | None = None) -> Table:
@@ -23,12 +24,8 @@ def read_table(spark: SparkSession, path: str, encoding: str | None = None) -> T
         df = spark.read.parquet(path)
         rows = df.select(F.col("_metadata.file_path").alias("file"), F.col("_metadata.row_index").alias("rid"), *[N.to_text(F.col(f"`{f.name}`"), f.dataType).alias(f"c{i}") for i, f in enumerate(df.schema.fields)])
         return Table(rows, df.columns)
-    if kind == "xpt":
-        from quillon.sources.transport import read_transport
-
-        return read_transport(spark, path).table()
-    if kind in ("dta", "sav", "zsav", "por", "sas7bdat"):
-        raise Refused(f"{kind} files are not read yet")
+    if kind in ("xpt", "dta", "sav", "zsav", "por", "sas7bdat"):
+        return read_stats_text(spark, path)
     return read_delimited(spark, path, encoding=encoding)
 
 

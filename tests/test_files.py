@@ -8,7 +8,7 @@ import numpy as np
 import pytest
 
 from quillon.plans import archive, codec
-from quillon.sources import bytes_in, delimited, json_rows, spss, stata, stats, transport, writers
+from quillon.sources import bytes_in, delimited, json_rows, portable, spss, stata, stats, transport, writers
 from quillon.sources.bytes_in import Refused
 from quillon.sources.stats import Dataset, Variable
 
@@ -167,21 +167,21 @@ def data():
     )
 
 
-@pytest.mark.parametrize("kind,module", [("xpt", transport), ("dta", stata), ("sav", spss)])
+@pytest.mark.parametrize("kind,module", [("xpt", transport), ("dta", stata), ("sav", spss), ("por", portable)])
 def test_statistics_files(spark, tmp_path, kind, module):
     own, lost = stats.translated(data(), kind)
     raw = module.written(own)
     back = module.parse(raw)
-    assert stats.same(own, back) and back.label == "label here"
+    assert stats.same(own, back) and back.label == ("" if kind == "por" else "label here")
     path = put(tmp_path, f"t.{kind}", raw)
     t = stats.read_stats_text(spark, path)
     text = cells(t)
     assert t.names == ["id", "sex", "born", "name", "x"] and text[1][2:] == ["2018-05-06", "bé", "10000000000"]
-    assert text[1][1] == ("9" if kind == "sav" else ".a") and text[2][1] == ("" if kind == "sav" else ".b") and text[2][2] == ""
+    assert text[1][1] == ("9" if kind in ("sav", "por") else ".a") and text[2][1] == ("" if kind in ("sav", "por") else ".b") and text[2][2] == ""
     rows, schema = stats.read_stats(spark, path)
     assert rows.count() == 3 and [v["name"] for v in schema["variables"]] == t.names
     assert json.loads(stats.read_schema(spark, path).first().schema)["rows"] == 3
-    for other in ("xpt", "dta", "sav"):
+    for other in ("xpt", "dta", "sav", "por"):
         out = stats.translate(spark, path, other).first()
         assert [c[0] for c in stats.rendered(stats.parser(other)(bytes(out.data)))] == [text[0][i] for i in range(5)]
     empty = Dataset(own.family, own.variables, [[] if v.text else (np.zeros(0), []) for v in own.variables])
@@ -197,3 +197,29 @@ def test_spss_bytecode_and_ibm_floats():
     x = np.array([0.0, 1.0, -1.0, 0.1, 123456.789, -1e-20, 2.0**200])
     assert np.allclose(transport.from_ibm(transport.to_ibm(x)), x, rtol=1e-15)
     assert int(transport.to_ibm(np.array([1.0]))[0]) == 0x4110000000000000
+
+
+def test_commands(spark, tmp_path, capsys):
+    from quillon.__main__ import main
+
+    source = put(tmp_path, "t.csv", "id,k\n" + "".join(f"{i},{'ab'[i % 2]}\n" for i in range(300)))
+    archived = str(tmp_path / "t.qln")
+    assert main(["compress", source, "-o", archived, "--rows", "100"]) == 0
+    assert main(["info", archived, "--json"]) == 0
+    found = json.loads(capsys.readouterr().out.splitlines()[-1])
+    assert found["rows"] == 300 and found["blocks"] == 3
+    assert main(["restore", archived, "-o", str(tmp_path / "back.csv")]) == 0
+    assert (tmp_path / "back.csv").read_bytes() == Path(source).read_bytes()
+    assert main(["stream-compress", source, "-o", str(tmp_path / "s.qln"), "--budget", "0.7"]) == 0
+    assert main(["convert", source, str(tmp_path / "t.json")]) == 0
+    assert main(["convert", put(tmp_path, "x.xlsx", b"PK\x03\x04junk"), str(tmp_path / "x.csv")]) == 1
+    assert main(["restore", put(tmp_path, "bogus.qln", b"QLN1 not really"), "-o", str(tmp_path / "y.csv")]) == 1
+    assert main(["nonsense"]) == 2 and main(["version"]) == 0
+    dta = put(tmp_path, "d.dta", stata.written(stats.translated(data(), "dta")[0]))
+    assert main(["convert", dta, str(tmp_path / "d.sav")]) == 0 and main(["convert", dta, str(tmp_path / "d.csv")]) == 0
+    assert "lost: missing tags (2)" in capsys.readouterr().out
+
+
+def test_base_30():
+    for x in (0.0, 1.0, -1.0, 29.0, 30.0, 900.0, 0.5, 0.1, -123456.789, 1e10, 1e-7, 2.0**60):
+        assert portable._Text(portable.base30(x)).number() == x, x
