@@ -17,6 +17,8 @@ import zlib
 from collections import Counter
 
 import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 
 from quillon.functions.numbers import CANONICAL, MOST_DECIMALS, NEGATIVE_ZERO, REACH
 from quillon.operators import compare, dependency, derive
@@ -55,20 +57,39 @@ def written(value: int, places: int) -> str:
 def numbers(cells: list[str], lenient: bool) -> tuple[int, np.ndarray, dict[int, str]] | None:
     """(decimals, mantissas, exceptions) of a column; lenient: with at most EXCEPTION_PERCENT exceptions,
     whose mantissas repeat the one before them (the first one's, at the start)."""
-    counts = Counter(len(c.partition(".")[2]) for c in cells if _canonical.fullmatch(c))
-    if not counts or not lenient and len(counts) > 1:
+    n = len(cells)
+    most = n * EXCEPTION_PERCENT // 100 if lenient else 0
+    if sum(not _canonical.fullmatch(c) for c in cells[:64]) > most:
         return None
-    places = min(counts, key=lambda d: (-counts[d], d))
-    if places > MOST_DECIMALS:
+    texts = pa.array(cells, pa.string())
+    fits = pc.and_(pc.match_substring_regex(texts, rf"\A(?:{CANONICAL})\z"), pc.invert(pc.match_substring_regex(texts, rf"\A(?:{NEGATIVE_ZERO})\z"))).to_numpy(zero_copy_only=False)
+    if not fits.any() or n - int(fits.sum()) > most:
         return None
-    values = [mantissa(c, places) for c in cells]
-    odd = {i: cells[i] for i, v in enumerate(values) if v is None}
-    if len(odd) > (len(cells) * EXCEPTION_PERCENT // 100 if lenient else 0) or len(odd) == len(cells):
+    dot = pc.find_substring(texts, ".").to_numpy()
+    size = pc.binary_length(texts).to_numpy()
+    places = np.where(dot < 0, 0, size - dot - 1)
+    met, counts = np.unique(places[fits], return_counts=True)
+    if len(met) > 1 and not lenient:
         return None
-    last = next(v for v in values if v is not None)
-    for i, v in enumerate(values):
-        values[i] = last = last if v is None else v
-    return places, np.array(values, np.int64), odd
+    own = int(met[np.argmax(counts)])  # the smaller of equals
+    if own > MOST_DECIMALS:
+        return None
+    fits &= places == own
+    short = fits & (size <= 18)  # these cannot overflow
+    values = np.zeros(n, np.int64)
+    values[short] = pc.cast(pc.replace_substring(texts.filter(pa.array(short)), ".", ""), pa.int64()).to_numpy()
+    for i in np.flatnonzero(fits & ~short).tolist():
+        v = mantissa(cells[i], own)
+        if v is None:
+            fits[i] = False
+        else:
+            values[i] = v
+    where = np.flatnonzero(fits)
+    if n - len(where) > most or not len(where):
+        return None
+    last = np.maximum.accumulate(np.where(fits, np.arange(n), -1))
+    values = values[np.where(last < 0, where[0], last)]
+    return own, values, {i: cells[i] for i in np.flatnonzero(~fits).tolist()}
 
 
 def zigzag(v: np.ndarray) -> np.ndarray:
