@@ -123,7 +123,7 @@ def base30(x: float) -> str:
         return "0/"
     sign, (top, bottom) = ("-" if x < 0 else ""), abs(x).as_integer_ratio()
     power = 0
-    while bottom > 1 and power < 40:  # a power of two below divides a power of thirty
+    while bottom > 1 and power < 1100:  # a power of two below divides a power of thirty
         top, power = top * 30, power + 1
         while bottom > 1 and top % 2 == 0:
             top, bottom = top // 2, bottom // 2
