@@ -118,16 +118,16 @@ CAPACITY = {"dta": (32, 80, 2045, True, False), "xpt": (32, 40, 32767, True, Fal
 
 
 def parser(kind: str):
-    from quillon.sources import portable, spss, stata, transport
+    from quillon.sources import portable, sas7bdat, spss, stata, transport
 
-    found = {"xpt": transport.parse, "dta": stata.parse, "sav": spss.parse, "zsav": spss.parse, "por": portable.parse}.get(kind)
+    found = {"xpt": transport.parse, "dta": stata.parse, "sav": spss.parse, "zsav": spss.parse, "por": portable.parse, "sas7bdat": sas7bdat.parse}.get(kind)
     if found is None:
         raise Refused(f"{kind} files are not read yet")
     return found
 
 
 def writer(kind: str):
-    from quillon.sources import portable, spss, stata, transport
+    from quillon.sources import portable, sas7bdat, spss, stata, transport
 
     found = {"xpt": transport.written, "dta": stata.written, "sav": spss.written, "por": portable.written}.get(kind)
     if found is None:

@@ -8,7 +8,7 @@ import numpy as np
 import pytest
 
 from quillon.plans import archive, codec
-from quillon.sources import bytes_in, delimited, json_rows, portable, spss, stata, stats, transport, writers
+from quillon.sources import bytes_in, delimited, json_rows, portable, sas7bdat, spss, stata, stats, transport, writers
 from quillon.sources.bytes_in import Refused
 from quillon.sources.stats import Dataset, Variable
 
@@ -223,3 +223,55 @@ def test_commands(spark, tmp_path, capsys):
 def test_base_30():
     for x in (0.0, 1.0, -1.0, 29.0, 30.0, 900.0, 0.5, 0.1, -123456.789, 1e10, 1e-7, 2.0**60):
         assert portable._Text(portable.base30(x)).number() == x, x
+
+
+def sas_file(rows, packed=None, mark=b""):
+    """A little-endian 64-bit file of a double `x` (format BEST, label "an x") and a string of 8, on one mixed page."""
+    import struct
+
+    word = lambda *x: struct.pack(f"<{len(x)}Q", *x)
+    size, text = 16, b"\0\0" + mark.ljust(30) + b"xname".ljust(8) + b"BEST" + b"an x"
+    row_size = bytearray(word(sas7bdat.ROW_SIZE) + bytes(8 * 100))
+    for place, value in ((5, size), (6, len(rows)), (15, 0 if packed else len(rows))):
+        row_size[8 * place : 8 * place + 8] = word(value)
+    columns = word(sas7bdat.COLUMN_SIZE, 2) + bytes(8)
+    strings = word(0xFFFFFFFFFFFFFFFD) + text
+    names = word(0xFFFFFFFFFFFFFFFF) + struct.pack("<H6x", 8 + 16) + struct.pack("<HHHH", 0, 32, 1, 0) + struct.pack("<HHHH", 0, 33, 4, 0)
+    attributes = word(0xFFFFFFFFFFFFFFFC) + struct.pack("<H6x", 8 + 32) + struct.pack("<QIHBB", 0, 8, 4, 1, 0) + struct.pack("<QIHBB", 8, 8, 4, 2, 0)
+    first = word(0xFFFFFFFFFFFFFBFE) + bytes(38) + struct.pack("<HHHHHH", 0, 40, 4, 0, 44, 4)
+    second = word(0xFFFFFFFFFFFFFBFE) + bytes(38) + bytes(12)
+    pieces = [(bytes(x), 0) for x in (row_size, columns, strings, names, attributes, first, second)] + [(p, 4) for p in packed or []]
+    page, end = bytearray(8192), 8192
+    page[32:38] = struct.pack("<HHH", sas7bdat.META if packed else sas7bdat.MIXED, len(pieces) + (0 if packed else len(rows)), len(pieces))
+    for k, (piece, kind) in enumerate(pieces):
+        end -= len(piece)
+        page[end : end + len(piece)] = piece
+        page[40 + 24 * k : 64 + 24 * k] = struct.pack("<QQBB6x", end, len(piece), kind, 1 if kind else 0)
+    start = 40 + 24 * len(pieces)
+    if not packed:
+        page[start : start + size * len(rows)] = b"".join(rows)
+    header = bytearray(1024)
+    header[:32] = sas7bdat.MAGIC
+    header[32], header[35], header[37], header[70] = 0x33, 0x22, 1, 20
+    header[196:204] = struct.pack("<II", 1024, 8192)
+    header[204:212] = word(1)
+    return bytes(header + page)
+
+
+def test_sas_data_files(spark, tmp_path):
+    import struct
+
+    missing = struct.pack("<Q", 0xFFFF_FE00_0000_0000 & ~(0xFF << 40) | (255 - ord("B")) << 40)
+    rows = [struct.pack("<d", 1.5) + "é".encode().ljust(8), missing + b"abcdefgh", struct.pack("<d", -2.0) + b" " * 8]
+    path = put(tmp_path, "t.sas7bdat", sas_file(rows))
+    t = stats.read_stats_text(spark, path)
+    assert t.names == ["x", "name"] and cells(t) == [["1.5", "é"], [".b", "abcdefgh"], ["-2", ""]]
+    assert (t.info["variables"][0]["shown"], t.info["variables"][0]["label"]) == ("BEST", "an x")
+    runs = [bytes([0x8F]) + rows[0], bytes([0x8F]) + rows[1], bytes([0x87]) + rows[2][:8] + bytes([0xE6])]
+    assert sas7bdat.parse(sas_file(rows, runs, b"SASYZCRL")).columns[1] == ["é", "abcdefgh", ""]
+    copies = [b"\0\0" + r for r in rows[:2]] + [bytes([0, 0x80]) + rows[2][:8] + bytes([0x05, 32])]
+    assert sas7bdat.parse(sas_file(rows, copies, b"SASYZCR2")).columns[1] == ["é", "abcdefgh", ""]
+    assert sas7bdat.expand_copies(bytes([0x10, 0]) + b"abc" + bytes([0x30 | 0, 0]) + b"", 6) == b"abcabc"
+    for bad in (b"no", sas_file(rows)[:3000]):
+        with pytest.raises(Refused):
+            sas7bdat.parse(bad)
