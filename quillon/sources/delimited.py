@@ -150,3 +150,59 @@ def _batch(file: str, start: int, rows: list[list[str]], width: int) -> pa.Recor
     columns = list(zip(*rows)) if width else []
     arrays = [pa.array([file] * len(rows), pa.string()), pa.array(range(start, start + len(rows)), pa.int64()), *(pa.array(c, pa.string()) for c in columns)]
     return pa.RecordBatch.from_arrays(arrays, names=["file", "rid", *(f"c{i}" for i in range(width))])
+
+
+# -- large files, split by lines ------------------------------------------------------------
+
+
+def line_record(line: str, delimiter: str = ",", quoting: bool = True) -> list[str]:
+    """The one record of a line; a quote that the line does not close is refused."""
+    if quoting and line.count('"') % 2 and re.search(f'(?:^|{re.escape(delimiter)})"(?:[^"]|"")*\\Z', line):
+        raise Refused(f"a quote holds an end of line at {line[:40]!r}; the file has to be read whole")
+    return next(records(line, delimiter, quoting), [""])
+
+
+def read_delimited_lines(spark: SparkSession, path: str, delimiter: str | None = None, quoting: bool = True) -> Table:
+    """The same table as read_delimited for UTF-8 files in which no quote holds an end of line, read by all
+    tasks: a file is split, and a row's number is its place in its split after the lines of earlier splits.
+
+    A CR before a LF ends the line with it; any other CR is refused, as are bytes that are no UTF-8.
+    """
+    source = spark.read.option("recursiveFileLookup", "true").option("lineSep", "\n").text(path)
+    lines = source.select(F.col("_metadata.file_path").alias("file"), F.col("_metadata.file_block_start").alias("start"), F.when(F.is_valid_utf8("value"), F.col("value")).otherwise(F.raise_error(F.concat(F.lit("Refused: not UTF-8 in "), F.col("_metadata.file_path")))).alias("value"))
+    head = lines.where("start = 0").select("file", "value").first()
+    if head is None:
+        return Table(spark.createDataFrame([], "file string, rid long"), [])
+    header = head["value"].removeprefix("﻿").removesuffix("\r")
+    if delimiter is None:
+        delimiter = DELIMITER_OF.get(format_of(head["file"])) or sniffed(header)
+    names = line_record(header, delimiter, quoting)
+    width = len(names)
+    before = lines.groupBy("file", "start").agg(F.count(F.lit(1)).alias("n")).collect()  # a row for each split
+    first: dict[tuple[str, int], int] = {}
+    for file in sorted({r["file"] for r in before}):
+        at = -1  # the header is no row
+        for r in sorted((r for r in before if r["file"] == file), key=lambda r: r["start"]):
+            first[file, r["start"]] = at
+            at += r["n"]
+
+    def parse(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        met: dict[tuple[str, int], int] = {}
+        for b in batches:
+            files, numbers, rows = [], [], []
+            for file, start, line in zip(*(b.column(c).to_pylist() for c in ("file", "start", "value"))):
+                rid = first[file, start] + met.get((file, start), 0)
+                met[file, start] = met.get((file, start), 0) + 1
+                if rid < 0:
+                    continue
+                line = line.removesuffix("\r")
+                if "\r" in line:
+                    raise Refused(f"a line of {file} holds a CR; the file has to be read whole")
+                files.append(file)
+                numbers.append(rid)
+                rows.append(fitted(line_record(line, delimiter, quoting), width, rid + 1))
+            columns = list(zip(*rows)) if rows else [[]] * width
+            yield pa.RecordBatch.from_arrays([pa.array(files, pa.string()), pa.array(numbers, pa.int64()), *(pa.array(c, pa.string()) for c in columns)], names=["file", "rid", *(f"c{i}" for i in range(width))])
+
+    schema = ", ".join(["file string", "rid long", *(f"c{i} string" for i in range(width))])
+    return Table(lines.mapInArrow(parse, schema), names, {"delimiter": delimiter, "quoting": quoting})

@@ -79,6 +79,28 @@ def test_json(spark, tmp_path):
         list(json_rows.rows("[1]\n", True))
 
 
+def test_lines_are_read_side_by_side(spark, tmp_path):
+    rows = "".join(f'{i},"a, ""{i % 7}""",x{i % 3}\r\n' for i in range(3000))
+    path = put(tmp_path, "big.csv", "\ufeffid,note,k\r\n" + rows)
+    whole = delimited.read_delimited(spark, path)
+    before = spark.conf.get("spark.sql.files.maxPartitionBytes")
+    try:
+        spark.conf.set("spark.sql.files.maxPartitionBytes", "8k")
+        spark.conf.set("spark.sql.files.openCostInBytes", "1k")
+        split = delimited.read_delimited_lines(spark, path)
+        assert split.rows.rdd.getNumPartitions() > 3
+        assert split.names == whole.names == ["id", "note", "k"]
+        key = lambda t: sorted((r.rid, r.c0, r.c1, r.c2) for r in t.rows.collect())
+        assert key(split) == key(whole)
+    finally:
+        spark.conf.set("spark.sql.files.maxPartitionBytes", before)
+        spark.conf.unset("spark.sql.files.openCostInBytes")
+    for bad in ('a,b\n"x\ny",1\n', "a,b\n1,2\r3\n", b"a\n\xe9\n", "a,b\n1,2,3\n"):
+        with pytest.raises(Exception):
+            cells(delimited.read_delimited_lines(spark, put(tmp_path, "bad.csv", bad)))
+    assert delimited.read_delimited_lines(spark, put(tmp_path, "none.csv", "")).names == []
+
+
 def test_writers(spark, tmp_path):
     source = put(tmp_path, "t.csv", 'id,note\n1,"a, ""b"""\n2,"l\nm"\n3,tab\there\n')
     t = writers.read_table(spark, source)
