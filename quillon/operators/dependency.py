@@ -12,6 +12,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from quillon.operators._lineage import kept
+from quillon.operators.profile import DICTIONARY_VALUES
 
 LEAST_GAIN = 0.05
 _ONE = 1 << 20
@@ -21,14 +22,16 @@ def score(x: Column) -> Column:
     return F.floor(x * _ONE + 0.5).cast("long")
 
 
-def alphabet(df: DataFrame, name: str) -> DataFrame:
+def alphabet(df: DataFrame, name: str, most: int = DICTIONARY_VALUES) -> DataFrame:
     """value, id, n: the distinct values in byte order, numbered from 0, and how often each occurs.
 
-    The numbers come from a window over the distinct values alone; a dictionary has at most
-    profile.DICTIONARY_VALUES of them, and others are not encoded.
+    A column with more than `most` values is no dictionary and is refused; so the one task that
+    numbers them never gets more rows than that, whatever the column.
     """
-    counts = df.groupBy(F.col(name).alias("value")).agg(F.count(F.lit(1)).alias("n"))
-    return counts.select("value", (F.row_number().over(Window.orderBy("value")) - 1).cast("long").alias("id"), "n")
+    counts = df.groupBy(F.col(name).alias("value")).agg(F.count(F.lit(1)).alias("n")).limit(most + 1)
+    place = (F.row_number().over(Window.orderBy("value")) - 1).cast("long")
+    bounded = F.when(place >= most, F.raise_error(F.lit(f"{name} has more than {most} values")).cast("long")).otherwise(place)
+    return counts.select("value", bounded.alias("id"), "n")
 
 
 def encode(df: DataFrame, name: str, values: DataFrame) -> DataFrame:

@@ -71,6 +71,8 @@ def test_decode_refuses_unknown_ids(spark):
     df = spark.createDataFrame([("x",), ("y",)], "v string")
     values = dependency.alphabet(df, "v")
     assert sorted(r.v for r in dependency.decode(dependency.encode(df, "v", values), "v", values).collect()) == ["x", "y"]
+    with pytest.raises(Exception, match="more than 1 values"):
+        dependency.alphabet(df, "v", 1).collect()
     with pytest.raises(Exception, match="alphabet"):
         dependency.decode(spark.createDataFrame([(7,)], "v_id long"), "v", values).collect()
 

@@ -297,3 +297,25 @@ def test_sas_data_files(spark, tmp_path):
     for bad in (b"no", sas_file(rows)[:3000]):
         with pytest.raises(Refused):
             sas7bdat.parse(bad)
+
+
+@pytest.mark.parametrize("release,order", [(113, "<"), (114, "<"), (115, ">")])
+def test_old_stata_files(release, order):
+    import struct
+
+    e, pad = order, lambda s, n: s.encode("cp1252").ljust(n, b"\0")
+    width = 12 if release == 113 else 49
+    raw = bytes([release, 2 if e == "<" else 1, 1, 0]) + struct.pack(e + "HI", 4, 3) + pad("a file", 81) + pad("", 18) + bytes([255, 252, 5, 251])
+    raw += b"".join(pad(x, 33) for x in ("x", "n", "s", "b")) + bytes(10) + b"".join(pad(x, width) for x in ("%9.0g", "%td", "%5s", "%8.0g"))
+    raw += b"".join(pad(x, 33) for x in ("", "", "", "yes")) + b"".join(pad(x, 81) for x in ("an x", "", "", "")) + struct.pack(e + "BI", 1, 4) + b"note" + struct.pack(e + "BI", 0, 0)
+    missing = np.array([stata.DOUBLE_MISSING + 2 * stata.DOUBLE_STEP], np.int64).view(np.float64)[0]
+    for x, n, s, b in ((1.5, 0, "é", 1), (missing, 21310, "abcde", 0), (-2.0, 32741, "", 102)):
+        raw += struct.pack(e + "dh", x, n) + pad(s, 5) + struct.pack("b", b)
+    words = b"no\0yes\0"
+    body = struct.pack(e + "II", 2, len(words)) + struct.pack(e + "IIii", 0, 3, 0, 1) + words
+    raw += struct.pack(e + "I", len(body)) + pad("yes", 33) + bytes(3) + body
+    d = stata.parse(raw)
+    assert stats.rendered(d) == [["1.5", ".b", "-2"], ["1960-01-01", "2018-05-06", ""], ["é", "abcde", ""], ["1", "0", ".a"]]
+    assert d.sets == {"yes": {0.0: "no", 1.0: "yes"}} and d.variables[0].label == "an x" and d.label == "a file" and d.variables[3].labels == "yes"
+    with pytest.raises(Refused):
+        stata.parse(raw[:200])
