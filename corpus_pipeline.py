@@ -18,35 +18,48 @@ from quillon.llm.quality import train_quality, with_quality
 from quillon.llm.substring_dedup import dedup_substrings
 
 
-def _recounted(docs: DataFrame, columns: list[str]) -> DataFrame:
-    """The columns, with n_chars (where there is one) as the text now has it."""
-    return docs.select(*[F.char_length("text").cast("long").alias(c) if c == "n_chars" else F.col(c) for c in columns])
+_OWN = ("doc_id", "text")
+
+
+def _apart(docs: DataFrame) -> DataFrame:
+    """docs with every column but its id and text under a name that no operator uses."""
+    return docs.select(*[F.col(f"`{c}`").alias(c if c in _OWN else f"__own{i}") for i, c in enumerate(docs.columns)])
+
+
+def _restored(result: DataFrame, docs: DataFrame, recount: bool = False) -> DataFrame:
+    """docs' columns of a result made from _apart(docs); recount: n_chars (where there is one) as the text now has it."""
+    own = lambda i, c: F.col(c if c in _OWN else f"__own{i}")
+    return result.select(*[(F.char_length("text").cast("long") if recount and c == "n_chars" else own(i, c)).alias(c) for i, c in enumerate(docs.columns)])
 
 
 def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The documents that the quality classifier, trained on the labelled ones among them, accepts."""
+    """The documents that the quality classifier, trained on the labelled ones among them, accepts.
+
+    A null text is judged as an empty one.
+    """
     model = train_quality(docs, spark.read.parquet(f"{sf_dir}/labels.parquet"))
-    return with_quality(docs, model).where("predicted = 1").select(*docs.columns)
+    return _restored(with_quality(_apart(docs), model).where("predicted = 1"), docs)
 
 
 def line_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """All documents, without the lines of repeated three-line windows."""
-    return _recounted(dedup_lines(docs), docs.columns)
+    """All documents, without the lines of repeated three-line windows. Null texts stay null."""
+    return _restored(dedup_lines(_apart(docs)), docs, recount=True)
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """The smallest doc_id of each group of documents that links of similarity 0.8 or more connect.
 
-    Rows without an id belong to no group and stay.
+    Rows without an id belong to no group and stay; rows that repeat an id stay or go together.
     """
     others = jaccard_join(docs).where("doc_id <> class_id").select(F.col("doc_id").alias("__other")).distinct()
     others = measured(checkpointed(others), F.lit(16))
-    return docs.join(others, docs["doc_id"].cast("long") == others["__other"], "left_anti").select(*docs.columns)
+    rows = _apart(docs)
+    return _restored(rows.join(others, rows["doc_id"].cast("long") == others["__other"], "left_anti"), docs)
 
 
 def substring_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """All documents, without the words of 13-word sequences that a smaller doc_id has too."""
-    return _recounted(dedup_substrings(docs), docs.columns)
+    """All documents, without the words of 13-word sequences that a smaller doc_id has too. Null texts stay null."""
+    return _restored(dedup_substrings(_apart(docs)), docs, recount=True)
 
 
 def packing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -47,3 +47,13 @@ def test_dedup_stages(spark):
 def test_run_packs_what_is_left(spark):
     out = corpus_pipeline.run(spark, "/root/testdata/sf0.001")
     assert out.columns == ["doc_id", "piece", "start", "length", "ids_crc32", "sequence_id", "offset"] and 0 < out.count()
+
+
+def test_stages_keep_columns_of_any_name(spark):
+    docs = documents(spark, corpus(3, 10)).selectExpr("doc_id", "text", "score", "score + 1 AS predicted", "n_chars AS n_lines", "kept AS n_removed", "lang AS __other", "n_chars")
+    for stage in (corpus_pipeline.quality, corpus_pipeline.line_dedup, corpus_pipeline.near_duplicates, corpus_pipeline.substring_dedup):
+        out = stage(spark, docs, SF)
+        assert out.columns == docs.columns
+        assert {(r.score, r.predicted, r.n_removed) for r in out.collect()} <= {(0.5, 1.5, "k")}
+        assert stage(spark, docs.limit(0), SF).count() == 0
+    assert corpus_pipeline.packing(spark, docs.limit(0), SF).count() == 0
