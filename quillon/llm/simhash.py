@@ -25,7 +25,7 @@ _LANES = np.unpackbits(np.arange(256, dtype=np.uint8)[:, None], axis=1).view(_U)
 _VOTES = 255
 #: Code points worked on at a time, and bytes of text that one sorted range of ids should hold.
 _SLICE = 400_000
-RANGE_BYTES = 16_000_000
+RANGE_BYTES = 4_000_000
 #: Ranges at most, so that what the driver holds of them is bounded; larger ranges sort with spills.
 MOST_RANGES = 100_000
 
