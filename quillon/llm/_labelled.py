@@ -9,6 +9,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 FOLDS = 5
+#: Characters of text that a training sample has at most, beside its bound on rows.
+TRAINING_BYTES = 200_000_000
 
 
 def fold(id_col: str = "doc_id"):
@@ -31,14 +33,22 @@ def training_rows(docs: DataFrame, labels: DataFrame, label: str, most: int) ->
 
 
 def trained(rows: DataFrame, fit: Callable[[list[str], list[int]], bytes]) -> bytes:
-    """What `fit` makes of the rows, in one task on an executor; the rows are few by training_rows."""
+    """What `fit` makes of the rows, in one task on an executor; the rows are few by training_rows, and
+    those past TRAINING_BYTES of text, in the order of the id's hash, are left out of the sample."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        seen: list[tuple] = []
+        texts: list[str] = []
+        y: list[int] = []
+        size = 0
         for b in batches:
-            seen += zip(b.column("id").to_pylist(), b.column("text").to_pylist(), b.column("y").to_pylist())
-        seen.sort(key=lambda r: ((r[0] * 0x9E3779B97F4A7C15) & (2**64 - 1), r[1]))  # neither by id nor by class
-        yield pa.RecordBatch.from_arrays([pa.array([fit([r[1] for r in seen], [r[2] for r in seen])], pa.binary())], names=["model"])
-
-    model = rows.repartition(1).mapInArrow(run, "model binary").first()  # none without rows
+            for text, label in zip(b.column("text").to_pylist(), b.column("y").to_pylist()):
+                size += len(text)
+                if size <= TRAINING_BYTES or not texts:
+                    texts.append(text)
+                    y.append(label)
+        yield pa.RecordBatch.from_arrays([pa.array([fit(texts, y)], pa.binary())], names=["model"])
+
+    # neither by id nor by class
+    ordered = rows.repartition(1).sortWithinPartitions(F.xxhash64("id"), "id", "text")
+    model = ordered.select("text", "y").mapInArrow(run, "model binary").first()  # none without rows
     return bytes(model["model"]) if model else fit([], [])
