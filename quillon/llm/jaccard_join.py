@@ -28,7 +28,7 @@ from quillon.llm._hashing import Texts, mix, span_hashes
 from quillon.llm._shared import checkpointed, measured
 
 WORDS, SIMILARITY, RECALL = 5, (4, 5), 0.999
-DEPTH, LEAF, BLOCK = 3, 512, 1024
+DEPTH, LEAF, BLOCK = 3, 512, 256
 #: Sampled tokens of a set, among which each node chooses; at least as many as runs.
 TOKENS = 14
 _SLICE = 1_000_000
