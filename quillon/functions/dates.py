@@ -40,9 +40,8 @@ def iso_datetime(value: Column, family: str) -> Column:
     micros = value * F.lit(1_000_000.0 / units)
     whole = F.when((micros == F.floor(micros)) & (F.abs(micros) < 4e17), micros).cast("long") + F.lit(EPOCH_DAYS[family] * 86_400_000_000)
     whole = F.when((whole >= -719528 * 86_400_000_000) & (whole < 2932897 * 86_400_000_000), whole)
-    day, rest = F.floor(whole / F.lit(86_400_000_000)).cast("long"), None
-    day = F.expr("0") + (whole - F.pmod(whole, F.lit(86_400_000_000))) / F.lit(86_400_000_000)
     rest = F.pmod(whole, F.lit(86_400_000_000))
+    day = (whole - rest) / F.lit(86_400_000_000)
     seconds, fraction = F.floor(rest / 1_000_000).cast("long"), rest % 1_000_000
     clock = F.concat_ws(":", *[F.lpad(x.cast("string"), 2, "0") for x in (F.floor(seconds / 3600), F.floor(seconds / 60) % 60, seconds % 60)])
     tail = F.regexp_replace(F.lpad(fraction.cast("string"), 6, "0"), "0+$", "")
