@@ -23,7 +23,7 @@ HASH_BITS = 20
 SHAPES = ((), (1,), (2,))
 #: Words are also taken by their first so many letters, for endings not met in training.
 STEMS = (4, 5, 6)
-ALPHA, BETA, L1, L2, EPOCHS = 0.2, 1.0, 2.0, 1.0, 2
+ALPHA, BETA, L1, L2, EPOCHS = 0.5, 1.0, 3.0, 1.0, 4
 #: Labelled documents that training takes at most.
 TRAINING_ROWS = 20_000
 _SLICE = 400_000
