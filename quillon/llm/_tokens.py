@@ -9,10 +9,10 @@ import pyarrow as pa
 import pyarrow.compute as pc
 
 #: Entries that a cache keeps at most, and characters of a pre-token worth keeping.
-CACHE_ENTRIES = 1_000_000
+CACHE_ENTRIES = 600_000
 CACHE_CHARS = 48
 #: Documents are worked on in slices of about so many characters.
-SLICE_CHARS = 4_000_000
+SLICE_CHARS = 2_000_000
 
 
 def slices(batch: pa.RecordBatch, text: str = "text") -> Iterator[tuple[pa.RecordBatch, list[str]]]:

@@ -32,7 +32,7 @@ from quillon.llm._shared import checkpointed, measured
 
 WINDOW = 13
 #: Words of a minimizer, code points of a slice, and bytes of text for each block.
-GRAM, SLICE, BLOCK_BYTES = 3, 4_000_000, 12_000_000
+GRAM, SLICE, BLOCK_BYTES = 3, 2_000_000, 8_000_000
 _U = np.uint64
 _MOST_WORDS = 255 - WINDOW
 
