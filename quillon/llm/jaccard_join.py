@@ -29,8 +29,6 @@ from quillon.llm._shared import checkpointed, measured
 
 WORDS, SIMILARITY, RECALL = 5, (4, 5), 0.999
 DEPTH, LEAF, BLOCK = 3, 512, 256
-#: Sampled tokens of a set, among which each node chooses; at least as many as runs.
-TOKENS = 14
 _SLICE = 1_000_000
 _U = np.uint64
 
@@ -73,20 +71,21 @@ def set_keys(h: np.ndarray, limits: np.ndarray) -> tuple[np.ndarray, np.ndarray]
 
 
 def paths(h: np.ndarray, limits: np.ndarray, runs: int) -> np.ndarray:
-    """(texts, DEPTH * runs): the node of each depth that each run leads a set to; texts with an empty set are left as 0."""
-    tokens = max(TOKENS, runs)
-    full = np.flatnonzero(np.diff(limits))
-    picked = np.empty((tokens, len(full)), _U)
-    for k in range(tokens):
-        picked[k] = np.minimum.reduceat(mix(h ^ _U(0x9E3779B97F4A7C15 * (k + 1) & (2**64 - 1))), limits[full]) if len(full) else 0
-    out = np.zeros((len(limits) - 1, DEPTH * runs), np.int64)
+    """(texts, DEPTH * runs): the node of each depth that each run leads a set to; texts with an empty set are left as 0.
+
+    The hash whose minimum splits a node is chosen by the node's path, run included: no two depths or runs share one.
+    """
+    sizes = np.diff(limits)
+    full = np.flatnonzero(sizes)
+    out = np.zeros((len(sizes), DEPTH * runs), np.int64)
+    if not len(full):
+        return out
+    sizes = sizes[full]
     for r in range(runs):
-        used = np.full(len(full), r)
-        node = mix(picked[r] + _U(r))
+        node = np.full(len(full), mix(np.array([r + 1], _U))[0])
         for d in range(DEPTH):
-            if d:
-                used = (used + 1 + (node % _U(tokens - 1)).astype(np.int64)) % tokens
-                node = mix(node * _U(0xFF51AFD7ED558CCD) + picked[used, np.arange(len(full))])
+            token = np.minimum.reduceat(mix(h ^ (np.repeat(node, sizes) if d else node[0])), limits[full])
+            node = mix(node * _U(0xFF51AFD7ED558CCD) + token)
             out[full, d * runs + r] = (node | _U(1)).view(np.int64)  # 0 means no node
     return out
 

@@ -313,6 +313,15 @@ def test_jaccard_join_finds_all_links(spark, monkeypatch, leaf, block):
     assert jaccard_join.jaccard_join(docs.limit(0)).count() == 0
 
 
+def test_pairs_at_the_threshold_meet_with_the_recall():
+    pairs, runs = 20_000, jaccard_join.RUNS
+    codes = np.random.default_rng(1).integers(0, 2**64, (pairs, 10), np.uint64)
+    sets = np.stack([codes[:, :9], codes[:, 1:]], 1)  # 8 of 10 members in common
+    nodes = jaccard_join.paths(sets.ravel(), np.arange(2 * pairs + 1) * 9, runs).reshape(pairs, 2, jaccard_join.DEPTH, runs)
+    missed = (nodes[:, 0] != nodes[:, 1]).all(axis=2).mean(axis=0)
+    assert missed[-1] < 1.5 * (1 - jaccard_join.RECALL) and missed[1] < 0.0005 and missed[0] < 0.0005
+
+
 def test_runs_reach_the_recall():
     n = jaccard_join.runs_needed(0.8, 0.999, 3)
     assert 1 - (1 - 0.8**3) ** n >= 0.999 > 1 - (1 - 0.8**3) ** (n - 1)
