@@ -5,10 +5,10 @@ smallest hash of the word triples in them, which decides the block they belong t
 windows meet in one block, wherever they stand, and a document need not be factored against
 any other. What a document sends to a block are stretches, each as the 64-bit fingerprints of its
 windows one word apart; a block orders its stretches by document, indexes their windows, and
-factors each stretch greedily against the documents of smaller doc_id: a factor goes on while the
-next window, and so the next word, is in the reference too. Factors are at least 13 words long and
-become duplicate spans; the windows at a factor's end are looked up by themselves, since they can
-continue in another document. Windows of one block and one fingerprint count as equal; blocks do
+factors each stretch greedily against the documents of smaller doc_id: a factor is the longest match
+that one of them has from its window on, found among the sorted suffixes, and the next factor begins at
+the window after it, so that it can continue in another document. Factors are at least 13 words long and
+become duplicate spans. Windows of one block and one fingerprint count as equal; blocks do
 not grow with the input, so that chance equals stay at about 10^-13 for each window.
 
 Before anything is shuffled, the documents of a slice are compared with each other: a window
@@ -124,6 +124,75 @@ def _slice_rows(ids: np.ndarray, texts: list[str], blocks: int, window: int, sal
         yield int(where[a]), head.tobytes(), place[f].astype("<u4").tobytes(), n.astype(np.uint8).tobytes(), prints[_ranges(f, n)].astype("<u8").tobytes()
 
 
+def _ranks(prints: np.ndarray, left: np.ndarray) -> list[np.ndarray]:
+    """By k, for each window, a rank that those share which begin the same 2^k windows (or as many as are left)."""
+    ranks = [np.unique(prints, return_inverse=True)[1].astype(np.int64)]
+    step = 1
+    while step < left.max():
+        last = ranks[-1]
+        then = np.zeros(len(last), np.int64)
+        more = np.flatnonzero(left > step)
+        then[more] = last[more + step] + 1
+        ranks.append(np.unique(last * (len(last) + 1) + then, return_inverse=True)[1].astype(np.int64))
+        step *= 2
+    return ranks
+
+
+def _common(ranks: list[np.ndarray], left: np.ndarray, x: np.ndarray, y: np.ndarray) -> np.ndarray:
+    """How many windows from x on equal those from y on; 0 where y is -1."""
+    n = np.zeros(len(x), np.int64)
+    for k in range(len(ranks) - 1, -1, -1):
+        at = np.flatnonzero((y >= 0) & (left[x] - n >= 1 << k) & (left[y] - n >= 1 << k))
+        at = at[ranks[k][x[at] + n[at]] == ranks[k][y[at] + n[at]]]
+        n[at] += 1 << k
+    return n
+
+
+def _smaller_before(doc: np.ndarray) -> np.ndarray:
+    """For each entry, the nearest one before it with a smaller document, or -1."""
+    docs, before = doc.tolist(), []
+    for i, d in enumerate(docs):
+        j = i - 1
+        while j >= 0 and docs[j] >= d:
+            j = before[j]
+        before.append(j)
+    return np.array(before, np.int64)
+
+
+def _factors(who: np.ndarray, prints: np.ndarray, run: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(window, reference window, windows) of the greedy factors: each is the longest match, from its window on,
+    that a smaller document has, and the next begins where it ends. Windows are ordered by document."""
+    by = np.argsort(prints, kind="stable")
+    ranked = prints[by]
+    head = np.concatenate([[True], ranked[1:] != ranked[:-1]])
+    ends = np.append(np.flatnonzero(head), len(by))
+    several = np.empty(len(by), bool)
+    several[by] = (who[by[ends[:-1]]] < who[by[ends[1:] - 1]])[np.cumsum(head) - 1]
+    at = np.flatnonzero(several)  # no other window is in a match, or ends one early
+    if not len(at):
+        return at, at, at
+    who, begin = who[at], _stretches(at, run[at])
+    stop = np.append(begin[1:], len(at))
+    left = np.repeat(stop, stop - begin) - np.arange(len(at))
+    ranks = _ranks(prints[at], left)
+    order = np.argsort(ranks[-1], kind="stable")  # the index of all suffixes: the longest matches are next to each other
+    length, match = np.zeros(len(at), np.int64), np.full(len(at), -1)
+    for suffixes in (order, order[::-1]):
+        near = _smaller_before(who[suffixes])
+        near = np.where(near >= 0, suffixes[near], -1)
+        n = _common(ranks, left, suffixes, near)
+        better = n > length[suffixes]
+        length[suffixes[better]], match[suffixes[better]] = n[better], near[better]
+    found = []
+    now, stop = begin, stop
+    while len(now):
+        found.append(now[length[now] > 0])
+        now = now + np.maximum(length[now], 1)
+        now, stop = now[now < stop], stop[now < stop]
+    first = np.sort(np.concatenate(found))
+    return at[first], at[match[first]], length[first]
+
+
 def _parse_block(doc: np.ndarray, place: np.ndarray, size: np.ndarray, prints: np.ndarray, window: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Duplicate spans (document, start, stop) of a block's stretches: document and place of each
     stretch's first word, its number of windows, and the fingerprints of all windows."""
@@ -133,16 +202,10 @@ def _parse_block(doc: np.ndarray, place: np.ndarray, size: np.ndarray, prints: n
     prints = prints[_ranges(offset[order], size)]
     who = np.repeat(doc[order], size)
     where = _ranges(place[order], size)
-    run = np.repeat(np.arange(len(order)), size)
-    by = np.argsort(prints, kind="stable")  # the index: equal windows, the smallest document's first
-    ranked = prints[by]
-    head = np.concatenate([[True], ranked[1:] != ranked[:-1]])
-    smallest = np.empty(len(prints), np.int64)
-    smallest[by] = who[by[np.flatnonzero(head)]][np.cumsum(head) - 1]
-    found = np.flatnonzero(who > smallest)
-    # greedy factors: windows that follow each other in the stretch; where the reference changes, the
-    # windows across the change are in `found` by themselves, so neighbouring factors join
-    begin = _stretches(found, run[found])
+    run = np.cumsum(np.concatenate([[True], (who[1:] != who[:-1]) | (where[1:] != where[:-1] + 1)]))
+    first, _, length = _factors(who, prints, run)
+    found = _ranges(first, length)
+    begin = _stretches(found, run[found])  # factors that meet become one span
     length = np.diff(np.append(begin, len(found)))
     first = found[begin]
     return who[first], where[first], where[first] + length + window - 1

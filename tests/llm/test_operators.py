@@ -264,6 +264,35 @@ def test_a_block_factors_against_smaller_documents():
     assert sorted(zip(*(x.tolist() for x in got))) == [(2, 9, 23), (3, 10, 25)]
 
 
+def test_factors_are_the_longest_matches():
+    docs = [[1, 2, 9], [8, 1, 2, 3, 7, 5], [6, 1, 2, 3, 4, 5, 9], [2, 3, 4, 1, 2, 3, 7, 5, 6, 10]]
+    flat = np.array(sum(docs, []), np.uint64)
+    who = np.repeat(np.arange(4), [len(d) for d in docs])
+    got = list(zip(*(x.tolist() for x in substring_dedup._factors(who, flat, who))))
+    # document 2: 1, 2, 3 of document 1, 5, and 9 of document 0; 3: 2, 3, 4 of document 2, 1, 2, 3, 7, 5 of 1, 6 of 2
+    assert got == [(4, 0, 2), (10, 4, 3), (14, 8, 1), (15, 2, 1), (16, 11, 3), (19, 4, 5), (24, 9, 1)]
+    rng = np.random.default_rng(3)
+    for _ in range(30):
+        who, flat, run = np.sort(rng.integers(0, 6, 120)), rng.integers(0, 4, 120).astype(np.uint64), np.cumsum(rng.random(120) < 0.1)
+        run = np.unique(run * 10 + who, return_inverse=True)[1]
+        run = np.cumsum(np.concatenate([[0], np.diff(run) != 0]))
+
+        def match(p, q):
+            n = 0
+            while max(p, q) + n < 120 and flat[p + n] == flat[q + n] and run[p + n] == run[p] and run[q + n] == run[q]:
+                n += 1
+            return n
+
+        want, p = [], 0
+        while p < 120:
+            best = max([match(p, q) for q in range(120) if who[q] < who[p]], default=0)
+            want += [(p, best)] if best else []
+            p += max(best, 1)
+        first, reference, length = substring_dedup._factors(who, flat, run)
+        assert list(zip(first.tolist(), length.tolist())) == want
+        assert all(match(p, q) == n and who[q] < who[p] for p, q, n in zip(first, reference, length))
+
+
 # -- near duplicates ------------------------------------------------------------------------------
 
 
