@@ -31,6 +31,9 @@ WORDS, SIMILARITY, RECALL = 5, (4, 5), 0.999
 DEPTH, LEAF, BLOCK = 3, 512, 256
 _SLICE = 1_000_000
 _U = np.uint64
+#: A class: its smallest doc_id, which another text can have too, and its set's keys. Smaller ids come first.
+_REP = "struct<id: long, a: long, b: long>"
+_REP_ARROW = pa.struct([("id", pa.int64()), ("a", pa.int64()), ("b", pa.int64())])
 
 
 def runs_needed(similarity: float, recall: float, depth: int) -> int:
@@ -104,15 +107,15 @@ def _slices(ids: list, texts: list[str]) -> Iterator[slice]:
 def _signatures(rows: DataFrame, words: int, runs: int) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            ids, texts = b.column("doc_id"), b.column("text").to_pylist()
+            ids, own, texts = b.column("doc_id"), b.column("own_text"), b.column("text").to_pylist()
             for at in _slices(ids, texts):
                 h, limits = shingle_sets(texts[at], words)
                 a, c = set_keys(h, limits)
                 p = paths(h, limits, runs)
                 n = len(p)
-                yield pa.RecordBatch.from_arrays([ids.slice(at.start, n), pa.array(a), pa.array(c), pa.ListArray.from_arrays(pa.array(np.arange(n + 1, dtype=np.int32) * p.shape[1]), pa.array(p.ravel()))], names=["doc_id", "a", "b", "paths"])
+                yield pa.RecordBatch.from_arrays([ids.slice(at.start, n), own.slice(at.start, n), pa.array(a), pa.array(c), pa.ListArray.from_arrays(pa.array(np.arange(n + 1, dtype=np.int32) * p.shape[1]), pa.array(p.ravel()))], names=["doc_id", "own_text", "a", "b", "paths"])
 
-    return rows.mapInArrow(run, "doc_id long, a long, b long, paths array<long>")
+    return rows.mapInArrow(run, "doc_id long, own_text long, a long, b long, paths array<long>")
 
 
 def _nodes(classes: DataFrame, runs: int) -> DataFrame:
@@ -176,12 +179,12 @@ def _shared_members(a: list[np.ndarray], b: list[np.ndarray] | None) -> np.ndarr
     return common
 
 
-def _compare(reps: np.ndarray, copies: np.ndarray, sets: list[np.ndarray], places: np.ndarray, own: np.ndarray, run: int, i: int, j: int, similarity: tuple[int, int]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """(classes, their linked documents, the smallest class each is connected with) of a block pair's linked classes."""
+def _compare(copies: np.ndarray, sets: list[np.ndarray], places: np.ndarray, own: np.ndarray, run: int, i: int, j: int, similarity: tuple[int, int]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(classes, their linked documents, the smallest class each is connected with) of a block pair's linked classes, by number."""
     left = np.flatnonzero(own == i)
     right = left if i == j else np.flatnonzero(own == j)
     if not len(left) or not len(right):
-        return reps[:0], copies[:0], reps[:0]
+        return left[:0], copies[:0], left[:0]
     size = np.array([len(s) for s in sets])
     common = _shared_members([sets[x] for x in left], None if i == j else [sets[x] for x in right]).astype(np.int64)
     num, den = similarity
@@ -190,8 +193,8 @@ def _compare(reps: np.ndarray, copies: np.ndarray, sets: list[np.ndarray], place
     x, y = left[x], right[y]
     fresh = ~((places[x, :run] == places[y, :run]) & (places[x, :run] != 0)).any(axis=1)
     x, y = x[fresh], y[fresh]
-    count = np.bincount(x, weights=copies[y], minlength=len(reps)) + np.bincount(y, weights=copies[x], minlength=len(reps))
-    root = reps.copy()
+    count = np.bincount(x, weights=copies[y], minlength=len(copies)) + np.bincount(y, weights=copies[x], minlength=len(copies))
+    root = np.arange(len(copies))
     while len(x):  # the smallest label spreads along the links
         low = np.minimum(root[x], root[y])
         if (root[x] == low).all() and (root[y] == low).all():
@@ -199,13 +202,14 @@ def _compare(reps: np.ndarray, copies: np.ndarray, sets: list[np.ndarray], place
         np.minimum.at(root, x, low)
         np.minimum.at(root, y, low)
     linked = np.flatnonzero(count)
-    return reps[linked], count[linked].astype(np.int64), root[linked]
+    return linked, count[linked].astype(np.int64), root[linked]
 
 
 def _links(docs: DataFrame, tasks: DataFrame, words: int, similarity: tuple[int, int]) -> DataFrame:
     """rep, n, root: of each task, the linked classes."""
     side = measured(checkpointed(tasks), F.size("tasks") * 32 + F.size("places") * 8 + 64)
-    rows = docs.join(side, docs["doc_id"] == side["rep"]).select("rep", "a", "b", "copies", "places", "tasks", "text")
+    # by the text as well: a doc_id of many texts meets each of its classes' texts once
+    rows = docs.join(side, (docs["doc_id"] == side["rep"]["id"]) & (docs["own_text"] == side["rep_text"])).select("rep", "copies", "places", "tasks", "text")
 
     def spread(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
@@ -215,14 +219,14 @@ def _links(docs: DataFrame, tasks: DataFrame, words: int, similarity: tuple[int,
                 h, limits = shingle_sets(texts[at], words)
                 keys = list(zip(*(k.tolist() for k in set_keys(h, limits))))
                 out: list[list] = [[] for _ in range(9)]
-                for n, r in enumerate(part.select(["rep", "a", "b", "copies", "places", "tasks"]).to_pylist()):
-                    if keys[n] != (r["a"], r["b"]):
+                for n, r in enumerate(part.select(["rep", "copies", "places", "tasks"]).to_pylist()):
+                    if keys[n] != (r["rep"]["a"], r["rep"]["b"]):
                         continue  # another row of the same doc_id
                     codes = (h[limits[n] : limits[n + 1]] >> _U(32)).astype("<u4").tobytes()
                     for t in r["tasks"]:
                         for column, value in zip(out, (t["leaf"], t["run"], t["i"], t["j"], t["own"], r["rep"], r["copies"], np.array(r["places"][: t["run"]], "<i8").tobytes(), codes)):
                             column.append(value)
-                kinds = [pa.int64(), pa.int32(), pa.int32(), pa.int32(), pa.int32(), pa.int64(), pa.int64(), pa.binary(), pa.binary()]
+                kinds = [pa.int64(), pa.int32(), pa.int32(), pa.int32(), pa.int32(), _REP_ARROW, pa.int64(), pa.binary(), pa.binary()]
                 step = 512
                 for s in range(0, len(out[0]), step):
                     yield pa.RecordBatch.from_arrays([pa.array(c[s : s + step], k) for c, k in zip(out, kinds)], names=["leaf", "run", "i", "j", "own", "rep", "copies", "places", "codes"])
@@ -232,21 +236,23 @@ def _links(docs: DataFrame, tasks: DataFrame, words: int, similarity: tuple[int,
 
         def flush() -> pa.RecordBatch:
             nonlocal out
-            done = pa.RecordBatch.from_arrays([pa.array(np.concatenate(c) if c else [], pa.int64()) for c in out], names=["rep", "n", "root"])
+            done = pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(out, (_REP_ARROW, pa.int64(), _REP_ARROW))], names=["rep", "n", "root"])
             out = [[], [], []]
             return done
 
         def close(key: tuple, group: list[tuple]) -> None:
-            group = list({r[0]: r for r in group}.values())  # a repeated row is one class
+            classes = {(r[0]["id"], r[0]["a"], r[0]["b"]): r for r in group}  # a repeated row is one class
+            group = [classes[c] for c in sorted(classes)]
             if len(group) < 2:
                 return
             run = key[1]
             found = _compare(
-                np.array([r[0] for r in group], np.int64), np.array([r[1] for r in group], np.int64), [np.frombuffer(r[3], "<u4") for r in group],
+                np.array([r[1] for r in group], np.int64), [np.frombuffer(r[3], "<u4") for r in group],
                 np.frombuffer(b"".join(r[2] for r in group), "<i8").reshape(len(group), run), np.array([r[4] for r in group]), run, key[2], key[3], similarity,
             )
-            for column, value in zip(out, found):
-                column.append(value)
+            reps = [r[0] for r in group]
+            for column, value in zip(out, ([reps[i] for i in found[0]], found[1].tolist(), [reps[i] for i in found[2]])):
+                column.extend(value)
 
         key, group = None, []
         for b in batches:
@@ -264,8 +270,8 @@ def _links(docs: DataFrame, tasks: DataFrame, words: int, similarity: tuple[int,
             close(key, group)
         yield flush()
 
-    spread_out = rows.mapInArrow(spread, "leaf long, run int, i int, j int, own int, rep long, copies long, places binary, codes binary")
-    return spread_out.repartition("leaf", "i", "j").sortWithinPartitions("leaf", "run", "i", "j").mapInArrow(compare, "rep long, n long, root long")
+    spread_out = rows.mapInArrow(spread, f"leaf long, run int, i int, j int, own int, rep {_REP}, copies long, places binary, codes binary")
+    return spread_out.repartition("leaf", "i", "j").sortWithinPartitions("leaf", "run", "i", "j").mapInArrow(compare, f"rep {_REP}, n long, root {_REP}")
 
 
 def components(edges: DataFrame) -> DataFrame:
@@ -299,15 +305,16 @@ def jaccard_join(docs: DataFrame, words: int = WORDS, similarity: tuple[int, int
     own under one id.
     """
     rows = docs.where(F.col(id_col).isNotNull()).select(F.col(id_col).cast("long").alias("doc_id"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
+    rows = rows.withColumn("own_text", F.xxhash64("text"))
     runs = runs_needed(similarity[0] / similarity[1], recall, DEPTH)
     signed = checkpointed(_signatures(rows, words, runs))
-    classes = signed.groupBy("a", "b").agg(F.min("doc_id").alias("rep"), F.count(F.lit(1)).alias("copies"))
-    first = classes.join(signed, ["a", "b"]).where(F.col("doc_id") == F.col("rep")).dropDuplicates(["a", "b"])
-    first = checkpointed(first.select("rep", "a", "b", "copies", "paths"))
-    tasks = _tasks(_nodes(first, runs), runs).join(first.select("rep", "a", "b", "copies"), "rep")
+    classes = signed.groupBy("a", "b").agg(F.min("doc_id").alias("id"), F.count(F.lit(1)).alias("copies")).select(F.struct("id", "a", "b").alias("rep"), "a", "b", "copies")
+    first = classes.join(signed, ["a", "b"]).where(F.col("doc_id") == F.col("rep.id")).dropDuplicates(["a", "b"])
+    first = checkpointed(first.select("rep", F.col("own_text").alias("rep_text"), "copies", "paths"))
+    tasks = _tasks(_nodes(first, runs), runs).join(first.select("rep", "rep_text", "copies"), "rep")
     links = checkpointed(_links(rows, tasks, words, similarity))
     counts = links.groupBy("rep").agg(F.sum("n").alias("n"))
     labels = components(links.where("rep <> root").select(F.col("rep").alias("u"), F.col("root").alias("v")))
     found = classes.join(counts, "rep", "left").join(labels, classes["rep"] == labels["node"], "left")
-    found = found.select("a", "b", F.coalesce("label", "rep").alias("class_id"), F.col("rep").alias("copy_id"), (F.col("copies") - 1 + F.coalesce("n", F.lit(0))).alias("n_links"))
+    found = found.select("a", "b", F.coalesce("label", "rep")["id"].alias("class_id"), F.col("rep.id").alias("copy_id"), (F.col("copies") - 1 + F.coalesce("n", F.lit(0))).alias("n_links"))
     return signed.select("doc_id", "a", "b").join(found, ["a", "b"]).select("doc_id", "class_id", "copy_id", "n_links")

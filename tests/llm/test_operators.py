@@ -342,6 +342,23 @@ def test_jaccard_join_finds_all_links(spark, monkeypatch, leaf, block):
     assert jaccard_join.jaccard_join(docs.limit(0)).count() == 0
 
 
+@pytest.mark.parametrize("leaf,block", [(512, 1024), (3, 4)])
+def test_jaccard_join_tells_texts_of_one_id_apart(spark, monkeypatch, leaf, block):
+    monkeypatch.setattr(jaccard_join, "LEAF", leaf)
+    monkeypatch.setattr(jaccard_join, "BLOCK", block)
+    rng = random.Random(6)
+    base = [[f"{g}{rng.randrange(9999)}" for _ in range(200)] for g in "uv"]
+    extra = []
+    for k in range(16):  # two groups of near copies under the same ids, and texts of id 0 alone
+        for w in base:
+            extra.append((100 + k, " ".join(f"edit{k}" if i == (7 * k) % 200 else x for i, x in enumerate(w))))
+        extra.append((0, " ".join(f"o{k}x{i}" for i in range(50))))
+    docs = documents(spark, [], extra=[*extra, extra[1], (200, extra[0][1])]).repartition(3)
+    rows = [(r.doc_id, r.text) for r in docs.collect()]
+    got = sorted((r.doc_id, r.class_id, r.n_links) for r in jaccard_join.jaccard_join(docs).collect())
+    assert got == brute_links(rows)
+
+
 def test_pairs_at_the_threshold_meet_with_the_recall():
     pairs, runs = 20_000, jaccard_join.RUNS
     codes = np.random.default_rng(1).integers(0, 2**64, (pairs, 10), np.uint64)
