@@ -8,8 +8,10 @@ windows one word apart; a block orders its stretches by document, indexes their
 factors each stretch greedily against the documents of smaller doc_id: a factor is the longest match
 that one of them has from its window on, found among the sorted suffixes, and the next factor begins at
 the window after it, so that it can continue in another document. Factors are at least 13 words long and
-become duplicate spans. Windows of one block and one fingerprint count as equal; blocks do
-not grow with the input, so that chance equals stay at about 10^-13 for each window.
+become duplicate spans. Windows of one block and one fingerprint count as equal; a block
+whose minimizers are common, and which counts more than BLOCK_WINDOWS windows in a pass before, is
+split by fingerprint, so that equal windows still meet. What a block holds beyond that are equal
+windows, one from each slice; chance equals stay at about 10^-13 for each window.
 
 Before anything is shuffled, the documents of a slice are compared with each other: a window
 that a smaller document of the slice has too is a duplicate already and is not sent. A passage
@@ -33,6 +35,8 @@ from quillon.llm._shared import checkpointed, measured
 WINDOW = 13
 #: Words of a minimizer, code points of a slice, and bytes of text for each block.
 GRAM, SLICE, BLOCK_BYTES = 3, 2_000_000, 8_000_000
+#: Windows from which on a block is split by the windows themselves.
+BLOCK_WINDOWS = 4_000_000
 _U = np.uint64
 _MOST_WORDS = 255 - WINDOW
 
@@ -72,18 +76,39 @@ def _cover(at: np.ndarray, doc: np.ndarray, place: np.ndarray, window: int) -> t
     return doc[at[first]] if len(first) else np.zeros(0, np.int64), start, start + sizes + window - 1
 
 
-def _slice_rows(ids: np.ndarray, texts: list[str], blocks: int, window: int, salt: int) -> Iterator[tuple[int, bytes, bytes, bytes, bytes]]:
+def _inside(cut: Texts, count: int, window: int) -> np.ndarray:
+    """The first words of the windows that lie in one text."""
+    m = max(0, count - window + 1)
+    return np.flatnonzero(cut.doc[:m] == cut.doc[window - 1 :][:m])
+
+
+def _blocks_of(words: np.ndarray, at: np.ndarray, blocks: int, window: int) -> np.ndarray:
+    """The block that the minimizer of each window `at` decides."""
+    gram = words.copy()
+    for k in range(1, GRAM):
+        gram[: len(words) - k] = mix(gram[: len(words) - k] * _U(0xFF51AFD7ED558CCD) + words[k:])
+    return (_sliding_min(gram[: len(words) - GRAM + 1], window - GRAM + 1)[at] % _U(blocks)).astype(np.int64)
+
+
+def _split(block: np.ndarray, hashes: np.ndarray, blocks: int, parts: dict[int, tuple[int, int]]) -> np.ndarray:
+    """The blocks of windows, where a block in parts (where its own blocks begin, how many) is split by fingerprint."""
+    if not parts:
+        return block
+    begin, many = np.zeros(blocks, np.int64), np.ones(blocks, np.int64)
+    for b, (first, n) in parts.items():
+        begin[b], many[b] = first, n
+    return np.where(many[block] > 1, begin[block] + ((hashes >> _U(32)) % many[block].astype(_U)).astype(np.int64), block)
+
+
+def _slice_rows(ids: np.ndarray, texts: list[str], blocks: int, window: int, salt: int, parts: dict[int, tuple[int, int]]) -> Iterator[tuple[int, bytes, bytes, bytes, bytes]]:
     """What a slice sends: (block, document ids and counts, places, sizes, fingerprints) and, with a
     negative block, (., ids, starts, stops, .) of the duplicates within the slice."""
     order = np.argsort(ids, kind="stable")
     ids, texts = ids[order], [texts[i] for i in order]
     cut = Texts(texts)
     words = cut.hashes()
-    m = len(words) - window + 1
-    if m <= 0:
-        return
     doc = cut.doc
-    inside = np.flatnonzero(doc[:m] == doc[window - 1 :])
+    inside = _inside(cut, len(words), window)
     if not len(inside):
         return
     place = np.arange(len(words)) - cut.first[doc]
@@ -101,10 +126,7 @@ def _slice_rows(ids: np.ndarray, texts: list[str], blocks: int, window: int, sal
     at = inside[~twice]
     if not len(at):
         return
-    gram = words.copy()
-    for k in range(1, GRAM):
-        gram[: len(words) - k] = mix(gram[: len(words) - k] * _U(0xFF51AFD7ED558CCD) + words[k:])
-    block = (_sliding_min(gram[: len(words) - GRAM + 1], window - GRAM + 1)[at] % _U(blocks)).astype(np.int64)
+    block = _split(_blocks_of(words, at, blocks, window), hashes[~twice], blocks, parts)
     begin = _stretches(at, block)
     size = np.diff(np.append(begin, len(at)))
     if size.max() > _MOST_WORDS:  # sizes are sent in a byte
@@ -114,7 +136,7 @@ def _slice_rows(ids: np.ndarray, texts: list[str], blocks: int, window: int, sal
     by = np.argsort(block[begin], kind="stable")
     begin, size = begin[by], size[by]
     where, first = block[begin], at[begin]
-    prints = np.zeros(m, _U)
+    prints = np.zeros(len(words), _U)
     prints[inside] = hashes
     cuts = np.flatnonzero(np.concatenate([[True], where[1:] != where[:-1], [True]]))
     for a, b in zip(cuts, cuts[1:]):
@@ -211,6 +233,42 @@ def _parse_block(doc: np.ndarray, place: np.ndarray, size: np.ndarray, prints: n
     return who[first], where[first], where[first] + length + window - 1
 
 
+def _parts(rows: DataFrame, blocks: int, window: int) -> dict[int, tuple[int, int]]:
+    """By block of more than BLOCK_WINDOWS windows, where the blocks that it is split into begin, and how many they are."""
+
+    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        windows = np.zeros(blocks, np.int64)
+
+        def add(texts: list[str]) -> None:
+            cut = Texts(texts)
+            words = cut.hashes()
+            at = _inside(cut, len(words), window)
+            if len(at):
+                windows[:] += np.bincount(_blocks_of(words, at, blocks, window), minlength=blocks)
+
+        texts: list[str] = []
+        held = 0
+        for batch in batches:
+            for t in batch.column("text").to_pylist():
+                texts.append(t)
+                held += len(t)
+                if held > SLICE:
+                    add(texts)
+                    texts, held = [], 0
+        if texts:
+            add(texts)
+        some = np.flatnonzero(windows)
+        yield pa.RecordBatch.from_arrays([pa.array(some), pa.array(windows[some])], names=["block", "n"])
+
+    counted = rows.select("text").mapInArrow(count, "block long, n long").groupBy("block").agg(F.sum("n").alias("n"))
+    parts: dict[int, tuple[int, int]] = {}
+    first = blocks
+    for b, n in sorted((r["block"], r["n"]) for r in counted.where(F.col("n") > BLOCK_WINDOWS).collect()):
+        parts[b] = (first, -(-2 * n // BLOCK_WINDOWS))
+        first += parts[b][1]
+    return parts
+
+
 def duplicate_spans(docs: DataFrame, window: int = WINDOW, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """doc_id, start, stop: word ranges that `window`-word sequences cover which also start in a smaller doc_id.
 
@@ -221,6 +279,7 @@ def duplicate_spans(docs: DataFrame, window: int = WINDOW, id_col: str = "doc_id
     rows = docs.where(F.col(id_col).isNotNull() & F.col(text_col).isNotNull()).select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
     total = rows.agg(F.sum(F.octet_length("text").cast("long"))).first()[0] or 0
     blocks = max(1, -(-total // BLOCK_BYTES))
+    parts = _parts(rows, blocks, window)
 
     def send(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         salt = TaskContext.get().partitionId() * 7919
@@ -231,7 +290,7 @@ def duplicate_spans(docs: DataFrame, window: int = WINDOW, id_col: str = "doc_id
         def out() -> Iterator[pa.RecordBatch]:
             nonlocal ids, texts, held, salt
             salt += 1
-            for row in _slice_rows(np.array(ids, np.int64), texts, blocks, window, salt):
+            for row in _slice_rows(np.array(ids, np.int64), texts, blocks, window, salt, parts):
                 yield pa.RecordBatch.from_arrays([pa.array([row[0]], pa.int64()), *(pa.array([x], pa.binary()) for x in row[1:])], names=["block", "docs", "places", "sizes", "prints"])
             ids, texts, held = [], [], 0
 

@@ -293,6 +293,33 @@ def test_factors_are_the_longest_matches():
         assert all(match(p, q) == n and who[q] < who[p] for p, q, n in zip(first, reference, length))
 
 
+def test_a_common_minimizer_is_split(spark, monkeypatch):
+    monkeypatch.setattr(substring_dedup, "SLICE", 2000)
+    monkeypatch.setattr(substring_dedup, "BLOCK_BYTES", 5000)
+    monkeypatch.setattr(substring_dedup, "BLOCK_WINDOWS", 300)
+
+    def gram(words):
+        return int(substring_dedup.mix(substring_dedup.mix(words[:1] * np.uint64(0xFF51AFD7ED558CCD) + words[1:2]) * np.uint64(0xFF51AFD7ED558CCD) + words[2:3])[0])
+
+    triples = [substring_dedup.Texts([f"h{k} h{k} h{k}"]).hashes() for k in range(3000)]
+    # the triple that is the minimizer of nearly every window that has it
+    lows = [gram(t) for t in triples]
+    hot = [f"h{min(range(len(lows)), key=lows.__getitem__)}"] * 3
+    rng = random.Random(8)
+    texts = [" ".join([f"s{rng.randrange(99999)}" for _ in range(10)] + hot + [f"s{rng.randrange(99999)}" for _ in range(10)]) for _ in range(300)]
+    docs = documents(spark, texts + texts[:40]).repartition(3)
+    want, columns = duck(substring_dedup.ORACLE_SQL, docs)
+    assert by_name(substring_dedup.substring_digests(docs), columns) == want
+    blocks = 12
+    parts = substring_dedup._parts(docs, blocks, 13)
+    assert parts
+    windows = Counter()
+    for k in range(0, 300, 10):
+        for block, _, _, sizes, _ in substring_dedup._slice_rows(np.arange(k, k + 10), texts[k : k + 10], blocks, 13, 0, parts):
+            windows[block] += sum(sizes)
+    assert sum(windows.values()) == 3300 and max(windows.values()) <= 300
+
+
 # -- near duplicates ------------------------------------------------------------------------------
 
 
