@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 FOLDS = 5
 #: Characters of text that a training sample has at most, beside its bound on rows.
-TRAINING_BYTES = 200_000_000
+TRAINING_CHARS = 200_000_000
 
 
 def fold(id_col: str = "doc_id"):
@@ -32,9 +32,10 @@ def training_rows(docs: DataFrame, labels: DataFrame, label: str, most: int) ->
     return rows.join(F.broadcast(chosen), "id").select("id", "text", "y")
 
 
-def trained(rows: DataFrame, fit: Callable[[list[str], list[int]], bytes]) -> bytes:
+def trained(rows: DataFrame, fit: Callable[[list[str], list[int]], bytes], most_chars: int = TRAINING_CHARS) -> bytes:
     """What `fit` makes of the rows, in one task on an executor; the rows are few by training_rows, and
-    those past TRAINING_BYTES of text, in the order of the id's hash, are left out of the sample."""
+    each that would take those kept before it, in the order of the id's hash, past `most_chars`
+    characters is left out by itself."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         texts: list[str] = []
@@ -42,8 +43,8 @@ def trained(rows: DataFrame, fit: Callable[[list[str], list[int]], bytes]) -> by
         size = 0
         for b in batches:
             for text, label in zip(b.column("text").to_pylist(), b.column("y").to_pylist()):
-                size += len(text)
-                if size <= TRAINING_BYTES or not texts:
+                if size + len(text) <= most_chars:
+                    size += len(text)
                     texts.append(text)
                     y.append(label)
         yield pa.RecordBatch.from_arrays([pa.array([fit(texts, y)], pa.binary())], names=["model"])

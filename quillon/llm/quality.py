@@ -15,7 +15,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from quillon.llm._hashing import Texts
-from quillon.llm._labelled import fold, trained, training_rows
+from quillon.llm._labelled import TRAINING_CHARS, fold, trained, training_rows
 from quillon.llm.toxicity import scored
 
 HASH_BITS = 18
@@ -85,9 +85,10 @@ def score(texts: list[str], parts: np.ndarray, bias: float) -> np.ndarray:
     return 1.0 / (1.0 + np.exp(-np.clip(total / np.maximum(n, 1) + bias, -35, 35)))
 
 
-def train_quality(docs: DataFrame, labels: DataFrame, label: str = "quality", most: int = TRAINING_ROWS) -> bytes:
-    """A model from at most `most` labelled documents outside fold 0."""
-    return trained(training_rows(docs, labels, label, most), fit)
+def train_quality(docs: DataFrame, labels: DataFrame, label: str = "quality", most: int = TRAINING_ROWS, most_chars: int = TRAINING_CHARS) -> bytes:
+    """A model from at most `most` labelled documents outside fold 0, of at most `most_chars` characters
+    together: a text that does not fit beside those taken before it is left out alone."""
+    return trained(training_rows(docs, labels, label, most), fit, most_chars)
 
 
 def score_quality(docs: DataFrame, model: bytes, threshold: float = 0.3, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:

@@ -16,7 +16,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from quillon.llm._hashing import SIGNS, Texts, mix, ngrams, span_hashes
-from quillon.llm._labelled import fold, trained, training_rows
+from quillon.llm._labelled import TRAINING_CHARS, fold, trained, training_rows
 
 HASH_BITS = 20
 #: Words at i and at i + these: words, pairs, and pairs that skip one.
@@ -91,9 +91,10 @@ def load(model: bytes) -> tuple[np.ndarray, float]:
         return table, float(m["bias"][0])
 
 
-def train_toxicity(docs: DataFrame, labels: DataFrame, label: str = "toxic", most: int = TRAINING_ROWS) -> bytes:
-    """A model from at most `most` labelled documents outside fold 0."""
-    return trained(training_rows(docs, labels, label, most), fit)
+def train_toxicity(docs: DataFrame, labels: DataFrame, label: str = "toxic", most: int = TRAINING_ROWS, most_chars: int = TRAINING_CHARS) -> bytes:
+    """A model from at most `most` labelled documents outside fold 0, of at most `most_chars` characters
+    together: a text that does not fit beside those taken before it is left out alone."""
+    return trained(training_rows(docs, labels, label, most), fit, most_chars)
 
 
 def score_toxicity(docs: DataFrame, model: bytes, threshold: float = 0.5, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:

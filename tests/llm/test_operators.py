@@ -222,6 +222,18 @@ def test_classifiers_take_hard_rows(spark):
     assert beside.columns == [c for c in docs.columns if c != "score"] + ["score", "predicted"] and beside.where("text IS NULL").count() == 2
 
 
+@pytest.mark.parametrize("module", [toxicity, quality])
+def test_an_outsized_training_text_is_left_out_alone(spark, monkeypatch, module):
+    monkeypatch.setattr(module, "fit", lambda texts, y: " ".join(sorted(texts)).encode())
+    train = module.train_toxicity if module is toxicity else module.train_quality
+    texts = [("x" * 1000 if i % 9 == 0 else f"t{i:03}") for i in range(90)]
+    docs = documents(spark, texts)
+    labels = spark.createDataFrame([(i, i % 2, i % 2) for i in range(90)], "doc_id long, toxic int, quality int")
+    short = sorted(t for i, t in enumerate(texts) if i % 9 and zlib.crc32(str(i).encode()) % 5)
+    assert train(docs, labels, most_chars=4 * len(short)).decode().split(" ") == short
+    assert len(train(docs, labels, most_chars=40).decode().split(" ")) == 10
+
+
 # -- repeated lines and passages ----------------------------------------------------------------
 
 
