@@ -14,7 +14,7 @@ from quillon.functions import numbers as N
 from quillon.functions import text as X
 from quillon.operators import blocks, compare, dependency, derive, labels, profile, sequence
 from quillon.plans import archive, codec
-from quillon.sources import delimited, json_rows, stats
+from quillon.sources import bytes_in, delimited, json_rows, stats
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -472,6 +472,35 @@ def utf8_valid(spark, sf_dir):
     return _t(spark, sf_dir, "documents").select("doc_id", F.is_valid_utf8(raw.cast("string")).alias("valid"), (F.decode(raw, "UTF-8") == F.col("text")).alias("cut_valid"))
 
 
+@query(r"""WITH p AS (SELECT doc_id, coalesce(text, '') AS text, strlen(regexp_extract(coalesce(text, ''), '^[\x00-\x7F]*')) AS n FROM documents),
+  k AS (SELECT doc_id, n, kind, CASE kind WHEN 'cut' THEN lower(substr(hex(encode(substr(text, n + 1, 1))), 1, 2)) WHEN 'overlong' THEN 'c0' WHEN 'surrogate' THEN 'ed' WHEN 'beyond' THEN 'f4' ELSE '' END AS byte
+    FROM p CROSS JOIN (VALUES ('whole'), ('cut'), ('overlong'), ('surrogate'), ('beyond')) AS t(kind))
+  SELECT doc_id, kind, byte = '' AS valid, CASE WHEN byte <> '' THEN 'byte 0x' || byte || ' at ' || n || ' is not utf-8' END AS refusal FROM k""")
+def utf8_refused(spark, sf_dir):
+    """Each text's bytes, whole, cut inside the first character of several bytes, and with wrong bytes in its place."""
+    text = F.coalesce("text", F.lit(""))
+    ascii = F.encode(F.regexp_extract(text, r"^[\x00-\x7F]*", 0), "UTF-8")
+    raw = F.encode(text, "UTF-8")
+    rest = F.substring(raw, F.octet_length(ascii) + 1, F.octet_length(raw))
+    kinds = {"whole": raw, "cut": F.concat(ascii, F.substring(rest, F.lit(1), F.lit(1)))}
+    kinds |= {kind: F.concat(ascii, F.unhex(F.lit(wrong)), rest) for kind, wrong in (("overlong", "C080"), ("surrogate", "EDA080"), ("beyond", "F4908080"))}
+    rows = _t(spark, sf_dir, "documents").select("doc_id", F.explode(F.array(*[F.struct(F.lit(k).alias("kind"), v.alias("raw")) for k, v in kinds.items()])).alias("x"))
+
+    def refusal(raw: bytes) -> str | None:
+        try:
+            bytes_in.decoded(raw)
+        except bytes_in.Refused as e:
+            return str(e)
+        return None
+
+    def run(batches):
+        for b in batches:
+            yield pa.RecordBatch.from_arrays([b.column("doc_id"), b.column("kind"), b.column("valid"), pa.array([refusal(x) for x in b.column("raw").to_pylist()], pa.string())], names=["doc_id", "kind", "valid", "refusal"])
+
+    rows = rows.select("doc_id", "x.kind", F.is_valid_utf8(F.col("x.raw").cast("string")).alias("valid"), "x.raw")
+    return rows.mapInArrow(run, "doc_id long, kind string, valid boolean, refusal string")
+
+
 @query("SELECT page_id, CASE WHEN n < 1000 THEN n || ' B' ELSE printf('%.1f KB', round(n / 1000.0, 1)) END AS shown FROM (SELECT page_id, strlen(html) AS n FROM pages)")
 def human_size(spark, sf_dir):
     return _t(spark, sf_dir, "pages").select("page_id", X.human_size(F.octet_length("html")).alias("shown"))

@@ -39,6 +39,12 @@ def test_query(spark, duck, name):
     assert plain(rows, df.columns) == plain(want.fetchall(), want.columns)
 
 
+def test_wrong_bytes_are_refused(spark):
+    rows = catalog.queries()["utf8_refused"](spark, SF).collect()
+    assert {(r.kind, r.valid) for r in rows} >= {("whole", True), ("cut", True), ("cut", False), ("overlong", False), ("surrogate", False), ("beyond", False)}
+    assert all((r.refusal is None) == r.valid for r in rows)
+
+
 def test_imports_without_the_pipeline(tmp_path):
     """As if the subpackage and the pipeline had been deleted."""
     root = os.path.dirname(os.path.dirname(os.path.abspath(__file__)))
