@@ -25,11 +25,13 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from quillon.llm._hashing import Texts, mix, span_hashes
-from quillon.llm._shared import checkpointed, measured
+from quillon.llm._shared import HEAVY_ROWS, checkpointed, heavy_keys, looked_up, measured
 
 WORDS, SIMILARITY, RECALL = 5, (4, 5), 0.999
 DEPTH, LEAF, BLOCK = 3, 512, 256
-_SLICE = 1_000_000
+#: Bytes of sets from which on a node has more blocks than its number of classes asks for, and of sets in a record batch.
+BLOCK_BYTES, _BATCH_BYTES = 16_000_000, 4_000_000
+_SLICE = 250_000
 _U = np.uint64
 #: A class: its smallest doc_id, which another text can have too, and its set's keys. Smaller ids come first.
 _REP = "struct<id: long, a: long, b: long>"
@@ -113,46 +115,60 @@ def _signatures(rows: DataFrame, words: int, runs: int) -> DataFrame:
                 a, c = set_keys(h, limits)
                 p = paths(h, limits, runs)
                 n = len(p)
-                yield pa.RecordBatch.from_arrays([ids.slice(at.start, n), own.slice(at.start, n), pa.array(a), pa.array(c), pa.ListArray.from_arrays(pa.array(np.arange(n + 1, dtype=np.int32) * p.shape[1]), pa.array(p.ravel()))], names=["doc_id", "own_text", "a", "b", "paths"])
+                yield pa.RecordBatch.from_arrays([ids.slice(at.start, n), own.slice(at.start, n), pa.array(a), pa.array(c), pa.array(np.diff(limits), pa.int64()), pa.ListArray.from_arrays(pa.array(np.arange(n + 1, dtype=np.int32) * p.shape[1]), pa.array(p.ravel()))], names=["doc_id", "own_text", "a", "b", "size", "paths"])
 
-    return rows.mapInArrow(run, "doc_id long, own_text long, a long, b long, paths array<long>")
+    return rows.mapInArrow(run, "doc_id long, own_text long, a long, b long, size long, paths array<long>")
 
 
-def _nodes(classes: DataFrame, runs: int) -> DataFrame:
-    """rep, run, leaf: the node in which each run ends for each class that is not alone there."""
-    rows = classes.select("rep", F.posexplode(F.slice("paths", 1, runs)).alias("run", "node"), "paths").where("node <> 0")
-    rows = rows.select("rep", "run", "node", *[F.element_at("paths", F.col("run") + F.lit(1 + d * runs)).alias(f"next{d}") for d in range(1, DEPTH)])
-    ended = []
+def _exploded(classes: DataFrame, runs: int) -> DataFrame:
+    """rep, size, run, and n0, n1, ...: the node of each depth that each run leads each class to."""
+    rows = classes.select("rep", "size", F.posexplode(F.slice("paths", 1, runs)).alias("run", "n0"), "paths").where("n0 <> 0")
+    return rows.select("rep", "size", "run", "n0", *[F.element_at("paths", F.col("run") + F.lit(1 + d * runs)).alias(f"n{d}") for d in range(1, DEPTH)])
+
+
+def _leaves(classes: DataFrame, runs: int) -> DataFrame:
+    """rep, run, leaf, n, bytes: the node in which each run ends for each class that is not alone there, its classes and the size of their sets.
+
+    A node's classes and bytes are counted in each task first. The few nodes of more than LEAF classes are looked up by
+    looked_up, those of more than one by a join whose keys have at most LEAF rows.
+    """
+    rows, done = _exploded(classes, runs), []
     for d in range(DEPTH):
-        sizes = rows.groupBy("node").agg(F.count(F.lit(1)).alias("n")).where("n > 1")
-        rows = rows.join(sizes, "node")
+        node = f"n{d}"
+        sizes = checkpointed(rows.groupBy(node).agg(F.count(F.lit(1)).alias("n"), (F.sum("size") * 8).alias("bytes")).where("n > 1"))
+        heavy = checkpointed(sizes.where(F.col("n") > min(LEAF, HEAVY_ROWS)).select(node))
+        met = looked_up(rows, sizes, node, heavy, F.lit(32))
         last = d == DEPTH - 1
-        ended.append((rows if last else rows.where(F.col("n") <= LEAF)).select("rep", "run", F.col("node").alias("leaf"), "n"))
-        if not last:
-            rows = rows.where(F.col("n") > LEAF).select("rep", "run", F.col(f"next{d + 1}").alias("node"), *[f"next{k}" for k in range(d + 2, DEPTH)])
-    out = ended[0]
-    for more in ended[1:]:
+        done.append((met if last else met.where(F.col("n") <= LEAF)).select("rep", "run", F.col(node).alias("leaf"), "n", "bytes"))
+        large = sizes.where(F.col("n") > LEAF)
+        if last or large.limit(1).count() == 0:
+            break
+        rows = checkpointed(met.where(F.col("n") > LEAF).select("rep", "size", "run", *[f"n{k}" for k in range(d + 1, DEPTH)]))
+    out = done[0]
+    for more in done[1:]:
         out = out.unionByName(more)
     return out
 
 
 def _tasks(leaves: DataFrame, runs: int) -> DataFrame:
     """rep, places, tasks: each class's leaf by run (0: none), and the block pairs to compare it in."""
-    leaves = checkpointed(leaves)
-    places = leaves.groupBy("rep").agg(*[F.coalesce(F.max(F.when(F.col("run") == r, F.col("leaf"))), F.lit(0)).alias(f"p{r}") for r in range(runs)])
-    rows = leaves.join(places, "rep")
+    blocks = F.least(F.col("n"), F.greatest(F.ceil(F.col("n") / BLOCK), F.ceil(F.col("bytes") / BLOCK_BYTES))).cast("int").alias("blocks")
+    places = [F.coalesce(F.max(F.when(F.col("run") == r, F.col("leaf"))), F.lit(0)).alias(f"p{r}") for r in range(runs)]
+    classes = checkpointed(leaves.select("rep", "run", "leaf", "n", blocks).groupBy("rep").agg(F.collect_list(F.struct("run", "leaf", "n", "blocks")).alias("ends"), *places))
+    own = [f"p{r}" for r in range(runs)]
+    rows = classes.select("rep", F.explode("ends").alias("end"), *own).select("rep", "end.*", *own)
     # a leaf whose classes share the leaf of an earlier run has only pairs that met there
     met = F.lit(False)
     bounds = []
     for r in range(runs - 1):
         bounds += [F.min(f"p{r}").alias(f"low{r}"), F.max(f"p{r}").alias(f"high{r}")]
         met = met | ((F.lit(r) < F.col("run")) & (F.col(f"low{r}") == F.col(f"high{r}")) & (F.col(f"low{r}") != 0))
-    fresh = rows.groupBy("leaf", "run").agg(*bounds, F.count(F.lit(1)).alias("m")).where(~met).select("leaf", "run", F.ceil(F.col("m") / BLOCK).cast("int").alias("blocks"))
-    own = F.pmod(F.xxhash64("rep", "leaf"), F.col("blocks")).cast("int")
-    # rows without the other classes' leaves: those follow by rep
-    dealt = leaves.join(fresh, ["leaf", "run"]).withColumn("own", own).select("rep", "run", "leaf", "own", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("other"))
+    fresh = checkpointed(rows.groupBy("leaf", "run").agg(*bounds, F.max("n").alias("n")).where(~met).select("leaf", "n", F.lit(True).alias("new")))
+    heavy = checkpointed(fresh.where(F.col("n") > HEAVY_ROWS).select("leaf"))
+    dealt = looked_up(rows.select("rep", "run", "leaf", "blocks"), fresh.select("leaf", "new"), "leaf", heavy, F.lit(32))
+    dealt = dealt.withColumn("own", F.pmod(F.xxhash64("rep", "leaf"), F.col("blocks")).cast("int")).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
     tasks = dealt.groupBy("rep").agg(F.collect_list(F.struct("leaf", "run", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"), "own")).alias("tasks"))
-    return tasks.join(places.select("rep", F.array(*[f"p{r}" for r in range(runs)]).alias("places")), "rep")
+    return tasks.join(classes.select("rep", F.array(*own).alias("places")), "rep")
 
 
 def _shared_members(a: list[np.ndarray], b: list[np.ndarray] | None) -> np.ndarray:
@@ -211,6 +227,8 @@ def _links(docs: DataFrame, tasks: DataFrame, words: int, similarity: tuple[int,
     # by the text as well: a doc_id of many texts meets each of its classes' texts once
     rows = docs.join(side, (docs["doc_id"] == side["rep"]["id"]) & (docs["own_text"] == side["rep_text"])).select("rep", "copies", "places", "tasks", "text")
 
+    kinds = [pa.int64(), pa.int32(), pa.int32(), pa.int32(), pa.int32(), _REP_ARROW, pa.int64(), pa.binary(), pa.binary()]
+
     def spread(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             texts = b.column("text").to_pylist()
@@ -222,14 +240,14 @@ def _links(docs: DataFrame, tasks: DataFrame, words: int, similarity: tuple[int,
                 for n, r in enumerate(part.select(["rep", "copies", "places", "tasks"]).to_pylist()):
                     if keys[n] != (r["rep"]["a"], r["rep"]["b"]):
                         continue  # another row of the same doc_id
-                    codes = (h[limits[n] : limits[n + 1]] >> _U(32)).astype("<u4").tobytes()
+                    codes = h[limits[n] : limits[n + 1]].astype("<u8").tobytes()
                     for t in r["tasks"]:
                         for column, value in zip(out, (t["leaf"], t["run"], t["i"], t["j"], t["own"], r["rep"], r["copies"], np.array(r["places"][: t["run"]], "<i8").tobytes(), codes)):
                             column.append(value)
-                kinds = [pa.int64(), pa.int32(), pa.int32(), pa.int32(), pa.int32(), _REP_ARROW, pa.int64(), pa.binary(), pa.binary()]
-                step = 512
-                for s in range(0, len(out[0]), step):
-                    yield pa.RecordBatch.from_arrays([pa.array(c[s : s + step], k) for c, k in zip(out, kinds)], names=["leaf", "run", "i", "j", "own", "rep", "copies", "places", "codes"])
+                ends = np.cumsum([len(c) for c in out[-1]]) // _BATCH_BYTES
+                cuts = [0, *(np.flatnonzero(np.diff(ends)) + 1).tolist(), len(out[0])]
+                for s, e in zip(cuts, cuts[1:]):
+                    yield pa.RecordBatch.from_arrays([pa.array(c[s:e], k) for c, k in zip(out, kinds)], names=["leaf", "run", "i", "j", "own", "rep", "copies", "places", "codes"])
 
     def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         out: list[list] = [[], [], []]
@@ -247,7 +265,7 @@ def _links(docs: DataFrame, tasks: DataFrame, words: int, similarity: tuple[int,
                 return
             run = key[1]
             found = _compare(
-                np.array([r[1] for r in group], np.int64), [np.frombuffer(r[3], "<u4") for r in group],
+                np.array([r[1] for r in group], np.int64), [np.frombuffer(r[3], "<u8") for r in group],
                 np.frombuffer(b"".join(r[2] for r in group), "<i8").reshape(len(group), run), np.array([r[4] for r in group]), run, key[2], key[3], similarity,
             )
             reps = [r[0] for r in group]
@@ -282,11 +300,13 @@ def components(edges: DataFrame) -> DataFrame:
     """
     both = checkpointed(edges.select("u", "v").union(edges.select(F.col("v").alias("u"), F.col("u").alias("v"))).distinct())
     labels = checkpointed(both.groupBy("u").agg(F.min("v").alias("v")).select(F.col("u").alias("node"), F.least("u", "v").alias("label")))
+    hubs = heavy_keys(both, "v", "v")
     while True:
-        near = both.join(labels, both["v"] == labels["node"]).groupBy("u").agg(F.min("label").alias("low"))
-        better = labels.join(near, labels["node"] == near["u"]).select("node", F.col("label").alias("old"), F.least("label", "low").alias("label"))
-        jump = better.select(F.col("node").alias("at"), F.col("label").alias("far"))
-        moved = checkpointed(better.join(jump, better["label"] == jump["at"], "left").select("node", "old", F.least("label", F.coalesce("far", "label")).alias("label")))
+        low = looked_up(both, labels.select(F.col("node").alias("v"), "label"), "v", hubs, F.lit(64)).groupBy("u").agg(F.min("label").alias("low"))
+        better = checkpointed(labels.join(low, labels["node"] == low["u"]).select("node", F.col("label").alias("old"), F.least("label", "low").alias("label")))
+        jump = better.select(F.col("node").alias("label"), F.col("label").alias("far"))
+        moved = looked_up(better, jump, "label", heavy_keys(better, "label", "label"), F.lit(64)).select("node", "old", F.least("label", "far").alias("label"))
+        moved = checkpointed(moved)
         changed = moved.where("old <> label").limit(1).count()
         labels = moved.select("node", "label")
         if not changed:
@@ -308,13 +328,16 @@ def jaccard_join(docs: DataFrame, words: int = WORDS, similarity: tuple[int, int
     rows = rows.withColumn("own_text", F.xxhash64("text"))
     runs = runs_needed(similarity[0] / similarity[1], recall, DEPTH)
     signed = checkpointed(_signatures(rows, words, runs))
-    classes = signed.groupBy("a", "b").agg(F.min("doc_id").alias("id"), F.count(F.lit(1)).alias("copies")).select(F.struct("id", "a", "b").alias("rep"), "a", "b", "copies")
-    first = classes.join(signed, ["a", "b"]).where(F.col("doc_id") == F.col("rep.id")).dropDuplicates(["a", "b"])
-    first = checkpointed(first.select("rep", F.col("own_text").alias("rep_text"), "copies", "paths"))
-    tasks = _tasks(_nodes(first, runs), runs).join(first.select("rep", "rep_text", "copies"), "rep")
+    least = F.min(F.struct("doc_id", "own_text", "size", "paths")).alias("least")
+    first = signed.groupBy("a", "b").agg(least, F.count(F.lit(1)).alias("copies"))
+    first = checkpointed(first.select(F.struct(F.col("least.doc_id").alias("id"), "a", "b").alias("rep"), "copies", "least.own_text", "least.size", "least.paths").withColumnRenamed("own_text", "rep_text"))
+    classes = first.select("rep", F.col("rep.a").alias("a"), F.col("rep.b").alias("b"), "copies")
+    tasks = _tasks(_leaves(first, runs), runs).join(first.select("rep", "rep_text", "copies"), "rep")
     links = checkpointed(_links(rows, tasks, words, similarity))
     counts = links.groupBy("rep").agg(F.sum("n").alias("n"))
     labels = components(links.where("rep <> root").select(F.col("rep").alias("u"), F.col("root").alias("v")))
     found = classes.join(counts, "rep", "left").join(labels, classes["rep"] == labels["node"], "left")
-    found = found.select("a", "b", F.coalesce("label", "rep")["id"].alias("class_id"), F.col("rep.id").alias("copy_id"), (F.col("copies") - 1 + F.coalesce("n", F.lit(0))).alias("n_links"))
-    return signed.select("doc_id", "a", "b").join(found, ["a", "b"]).select("doc_id", "class_id", "copy_id", "n_links")
+    found = found.select(F.struct("a", "b").alias("keys"), F.coalesce("label", "rep")["id"].alias("class_id"), F.col("rep.id").alias("copy_id"), (F.col("copies") - 1 + F.coalesce("n", F.lit(0))).alias("n_links"))
+    many = checkpointed(first.where(F.col("copies") > HEAVY_ROWS).select(F.struct("rep.a", "rep.b").alias("keys")))
+    rows = signed.select("doc_id", F.struct("a", "b").alias("keys"))
+    return looked_up(rows, found, "keys", many, F.lit(64)).select("doc_id", "class_id", "copy_id", "n_links")

@@ -8,8 +8,9 @@ from collections import Counter, defaultdict
 import numpy as np
 import public_tokenizers
 import pytest
+from pyspark.sql import functions as F
 
-from quillon.llm import exact_search, jaccard_join, line_dedup, packing, piece_codec, quality, simhash, substring_dedup, token_counts, toxicity
+from quillon.llm import _shared, exact_search, jaccard_join, line_dedup, packing, piece_codec, quality, simhash, substring_dedup, token_counts, toxicity
 from tests.llm.common import corpus, documents, hard, rows_of
 
 PIECES = public_tokenizers.path("piece_bpe_32k.model")
@@ -407,6 +408,58 @@ def test_pairs_at_the_threshold_meet_with_the_recall():
     assert missed[-1] < 1.5 * (1 - jaccard_join.RECALL) and missed[1] < 0.0005 and missed[0] < 0.0005
 
 
+def test_pairs_at_the_threshold_are_found(spark, monkeypatch):
+    """600 pairs of similarity 0.80 to 0.85 whose sets share a common passage, so that nodes split to the last depth."""
+    monkeypatch.setattr(jaccard_join, "LEAF", 16)
+    monkeypatch.setattr(jaccard_join, "BLOCK", 64)
+    rng = random.Random(12)
+    passage = [f"p{i}" for i in range(30)]
+    texts = []
+    for k in range(600):
+        own = [f"{k}x{i}" for i in range(64)]
+        changed = 8 + k % 3  # of 90 shingles: (90 - changed) / (90 + changed)
+        texts += [" ".join(passage + own), " ".join(passage + own[:-changed] + [f"{k}y{i}" for i in range(changed)])]
+    rng.shuffle(texts)
+    docs = documents(spark, texts).repartition(4)
+    want = brute_links_of_pairs(texts)
+    got = {r.doc_id: r.class_id for r in jaccard_join.jaccard_join(docs).collect()}
+    found = sum(got[a] == got[b] for a, b in want)
+    assert len(want) == 600 and found >= 0.99 * len(want)
+    assert len({got[i] for i in got}) >= 600  # and nothing else is linked
+
+
+def brute_links_of_pairs(texts):
+    own = defaultdict(list)
+    for i, t in enumerate(texts):
+        own[t.split(" ")[30].split("x")[0]].append(i)
+    pairs = [tuple(sorted(p)) for p in own.values()]
+    for a, b in pairs:
+        x, y = shingles(texts[a]), shingles(texts[b])
+        assert 0.8 <= len(x & y) / len(x | y) < 0.86
+    return pairs
+
+
+def test_heavy_keys_are_dealt_over_tasks(spark, monkeypatch):
+    monkeypatch.setattr(_shared, "HEAVY_ROWS", 5)
+    rows = spark.createDataFrame([(i, i % 3 if i < 60 else i) for i in range(100)], "i long, k long")
+    table = spark.createDataFrame([(k, k * 10) for k in range(0, 90) if k != 2], "k long, v long")
+    for size in (1000, 0):
+        monkeypatch.setattr(_shared, "BROADCAST_BYTES", size)
+        heavy = _shared.heavy_keys(rows, "k", "k")
+        assert sorted(r.k for r in heavy.collect()) == [0, 1, 2]
+        for how in ("inner", "left"):
+            got = sorted(((r.i, r.k, r.v) for r in _shared.looked_up(rows, table, "k", heavy, F.lit(16), how).select("i", "k", "v").collect()), key=str)
+            assert got == sorted(((r.i, r.k, r.v) for r in rows.join(table, "k", how).select("i", "k", "v").collect()), key=str)
+
+
+def test_components_of_a_hub(spark, monkeypatch):
+    monkeypatch.setattr(_shared, "HEAVY_ROWS", 5)
+    monkeypatch.setattr(_shared, "BROADCAST_BYTES", 0)
+    edges = [(i, 100) for i in range(20, 60)] + [(200 + i, 201 + i) for i in range(30)] + [(100, 7)]
+    got = {r.node: r.label for r in jaccard_join.components(spark.createDataFrame(edges, "u long, v long")).collect()}
+    assert got == {**{i: 7 for i in [7, 100, *range(20, 60)]}, **{200 + i: 200 for i in range(31)}}
+
+
 def test_runs_reach_the_recall():
     n = jaccard_join.runs_needed(0.8, 0.999, 3)
     assert 1 - (1 - 0.8**3) ** n >= 0.999 > 1 - (1 - 0.8**3) ** (n - 1)
