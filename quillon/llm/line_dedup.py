@@ -4,7 +4,8 @@ Every three consecutive lines of a document are hashed; a window's first occurre
 the smallest (doc_id, line) that has its hash; every other occurrence covers three lines
 to remove, and the covered lines of a document are merged before any goes. Only hashes
 and positions are shuffled to find the windows; the first occurrence is pre-aggregated in
-each task, so that a window of a third of all documents reaches the shuffle a few times.
+each task, and a window of many occurrences is looked up by broadcast or in salted copies,
+so that a window of a third of all documents meets in no task.
 """
 
 from __future__ import annotations
@@ -12,6 +13,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from quillon.llm._shared import HEAVY_ROWS, checkpointed, looked_up
+
 WIDTH = 3
 _SECOND = 0x51ED270B  # makes the other 64 bits of a window's hash
 
@@ -21,38 +24,47 @@ def _lines(text: Column) -> Column:
 
 
 def repeated_lines(docs: DataFrame, width: int = WIDTH, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """doc_id, lines: the sorted numbers (from 0) of the lines to remove of every document that has any.
+    """doc_id, text_key, lines: the sorted numbers (from 0) of the lines to remove of every document that has any.
 
     Lines end at \\n; an empty line is a line. Texts with fewer lines than `width` have no window.
-    A null text has no lines, a null id takes no part. Rows of one doc_id are told apart by
-    nothing else, so windows of theirs at equal lines are one occurrence.
+    A null text has no lines, a null id takes no part. text_key is the text's xxhash64, which tells rows of one
+    doc_id apart and orders them; rows of one doc_id and one text are one document, whose lines stay or go in both.
     """
-    rows = docs.where(F.col(id_col).isNotNull() & F.col(text_col).isNotNull()).select(F.col(id_col).cast("long").alias("doc_id"), _lines(F.col(text_col)).alias("lines")).where(F.size("lines") >= width)
-    windows = rows.select("doc_id", F.posexplode(F.transform(F.sequence(F.lit(1), F.size("lines") - (width - 1)), lambda i: F.struct(*_hashes(F.slice(F.col("lines"), i, width))))).alias("line", "h")).select("doc_id", "line", F.col("h.a").alias("a"), F.col("h.b").alias("b"))
-    first = windows.groupBy("a", "b").agg(F.min(F.struct("doc_id", "line")).alias("first"), F.count(F.lit(1)).alias("n")).where("n > 1").select("a", "b", F.col("first.doc_id").alias("first_doc"), F.col("first.line").alias("first_line"))
-    later = windows.join(first, ["a", "b"]).where((F.col("doc_id") != F.col("first_doc")) | (F.col("line") != F.col("first_line")))
-    return later.groupBy("doc_id").agg(F.sort_array(F.collect_set("line")).alias("starts")).select("doc_id", F.array_sort(F.array_distinct(F.flatten(F.transform("starts", lambda s: F.sequence(s, s + (width - 1)))))).alias("lines"))
+    rows = docs.where(F.col(id_col).isNotNull() & F.col(text_col).isNotNull())
+    rows = rows.select(F.col(id_col).cast("long").alias("doc_id"), F.xxhash64(text_col).alias("text_key"), _lines(F.col(text_col)).alias("lines")).where(F.size("lines") >= width)
+    hashes = F.transform(F.sequence(F.lit(1), F.size("lines") - (width - 1)), lambda i: F.struct(*_hashes(F.slice(F.col("lines"), i, width))))
+    kept = checkpointed(rows.select("doc_id", "text_key", hashes.alias("windows")))
+    windows = kept.select("doc_id", "text_key", F.posexplode("windows").alias("line", "window"))
+    place = F.struct("doc_id", "text_key", "line")
+    first = checkpointed(windows.groupBy("window").agg(F.min(place).alias("first"), F.count(F.lit(1)).alias("n")).where("n > 1"))
+    heavy = checkpointed(first.where(F.col("n") > HEAVY_ROWS).select("window"))
+    later = looked_up(windows, first.select("first", "window"), "window", heavy, F.lit(64)).where(place != F.col("first"))
+    starts = later.groupBy("doc_id", "text_key").agg(F.sort_array(F.collect_set("line")).alias("starts"))
+    return starts.select("doc_id", "text_key", F.array_sort(F.array_distinct(F.flatten(F.transform("starts", lambda s: F.sequence(s, s + (width - 1)))))).alias("lines"))
 
 
 def _hashes(window: Column) -> list[Column]:
-    # the array's hash depends on where its lines part
-    return [F.xxhash64(window).alias("a"), F.xxhash64(F.lit(_SECOND), F.array_join(window, "\n")).alias("b")]
+    # an array's hash depends on where its lines part
+    return [F.xxhash64(window).alias("a"), F.xxhash64(F.lit(_SECOND), window).alias("b")]
 
 
 def dedup_lines(docs: DataFrame, width: int = WIDTH, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """docs with every column, and text without the lines that repeated_lines names; n_lines and n_removed beside it.
 
-    A null text stays null with no lines; a text that loses all its lines becomes empty. Columns
-    of docs named n_lines or n_removed are replaced.
+    A null text stays null with no lines; a text that loses all its lines becomes empty; a row with a null id keeps
+    its lines. Repeated rows lose the same lines, rows of one doc_id with other texts are documents of their own.
+    Columns of docs named n_lines or n_removed are replaced. An empty table gives an empty result.
     """
-    plain = docs.drop("n_lines", "n_removed", "__covered", "__id")
-    covered = repeated_lines(docs, width, id_col, text_col).select(F.col("doc_id").alias("__id"), F.col("lines").alias("__covered"))
-    joined = plain.withColumn("__key", F.col(id_col).cast("long")).join(covered, F.col("__key") == F.col("__id"), "left")
-    lines = _lines(F.col(text_col))
-    kept = F.when(F.col("__covered").isNull(), F.col(text_col)).otherwise(F.array_join(F.filter(lines, lambda x, i: ~F.array_contains(F.col("__covered"), i)), "\n"))
-    n = F.when(F.col(text_col).isNull(), F.lit(0)).otherwise(F.size(lines)).cast("long")
+    plain = docs.drop("n_lines", "n_removed", "__covered", "__id", "__text", "__lines")
+    covered = repeated_lines(docs, width, id_col, text_col).select(F.col("doc_id").alias("__id"), F.col("text_key").alias("__text"), F.col("lines").alias("__covered"))
+    joined = plain.join(covered, (F.col(id_col).cast("long") == F.col("__id")) & (F.xxhash64(text_col) == F.col("__text")), "left")
+    joined = joined.withColumn("__lines", _lines(F.col(text_col)))
+    # the lines that stay, by their numbers: array_except hashes, so that this is linear in the lines
+    numbers = F.array_except(F.sequence(F.lit(0), F.size("__lines") - 1), F.col("__covered"))
+    kept = F.when(F.col("__covered").isNull(), F.col(text_col)).otherwise(F.array_join(F.transform(numbers, lambda i: F.get(F.col("__lines"), i)), "\n"))
+    n = F.when(F.col(text_col).isNull(), F.lit(0)).otherwise(F.size("__lines")).cast("long")
     removed = F.coalesce(F.when(F.col(text_col).isNotNull(), F.size("__covered")), F.lit(0)).cast("long")
-    return joined.select(*[F.col(c) if c != text_col else kept.alias(c) for c in plain.columns], n.alias("n_lines"), removed.alias("n_removed"))
+    return joined.select(*[F.col(f"`{c}`") if c != text_col else kept.alias(c) for c in plain.columns], n.alias("n_lines"), removed.alias("n_removed"))
 
 
 def line_digests(docs: DataFrame, width: int = WIDTH, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
