@@ -69,11 +69,23 @@ def _stretches(at: np.ndarray, *same: np.ndarray) -> np.ndarray:
 
 
 def _cover(at: np.ndarray, doc: np.ndarray, place: np.ndarray, window: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """(document, first word, word after the last) of the stretches of the duplicate windows `at`."""
+    """(text, first word, word after the last) of the stretches of the duplicate windows `at`."""
     first = _stretches(at, doc[at])
     sizes = np.diff(np.append(first, len(at)))
-    start = place[at[first]] if len(first) else np.zeros(0, np.int64)
-    return doc[at[first]] if len(first) else np.zeros(0, np.int64), start, start + sizes + window - 1
+    return doc[at[first]], place[at[first]], place[at[first]] + sizes + window - 1
+
+
+def _documents(ids: np.ndarray, texts: np.ndarray, counts: np.ndarray) -> bytes:
+    """How many documents, the ids by their differences, the keys of their texts, and how many entries each has."""
+    return np.concatenate([[len(ids)], np.diff(ids, prepend=0), texts]).astype("<i8").tobytes() + counts.astype("<u4").tobytes()
+
+
+def _entries(packed: bytes) -> tuple[np.ndarray, np.ndarray]:
+    """The document id and the key of the text of each entry of _documents."""
+    n = int(np.frombuffer(packed, "<i8", 1)[0])
+    whole = np.frombuffer(packed, "<i8", 2 * n, 8)
+    counts = np.frombuffer(packed, "<u4", n, 8 + 16 * n)
+    return np.repeat(np.cumsum(whole[:n]), counts), np.repeat(whole[n:], counts)
 
 
 def _inside(cut: Texts, count: int, window: int) -> np.ndarray:
@@ -100,11 +112,11 @@ def _split(block: np.ndarray, hashes: np.ndarray, blocks: int, parts: dict[int,
     return np.where(many[block] > 1, begin[block] + ((hashes >> _U(32)) % many[block].astype(_U)).astype(np.int64), block)
 
 
-def _slice_rows(ids: np.ndarray, texts: list[str], blocks: int, window: int, salt: int, parts: dict[int, tuple[int, int]]) -> Iterator[tuple[int, bytes, bytes, bytes, bytes]]:
-    """What a slice sends: (block, document ids and counts, places, sizes, fingerprints) and, with a
-    negative block, (., ids, starts, stops, .) of the duplicates within the slice."""
-    order = np.argsort(ids, kind="stable")
-    ids, texts = ids[order], [texts[i] for i in order]
+def _slice_rows(ids: np.ndarray, keys: np.ndarray, texts: list[str], blocks: int, window: int, salt: int, parts: dict[int, tuple[int, int]]) -> Iterator[tuple[int, bytes, bytes, bytes, bytes]]:
+    """What a slice sends: (block, documents, places, sizes, fingerprints) and, with a
+    negative block, (., documents, starts, stops, .) of the duplicates within the slice. keys tell the texts of one id apart."""
+    order = np.lexsort((keys, ids))
+    ids, keys, texts = ids[order], keys[order], [texts[i] for i in order]
     cut = Texts(texts)
     words = cut.hashes()
     doc = cut.doc
@@ -121,8 +133,8 @@ def _slice_rows(ids: np.ndarray, texts: list[str], blocks: int, window: int, sal
     twice = np.zeros(len(inside), bool)
     twice[by] = who[inside[by]] > smallest
     if twice.any():
-        docs, start, stop = _cover(inside[twice], who, place, window)
-        yield -1 - salt % blocks, docs.astype("<i8").tobytes(), start.astype("<i8").tobytes(), stop.astype("<i8").tobytes(), b""
+        own, start, stop = _cover(inside[twice], doc, place, window)
+        yield -1 - salt % blocks, _documents(ids[own], keys[own], np.ones(len(own))), start.astype("<i8").tobytes(), stop.astype("<i8").tobytes(), b""
     at = inside[~twice]
     if not len(at):
         return
@@ -141,9 +153,8 @@ def _slice_rows(ids: np.ndarray, texts: list[str], blocks: int, window: int, sal
     cuts = np.flatnonzero(np.concatenate([[True], where[1:] != where[:-1], [True]]))
     for a, b in zip(cuts, cuts[1:]):
         f, n = first[a:b], size[a:b]
-        own, counts = np.unique(who[f], return_counts=True)
-        head = np.concatenate([[len(own)], np.diff(own, prepend=0), counts]).astype("<i8")
-        yield int(where[a]), head.tobytes(), place[f].astype("<u4").tobytes(), n.astype(np.uint8).tobytes(), prints[_ranges(f, n)].astype("<u8").tobytes()
+        own, counts = np.unique(doc[f], return_counts=True)
+        yield int(where[a]), _documents(ids[own], keys[own], counts), place[f].astype("<u4").tobytes(), n.astype(np.uint8).tobytes(), prints[_ranges(f, n)].astype("<u8").tobytes()
 
 
 def _ranks(prints: np.ndarray, left: np.ndarray) -> list[np.ndarray]:
@@ -215,22 +226,22 @@ def _factors(who: np.ndarray, prints: np.ndarray, run: np.ndarray) -> tuple[np.n
     return at[first], at[match[first]], length[first]
 
 
-def _parse_block(doc: np.ndarray, place: np.ndarray, size: np.ndarray, prints: np.ndarray, window: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Duplicate spans (document, start, stop) of a block's stretches: document and place of each
+def _parse_block(doc: np.ndarray, key: np.ndarray, place: np.ndarray, size: np.ndarray, prints: np.ndarray, window: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """Duplicate spans (document, text, start, stop) of a block's stretches: document, key of the text and place of each
     stretch's first word, its number of windows, and the fingerprints of all windows."""
-    order = np.lexsort((place, doc))  # references come first
+    order = np.lexsort((place, key, doc))  # references come first
     offset = np.cumsum(size) - size
     size = size[order]
     prints = prints[_ranges(offset[order], size)]
-    who = np.repeat(doc[order], size)
+    who, text = np.repeat(doc[order], size), np.repeat(key[order], size)
     where = _ranges(place[order], size)
-    run = np.cumsum(np.concatenate([[True], (who[1:] != who[:-1]) | (where[1:] != where[:-1] + 1)]))
+    run = np.cumsum(np.concatenate([[True], (who[1:] != who[:-1]) | (text[1:] != text[:-1]) | (where[1:] != where[:-1] + 1)]))
     first, _, length = _factors(who, prints, run)
     found = _ranges(first, length)
     begin = _stretches(found, run[found])  # factors that meet become one span
     length = np.diff(np.append(begin, len(found)))
     first = found[begin]
-    return who[first], where[first], where[first] + length + window - 1
+    return who[first], text[first], where[first], where[first] + length + window - 1
 
 
 def _parts(rows: DataFrame, blocks: int, window: int) -> dict[int, tuple[int, int]]:
@@ -270,13 +281,12 @@ def _parts(rows: DataFrame, blocks: int, window: int) -> dict[int, tuple[int, in
 
 
 def duplicate_spans(docs: DataFrame, window: int = WINDOW, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """doc_id, start, stop: word ranges that `window`-word sequences cover which also start in a smaller doc_id.
+    """doc_id, text_key, start, stop: word ranges that `window`-word sequences cover which also start in a smaller doc_id.
 
-    Ranges of one document can overlap. Null texts have no words; rows with a null id take
-    no part. Rows of one doc_id are one document: they are no references for each other and
-    their ranges are not told apart.
+    text_key is the text's xxhash64. Ranges of one document can overlap. Null texts have no words; rows with a null
+    id take no part. Rows of one doc_id are no references for each other; each has the ranges of its own text.
     """
-    rows = docs.where(F.col(id_col).isNotNull() & F.col(text_col).isNotNull()).select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
+    rows = docs.where(F.col(id_col).isNotNull() & F.col(text_col).isNotNull()).select(F.col(id_col).cast("long").alias("doc_id"), F.xxhash64(text_col).alias("text_key"), F.col(text_col).alias("text"))
     total = rows.agg(F.sum(F.octet_length("text").cast("long"))).first()[0] or 0
     blocks = max(1, -(-total // BLOCK_BYTES))
     parts = _parts(rows, blocks, window)
@@ -284,19 +294,21 @@ def duplicate_spans(docs: DataFrame, window: int = WINDOW, id_col: str = "doc_id
     def send(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         salt = TaskContext.get().partitionId() * 7919
         ids: list[int] = []
+        keys: list[int] = []
         texts: list[str] = []
         held = 0
 
         def out() -> Iterator[pa.RecordBatch]:
-            nonlocal ids, texts, held, salt
+            nonlocal ids, keys, texts, held, salt
             salt += 1
-            for row in _slice_rows(np.array(ids, np.int64), texts, blocks, window, salt, parts):
+            for row in _slice_rows(np.array(ids, np.int64), np.array(keys, np.int64), texts, blocks, window, salt, parts):
                 yield pa.RecordBatch.from_arrays([pa.array([row[0]], pa.int64()), *(pa.array([x], pa.binary()) for x in row[1:])], names=["block", "docs", "places", "sizes", "prints"])
-            ids, texts, held = [], [], 0
+            ids, keys, texts, held = [], [], [], 0
 
         for batch in batches:
-            for i, t in zip(batch.column("doc_id").to_pylist(), batch.column("text").to_pylist()):
+            for i, k, t in zip(batch.column("doc_id").to_pylist(), batch.column("text_key").to_pylist(), batch.column("text").to_pylist()):
                 ids.append(i)
+                keys.append(k)
                 texts.append(t)
                 held += len(t)
                 if held > SLICE:
@@ -306,20 +318,16 @@ def duplicate_spans(docs: DataFrame, window: int = WINDOW, id_col: str = "doc_id
 
     def parse(table: pa.Table) -> pa.Table:
         column = lambda c: [x.as_py() for x in table.column(c)]
+        doc, key = map(np.concatenate, zip(*map(_entries, column("docs"))))
         if table.column("block")[0].as_py() < 0:
-            doc, start, stop = (np.concatenate([np.frombuffer(x, "<i8") for x in column(c)]) for c in ("docs", "places", "sizes"))
+            start, stop = (np.concatenate([np.frombuffer(x, "<i8") for x in column(c)]) for c in ("places", "sizes"))
         else:
-            docs = []
-            for x in column("docs"):
-                head = np.frombuffer(x, "<i8")
-                n = int(head[0])
-                docs.append(np.repeat(np.cumsum(head[1 : n + 1]), head[n + 1 :]))
             join = lambda c, kind: np.frombuffer(b"".join(column(c)), kind)
-            doc, start, stop = _parse_block(np.concatenate(docs), join("places", "<u4").astype(np.int64), join("sizes", np.uint8).astype(np.int64), join("prints", "<u8"), window)
-        return pa.table([pa.array(doc, pa.int64()), pa.array(start, pa.int64()), pa.array(stop, pa.int64())], names=["doc_id", "start", "stop"])
+            doc, key, start, stop = _parse_block(doc, key, join("places", "<u4").astype(np.int64), join("sizes", np.uint8).astype(np.int64), join("prints", "<u8"), window)
+        return pa.table([pa.array(x, pa.int64()) for x in (doc, key, start, stop)], names=["doc_id", "text_key", "start", "stop"])
 
     sent = rows.mapInArrow(send, "block long, docs binary, places binary, sizes binary, prints binary")
-    return sent.groupBy("block").applyInArrow(parse, "doc_id long, start long, stop long")
+    return sent.groupBy("block").applyInArrow(parse, "doc_id long, text_key long, start long, stop long")
 
 
 def _kept(text: str, spans: list[int] | None) -> tuple[int, int, bytes]:
@@ -349,16 +357,21 @@ def _merged(spans: Column) -> Column:
 
 def _with_spans(docs: DataFrame, window: int, id_col: str, text_col: str) -> DataFrame:
     spans = duplicate_spans(docs, window, id_col, text_col)
-    spans = spans.groupBy("doc_id").agg(F.array_sort(F.collect_list(F.shiftleft("start", 32).bitwiseOR(F.col("stop")))).alias("__spans"))
-    spans = spans.select(F.col("doc_id").alias("__id"), _merged(F.col("__spans")).alias("__spans"))
-    side = measured(checkpointed(spans), F.size("__spans") * 8 + 24)
-    return docs.withColumn("__key", F.col(id_col).cast("long")).join(side, F.col("__key") == F.col("__id"), "left")
+    spans = spans.groupBy("doc_id", "text_key").agg(F.array_sort(F.collect_list(F.shiftleft("start", 32).bitwiseOR(F.col("stop")))).alias("__spans"))
+    spans = spans.select(F.col("doc_id").alias("__id"), F.col("text_key").alias("__text"), _merged(F.col("__spans")).alias("__spans"))
+    side = measured(checkpointed(spans), F.size("__spans") * 8 + 32)
+    return docs.join(side, (F.col(id_col).cast("long") == F.col("__id")) & (F.xxhash64(text_col) == F.col("__text")), "left")
 
 
 def dedup_substrings(docs: DataFrame, window: int = WINDOW, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """docs with every column, and text, n_words, n_removed: where words were removed, text is the kept
-    ones joined by a blank, else it is as it was. Columns of docs named n_words or n_removed are replaced."""
-    plain = docs.drop("n_words", "n_removed", "__spans", "__id", "__key")
+    ones joined by a blank, else it is as it was. Columns of docs named n_words or n_removed are replaced.
+
+    A null text stays null and has no words, an empty one has none either; rows with a null id keep all words.
+    A repeated row loses the same words as the other; rows of one doc_id with other texts are judged each by itself,
+    against smaller ids only. An empty table gives an empty result.
+    """
+    plain = docs.drop("n_words", "n_removed", "__spans", "__id", "__text")
     names = plain.columns
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -375,7 +388,7 @@ def dedup_substrings(docs: DataFrame, window: int = WINDOW, id_col: str = "doc_i
 
 
 def substring_digests(docs: DataFrame, window: int = WINDOW, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """doc_id, n_words, n_removed, kept_sha256 (of the kept words joined by a blank) of every row; a null text has no words."""
+    """doc_id, n_words, n_removed, kept_sha256 (of the kept words joined by a blank) of every row, by the rules of dedup_substrings; a null text has no words."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:

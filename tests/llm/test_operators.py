@@ -272,9 +272,9 @@ def test_substring_dedup_of_long_repeats(spark, monkeypatch):
 
 def test_a_block_factors_against_smaller_documents():
     prints = np.array([7, 8, 9, 8, 9, 5, 7, 9, 8], np.uint64)
-    got = substring_dedup._parse_block(np.array([3, 1, 2, 2]), np.array([10, 0, 4, 9]), np.array([3, 2, 2, 2]), prints, 13)
+    got = substring_dedup._parse_block(np.array([3, 1, 2, 2]), np.array([0, 5, 6, 6]), np.array([10, 0, 4, 9]), np.array([3, 2, 2, 2]), prints, 13)
     # document 1 has 8, 9; 2 has 5, 7 and, apart, 9, 8; 3 has 7, 8, 9
-    assert sorted(zip(*(x.tolist() for x in got))) == [(2, 9, 23), (3, 10, 25)]
+    assert sorted(zip(*(x.tolist() for x in got))) == [(2, 6, 9, 23), (3, 0, 10, 25)]
 
 
 def test_factors_are_the_longest_matches():
@@ -328,11 +328,69 @@ def test_a_common_minimizer_is_split(spark, monkeypatch):
     assert parts
     windows = Counter()
     for k in range(0, 300, 10):
-        for block, _, _, sizes, _ in substring_dedup._slice_rows(np.arange(k, k + 10), texts[k : k + 10], blocks, 13, 0, parts):
+        for block, _, _, sizes, _ in substring_dedup._slice_rows(np.arange(k, k + 10), np.zeros(10, np.int64), texts[k : k + 10], blocks, 13, 0, parts):
             windows[block] += sum(sizes)
     assert sum(windows.values()) == 3300 and max(windows.values()) <= 300
 
 
+def repeated_ids(spark):
+    """Rows that share ids with other texts, and with the same text."""
+    rng = random.Random(9)
+    pool = [f"q{i}" for i in range(8)]
+    passages = [" ".join(rng.choice(pool) for _ in range(16)) for _ in range(6)]
+    rows = [(rng.randrange(12), rng.choice(["\n", " "]).join(rng.choices(passages, k=rng.randrange(1, 7)) + [f"u{k}"])) for k in range(60)]
+    long = "\n".join(["a0 a1 a2 a3 a4 a5 a6 a7 a8 a9 b0 b1 b2 b3", "u v w z", "last"])
+    return documents(spark, [], extra=[*rows, *rows[:9], (1, long), (2, long + " x"), (2, "u v w z\nnothing else\nlast"), (2, None), (None, long)]).repartition(3)
+
+
+def test_line_dedup_tells_texts_of_one_id_apart(spark):
+    docs = repeated_ids(spark)
+    keyed = [(r.doc_id, r.k, r.text) for r in docs.select("doc_id", F.xxhash64("text").alias("k"), "text").collect()]
+    places = defaultdict(set)
+    for doc, key, text in keyed:
+        if doc is not None and text is not None:
+            lines = text.split("\n")
+            for i in range(len(lines) - 2):
+                places[tuple(lines[i : i + 3])].add((doc, key, i))
+    want = []
+    for doc, key, text in keyed:
+        lines = (text or "").split("\n")
+        gone = {j for i in range(len(lines) - 2) for j in range(i, i + 3) if doc is not None and (doc, key, i) != min(places[tuple(lines[i : i + 3])])}
+        kept = "\n".join(x for i, x in enumerate(lines) if i not in gone)
+        want.append((doc, len(lines) if text is not None else 0, len(gone), hashlib.sha256(kept.encode()).hexdigest()))
+    assert rows_of(line_dedup.line_digests(docs)) == sorted(want, key=str)
+    assert any(n for _, _, n, _ in want)
+
+
+def test_line_dedup_is_linear_in_the_lines(spark):
+    import time
+
+    texts = ["\n" * 300_000, "\n".join(f"l{i % 1000}" for i in range(100_000)), "one word " + "x" * 1_000_000]
+    began = time.time()
+    got = {r.doc_id: (r.n_lines, r.n_removed) for r in line_dedup.line_digests(documents(spark, texts)).collect()}
+    assert got == {0: (300_001, 300_000), 1: (100_000, 99_000), 2: (1, 0)} and time.time() - began < 60
+
+
+def test_substring_dedup_tells_texts_of_one_id_apart(spark, monkeypatch):
+    monkeypatch.setattr(substring_dedup, "SLICE", 900)
+    monkeypatch.setattr(substring_dedup, "BLOCK_BYTES", 3000)
+    docs = repeated_ids(spark)
+    rows = [(r.doc_id, r.text) for r in docs.collect()]
+    low = {}
+    for doc, text in rows:
+        w = (text or "").split()
+        for i in range(len(w) - 12):
+            if doc is not None:
+                low[tuple(w[i : i + 13])] = min(low.get(tuple(w[i : i + 13]), doc), doc)
+    want = []
+    for doc, text in rows:
+        w = (text or "").split()
+        gone = {j for i in range(len(w) - 12) for j in range(i, i + 13) if doc is not None and low[tuple(w[i : i + 13])] < doc}
+        want.append((doc, len(w), len(gone), hashlib.sha256(" ".join(x for i, x in enumerate(w) if i not in gone).encode()).hexdigest()))
+    assert rows_of(substring_dedup.substring_digests(docs)) == sorted(want, key=str)
+    assert any(n for _, _, n, _ in want)
+
+
 # -- near duplicates ------------------------------------------------------------------------------
 
 
