@@ -34,9 +34,12 @@ from quillon.llm._shared import checkpointed, measured
 
 WINDOW = 13
 #: Words of a minimizer, code points of a slice, and bytes of text for each block.
-GRAM, SLICE, BLOCK_BYTES = 3, 2_000_000, 8_000_000
-#: Windows from which on a block is split by the windows themselves.
-BLOCK_WINDOWS = 4_000_000
+GRAM, SLICE, BLOCK_BYTES = 3, 2_000_000, 4_000_000
+#: Windows from which on a block is split by the windows themselves, and the counters that say so: blocks share
+#: them beyond that number, and are split together, which is exact too.
+BLOCK_WINDOWS, COUNTERS = 1_000_000, 1 << 20
+#: Tasks that the blocks are dealt to at most, unless the session shuffles into more partitions.
+MOST_TASKS = 20_000
 _U = np.uint64
 _MOST_WORDS = 255 - WINDOW
 
@@ -102,17 +105,13 @@ def _blocks_of(words: np.ndarray, at: np.ndarray, blocks: int, window: int) -> n
     return (_sliding_min(gram[: len(words) - GRAM + 1], window - GRAM + 1)[at] % _U(blocks)).astype(np.int64)
 
 
-def _split(block: np.ndarray, hashes: np.ndarray, blocks: int, parts: dict[int, tuple[int, int]]) -> np.ndarray:
-    """The blocks of windows, where a block in parts (where its own blocks begin, how many) is split by fingerprint."""
-    if not parts:
-        return block
-    begin, many = np.zeros(blocks, np.int64), np.ones(blocks, np.int64)
-    for b, (first, n) in parts.items():
-        begin[b], many[b] = first, n
-    return np.where(many[block] > 1, begin[block] + ((hashes >> _U(32)) % many[block].astype(_U)).astype(np.int64), block)
+def _split(block: np.ndarray, hashes: np.ndarray, blocks: int, parts: np.ndarray) -> np.ndarray:
+    """The blocks of windows, where a block whose counter in parts is more than 1 is split into as many by fingerprint."""
+    many = parts[block % len(parts)]
+    return block + np.where(many > 1, (hashes >> _U(32)) % many.astype(_U), _U(0)).astype(np.int64) * blocks
 
 
-def _slice_rows(ids: np.ndarray, keys: np.ndarray, texts: list[str], blocks: int, window: int, salt: int, parts: dict[int, tuple[int, int]]) -> Iterator[tuple[int, bytes, bytes, bytes, bytes]]:
+def _slice_rows(ids: np.ndarray, keys: np.ndarray, texts: list[str], blocks: int, window: int, salt: int, parts: np.ndarray) -> Iterator[tuple[int, bytes, bytes, bytes, bytes]]:
     """What a slice sends: (block, documents, places, sizes, fingerprints) and, with a
     negative block, (., documents, starts, stops, .) of the duplicates within the slice. keys tell the texts of one id apart."""
     order = np.lexsort((keys, ids))
@@ -142,8 +141,8 @@ def _slice_rows(ids: np.ndarray, keys: np.ndarray, texts: list[str], blocks: int
     begin = _stretches(at, block)
     size = np.diff(np.append(begin, len(at)))
     if size.max() > _MOST_WORDS:  # sizes are sent in a byte
-        parts = -(-size // _MOST_WORDS)
-        begin = _ranges(np.zeros(len(size), np.int64), parts) * _MOST_WORDS + np.repeat(begin, parts)
+        cuts = -(-size // _MOST_WORDS)
+        begin = _ranges(np.zeros(len(size), np.int64), cuts) * _MOST_WORDS + np.repeat(begin, cuts)
         size = np.diff(np.append(begin, len(at)))
     by = np.argsort(block[begin], kind="stable")
     begin, size = begin[by], size[by]
@@ -244,18 +243,19 @@ def _parse_block(doc: np.ndarray, key: np.ndarray, place: np.ndarray, size: np.n
     return who[first], text[first], where[first], where[first] + length + window - 1
 
 
-def _parts(rows: DataFrame, blocks: int, window: int) -> dict[int, tuple[int, int]]:
-    """By block of more than BLOCK_WINDOWS windows, where the blocks that it is split into begin, and how many they are."""
+def _parts(rows: DataFrame, blocks: int, window: int) -> np.ndarray:
+    """By counter (of the blocks equal to it modulo their number), how many blocks each of its blocks is split into."""
+    counters = min(blocks, COUNTERS)
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        windows = np.zeros(blocks, np.int64)
+        windows = np.zeros(counters, np.int64)
 
         def add(texts: list[str]) -> None:
             cut = Texts(texts)
             words = cut.hashes()
             at = _inside(cut, len(words), window)
             if len(at):
-                windows[:] += np.bincount(_blocks_of(words, at, blocks, window), minlength=blocks)
+                windows[:] += np.bincount(_blocks_of(words, at, blocks, window) % counters, minlength=counters)
 
         texts: list[str] = []
         held = 0
@@ -272,11 +272,10 @@ def _parts(rows: DataFrame, blocks: int, window: int) -> dict[int, tuple[int, in
         yield pa.RecordBatch.from_arrays([pa.array(some), pa.array(windows[some])], names=["block", "n"])
 
     counted = rows.select("text").mapInArrow(count, "block long, n long").groupBy("block").agg(F.sum("n").alias("n"))
-    parts: dict[int, tuple[int, int]] = {}
-    first = blocks
-    for b, n in sorted((r["block"], r["n"]) for r in counted.where(F.col("n") > BLOCK_WINDOWS).collect()):
-        parts[b] = (first, -(-2 * n // BLOCK_WINDOWS))
-        first += parts[b][1]
+    parts = np.ones(counters, np.int64)
+    usual = BLOCK_WINDOWS * -(-blocks // counters)
+    for r in counted.where(F.col("n") > usual).collect():  # at most one row for each counter
+        parts[r["block"]] = -(-2 * r["n"] // usual)
     return parts
 
 
@@ -327,7 +326,9 @@ def duplicate_spans(docs: DataFrame, window: int = WINDOW, id_col: str = "doc_id
         return pa.table([pa.array(x, pa.int64()) for x in (doc, key, start, stop)], names=["doc_id", "text_key", "start", "stop"])
 
     sent = rows.mapInArrow(send, "block long, docs binary, places binary, sizes binary, prints binary")
-    return sent.groupBy("block").applyInArrow(parse, "doc_id long, text_key long, start long, stop long")
+    # tasks of a few blocks each, however many partitions the session shuffles into
+    tasks = max(int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions")), min(blocks, MOST_TASKS))
+    return sent.repartition(tasks, "block").groupBy("block").applyInArrow(parse, "doc_id long, text_key long, start long, stop long")
 
 
 def _kept(text: str, spans: list[int] | None) -> tuple[int, int, bytes]:

@@ -325,7 +325,7 @@ def test_a_common_minimizer_is_split(spark, monkeypatch):
     assert by_name(substring_dedup.substring_digests(docs), columns) == want
     blocks = 12
     parts = substring_dedup._parts(docs, blocks, 13)
-    assert parts
+    assert max(parts) > 1
     windows = Counter()
     for k in range(0, 300, 10):
         for block, _, _, sizes, _ in substring_dedup._slice_rows(np.arange(k, k + 10), np.zeros(10, np.int64), texts[k : k + 10], blocks, 13, 0, parts):
