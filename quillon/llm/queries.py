@@ -13,7 +13,7 @@ from quillon.llm.jaccard_join import jaccard_join
 from quillon.llm.packing import pack_documents
 from quillon.llm.piece_codec import piece_digests
 from quillon.llm.quality import score_quality, train_quality
-from quillon.llm.simhash import edited_fingerprints
+from quillon.llm.simhash import edited_fingerprints, with_near_counts
 from quillon.llm.token_counts import token_counts
 from quillon.llm.toxicity import score_toxicity, train_toxicity
 
@@ -31,7 +31,7 @@ def op2_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op3_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return edited_fingerprints(_table(spark, sf_dir, "documents"))
+    return with_near_counts(edited_fingerprints(_table(spark, sf_dir, "documents")))
 
 
 def op4_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -149,50 +149,84 @@ def test_fullest_is_the_best_sum():
 # -- fingerprints -------------------------------------------------------------------------
 
 
-def test_edited_fingerprints(spark, monkeypatch):
+def plain_votes(text):
+    """A text's fingerprint by plain loops over its terms."""
+    keys, weights = simhash._terms(simhash.Texts([text]))
+    votes, least = np.zeros(128, int), None
+    for k, w in zip(keys, weights):
+        t = np.array([int(k) & (1 << 44) - 1], np.uint64)
+        votes += int(w) * (2 * np.unpackbits(np.concatenate([simhash.mix(t + np.uint64(1)), simhash.mix(t + np.uint64(0x9E3779B97F4A7C15))]).view(np.uint8)).astype(int) - 1)
+        own = int(simhash.mix(t + np.uint64(3))[0])
+        least = own if least is None else min(least, own)
+    if least is None:
+        return votes > 0
+    low = np.array([least], np.uint64)
+    ties = np.unpackbits(np.concatenate([simhash.mix(low + np.uint64(1)), simhash.mix(low + np.uint64(0x9E3779B97F4A7C15))]).view(np.uint8)).astype(bool)
+    return (votes > 0) | (votes == 0) & ties
+
+
+def plain_likeness(a, b):
+    apart = int((a != b).sum())
+    return 0.0 if apart >= 64 else float(np.cos(np.pi * apart / 128))
+
+
+@pytest.mark.parametrize("drawn", [1, 8])
+def test_edited_fingerprints(spark, monkeypatch, drawn):
     monkeypatch.setattr(simhash, "RANGE_BYTES", 3000)  # several ranges
+    monkeypatch.setattr(simhash, "DRAWN", drawn)
     docs = hard(spark)
-    rows = sorted(((r.doc_id, r.text or "") for r in docs.collect()), key=lambda r: (r[0] is None, -(r[0] or 0), r[1]))
+    rows = [(r.doc_id, r.text or "", r.own) for r in docs.withColumn("own", F.xxhash64(F.coalesce("text", F.lit("")))).collect()]
+    rows.sort(key=lambda r: (r[0] is None, -(r[0] or 0), r[2], r[1]))
     want = []
-    for i, (doc, t) in enumerate(rows):
+    for i, (doc, t, _) in enumerate(rows):
         n = len(t) // 2
-        edited = t[: len(t) - n] + rows[(i + 1) % len(rows)][1][:n]
-        want.append((doc, len(t), hashlib.sha256(edited.encode()).hexdigest()))
-    got = simhash.edited_fingerprints(docs).collect()
-    assert sorted(((r.doc_id, r.n_chars, r.edited_sha256) for r in got), key=str) == sorted(want, key=str)
-    prints = defaultdict(set)
-    for r in got:
-        assert 0 <= r.near_edited <= 1 and 0 <= r.near_next <= 1 and len(r.fingerprint) == 32
-        prints[dict(rows).get(r.doc_id) if r.doc_id is not None else None].add(r.fingerprint)
-    assert all(len(p) == 1 for t, p in prints.items() if t is not None)
+        then = rows[(i + 1) % len(rows)][1]
+        edited = t[: len(t) - n] + then[:n]
+        a, b, c = map(plain_votes, (t, edited, then))
+        prints = [np.packbits(x).tobytes().hex() for x in (a, b)]
+        want.append((doc, len(t), hashlib.sha256(edited.encode()).hexdigest(), *prints, round(plain_likeness(a, b), 9), round(plain_likeness(a, c), 9)))
+    got = [(r.doc_id, r.n_chars, r.edited_sha256, r.fingerprint, r.edited_fingerprint, round(r.near_edited, 9), round(r.near_next, 9)) for r in simhash.edited_fingerprints(docs).collect()]
+    assert sorted(got, key=str) == sorted(want, key=str)
     assert simhash.edited_fingerprints(docs.limit(0)).count() == 0
     lone = simhash.edited_fingerprints(documents(spark, ["one two three"])).collect()
     assert len(lone) == 1 and lone[0].near_next == 1.0
 
 
+def test_ranges_are_even_whatever_the_ids(spark, monkeypatch):
+    monkeypatch.setattr(simhash, "RANGE_BYTES", 8000)
+    texts = [f"text {i} " * 5 for i in range(2000)]
+    docs = documents(spark, texts, extra=[(9 * 10**18, "far"), (-9 * 10**18, "off"), *((7, f"same id {i} " * 4) for i in range(1000)), *((None, f"no id {i} " * 4) for i in range(1000))])
+    parts = simhash._dealt(docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text"))).groupBy("part", "copy").count().collect()
+    own, copies = ([r["count"] for r in parts if r["copy"] == c] for c in (0, 1))
+    assert sum(own) == 4002 and len(own) > 12 and max(own) < 3 * 4002 / len(own) and copies == [1] * len(own)
+
+
+def test_short_unrelated_texts_are_unlike():
+    words = [f"word{i}" for i in range(400)]
+    for n in (1, 2, 3):
+        texts = [" ".join(words[(n * i + k) % 400] for k in range(n)) for i in range(100)]
+        prints = simhash.fingerprints(texts)
+        assert simhash.likeness(prints[:-1], prints[1:]).mean() < 0.1
+        assert simhash.likeness(prints, simhash.fingerprints([""])).mean() < 0.1
+
+
 def test_votes_are_those_of_plain_loops():
     texts = ["a b c a b a b", "", "one", " ".join(f"t{i % 700}" for i in range(3000))]
-    cut = simhash.Texts(texts)
-    keys, weights = simhash._terms(cut)
-    for i, own in enumerate(simhash.fingerprints(texts)):
-        votes = np.zeros(128, int)
-        for k, w in zip(keys, weights):
-            if int(k) >> 44 == i:
-                t = np.array([int(k) & (1 << 44) - 1], np.uint64)
-                h = np.concatenate([simhash.mix(t + np.uint64(1)), simhash.mix(t + np.uint64(0x9E3779B97F4A7C15))])
-                votes += int(w) * (2 * np.unpackbits(h.view(np.uint8)).astype(int) - 1)
-        assert (np.unpackbits(own) == (votes > 0)).all()
-
-
-def test_all_fingerprints_within_the_radius(spark):
+    for text, own in zip(texts, simhash.fingerprints(texts)):
+        assert (np.unpackbits(own) == plain_votes(text)).all()
+
+
+@pytest.mark.parametrize("block", [3, 1024])
+def test_all_fingerprints_within_the_radius(spark, monkeypatch, block):
+    monkeypatch.setattr(simhash, "NEAR_BLOCK", block)
     rng = random.Random(3)
     base = [rng.getrandbits(128) for _ in range(6)]
     prints = [b ^ sum(1 << k for k in rng.sample(range(128), rng.randrange(6))) for b in base for _ in range(8)] + [base[0], base[0]]
-    df = spark.createDataFrame([(i, f"{p:032x}") for i, p in enumerate(prints)], "doc_id long, fingerprint string")
+    df = spark.createDataFrame([(i, f"{p:032x}") for i, p in enumerate(prints)] + [(99, None)], "doc_id long, fingerprint string")
     for radius in (3, 7):
-        want = [(i, sum((p ^ q).bit_count() <= radius for q in prints) - 1) for i, p in enumerate(prints)]
-        assert sorted(map(tuple, simhash.near_counts(df, radius).collect())) == want
-    assert simhash.near_counts(df.limit(0)).count() == 0
+        want = [(i, sum((p ^ q).bit_count() <= radius for q in prints) - 1) for i, p in enumerate(prints)] + [(99, None)]
+        assert sorted((r.doc_id, r.n_near) for r in simhash.with_near_counts(df, radius).collect()) == want
+    assert simhash.with_near_counts(df.limit(0)).count() == 0
 
 
 # -- classifiers ---------------------------------------------------------------------------
