@@ -560,14 +560,15 @@ def test_runs_reach_the_recall():
 # -- search -------------------------------------------------------------------------------------------
 
 
-def test_exact_search_is_brute_force(spark, monkeypatch):
-    monkeypatch.setattr(exact_search, "CANDIDATES", 60)
-    monkeypatch.setattr(exact_search, "QUERIES", 3)
+@pytest.mark.parametrize("sizes", [(60, 20, 10**6), (8192, 4096, 600)])
+def test_exact_search_is_brute_force(spark, monkeypatch, sizes):
+    for name, size in zip(("CANDIDATES", "FIRST", "CHUNK_BYTES"), sizes):
+        monkeypatch.setattr(exact_search, name, size)
     rng = np.random.default_rng(0)
     x = np.round(rng.normal(size=(300, 8)) * 0.1, 2).tolist()
     x += [x[50]] * 30 + [x[7]] * 20  # a hot vector, and ties
-    rows = list(enumerate(x)) + [(None, x[0]), (900, None), (950, [*x[0][:7], None]), (1000, [*x[0][:7], float("nan")]), (1050, [*x[0][:7], float("inf")]), (0, x[0])]
-    df = spark.createDataFrame([(i, v, 1) for i, v in rows], "vec_id long, embedding array<double>, score int")
+    rows = list(enumerate(x)) + [(None, x[0]), (900, None), (950, [*x[0][:7], None]), (1000, [*x[0][:7], float("nan")]), (1050, [*x[0][:7], float("inf")]), (0, x[0]), (7, x[7]), (1100, []), (1150, [0.5] * 3)]
+    df = spark.createDataFrame([(i, v, 1) for i, v in rows], "vec_id long, embedding array<double>, score int").repartition(3)
     v = np.floor(256 * np.array(x)).astype(int)
     want = []
     for q in range(0, len(x), 50):
@@ -577,3 +578,42 @@ def test_exact_search_is_brute_force(spark, monkeypatch):
     assert exact_search.top_k(df.limit(0)).count() == 0
     few = spark.createDataFrame([(0, [1.0]), (1, [2.0])], "vec_id long, embedding array<double>")
     assert list(map(tuple, exact_search.top_k(few).collect())) == [(0, 1, 1, 256 * 512)]
+
+
+def test_exact_search_of_other_vectors_under_one_id(spark):
+    rows = [(0, [1.0, 0.0]), (0, [0.0, 1.0]), (1, [2.0, 1.0]), (1, [1.0, 2.0]), (2, [1.0, 2.0])]
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<double>")
+    got = [(r.rank, r.vec_id, r.score) for r in exact_search.top_k(df).orderBy("rank").collect()]
+    # each vector of 0 asks, and each of 1 answers
+    assert got == [(1, 1, 131072), (2, 1, 131072), (3, 2, 131072), (4, 1, 65536), (5, 1, 65536)]
+
+
+def test_large_components_are_exact_or_refused(spark):
+    big = [(0, [3.0e6, 1.0]), (1, [3.0e6, 2.0]), (2, [3.0e6, 1.0]), (3, [-3.0e6, 1.0]), (4, [2.9e6, 9.0])]
+    df = spark.createDataFrame(big, "vec_id long, embedding array<double>")
+    v = [[int(256 * c) for c in x] for _, x in big]
+    want = sorted((-sum(a * b for a, b in zip(v[0], v[i])), i) for i in range(1, 5))
+    assert [(-r.score, r.vec_id) for r in exact_search.top_k(df).orderBy("rank").collect()] == want
+    wide = [(0, [4e6] * 2), (50, [4e6, -4e6]), *((i, [4e6, float(i)]) for i in range(1, 9))]
+    v = {i: [int(256 * c) for c in x] for i, x in wide}
+    want = sorted((q, -sum(a * b for a, b in zip(v[q], v[i])), i) for q in (0, 50) for i in v if i != q)
+    want = [w for q in (0, 50) for w in [w for w in want if w[0] == q][:5]]
+    assert [(r.query_id, -r.score, r.vec_id) for r in exact_search.top_k(spark.createDataFrame(wide, "vec_id long, embedding array<double>")).orderBy("query_id", "rank").collect()] == want
+    with pytest.raises(Exception, match="too large"):
+        exact_search.top_k(spark.createDataFrame([(0, [1e300]), (1, [1e300])], "vec_id long, embedding array<double>")).collect()
+
+
+def test_reading_stops_before_the_lists_end():
+    rng = np.random.default_rng(2)
+    x = rng.normal(size=(20_000, 64))
+    v = np.floor(256 * x / np.linalg.norm(x, axis=1, keepdims=True)).astype(np.int64)
+    ids = np.arange(len(v))
+    search = exact_search._Search(v[::50], ids[::50], np.full(400, -np.inf), 5)
+    for a in range(0, len(v), 4096):
+        search.add(ids[a : a + 4096], v[a : a + 4096])
+    first, rest = 4096, len(v) - 4096
+    assert search.read < (first + 0.65 * rest) * 64 * 400  # the first block is read whole
+    scores = v[::50] @ v.T
+    for i in range(400):
+        scores[i, 50 * i] = -(10**9)
+        assert search.best[i][0][0] == -scores[i].max() and search.best[i][4][0] == -np.sort(scores[i])[-5]
