@@ -15,15 +15,15 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from quillon.llm._hashing import SIGNS, Texts, mix, ngrams, span_hashes
+from quillon.llm._hashing import SIGNS, Texts, ngrams
 from quillon.llm._labelled import TRAINING_CHARS, fold, trained, training_rows
 
 HASH_BITS = 20
 #: Words at i and at i + these: words, pairs, and pairs that skip one.
 SHAPES = ((), (1,), (2,))
-#: Words are also taken by their first so many letters, for endings not met in training.
-STEMS = (4, 5, 6)
-ALPHA, BETA, L1, L2, EPOCHS = 0.5, 1.0, 3.0, 1.0, 4
+ALPHA, BETA, L1, L2, EPOCHS = 2.0, 1.0, 20.0, 0.0, 10
+#: What an example of label 1 counts, since these are few.
+POSITIVE = 8.0
 #: Labelled documents that training takes at most.
 TRAINING_ROWS = 20_000
 _SLICE = 400_000
@@ -36,23 +36,24 @@ def features(texts: list[str]) -> Iterator[tuple[np.ndarray, np.ndarray]]:
     for gaps in SHAPES:
         h, doc = ngrams(words, cut.doc, gaps)
         yield (h >> np.uint64(64 - HASH_BITS)).astype(np.int64), doc
-    for n in STEMS:
-        stems = span_hashes(cut.points, cut.starts, np.minimum(cut.ends, cut.starts + n))
-        yield (mix(stems + np.uint64(n)) >> np.uint64(64 - HASH_BITS)).astype(np.int64), cut.doc
 
 
-def fit(texts: list[str], y: list[int]) -> bytes:
-    """The weights of FTRL-proximal after EPOCHS passes: buckets, weights and bias."""
-    size = 1 << HASH_BITS
-    z, n = np.zeros(size + 1), np.zeros(size + 1)
-    examples = []
+def examples(texts: list[str]) -> list[np.ndarray]:
+    """The distinct buckets of each text, and at last the bias."""
+    size, found = 1 << HASH_BITS, []
     for start in range(0, len(texts), 64):
         part = texts[start : start + 64]
         buckets, docs = map(np.concatenate, zip(*features(part)))
         keys = np.unique(docs * (size + 1) + buckets)
         docs, buckets = keys // (size + 1), keys % (size + 1)
         cuts = np.searchsorted(docs, np.arange(len(part) + 1))
-        examples += [np.append(buckets[a:b], size).astype(np.int32) for a, b in zip(cuts, cuts[1:])]  # the last is the bias
+        found += [np.append(buckets[a:b], size).astype(np.int32) for a, b in zip(cuts, cuts[1:])]
+    return found
+
+
+def ftrl(found: list[np.ndarray], y: list[int]) -> np.ndarray:
+    """The weights that FTRL-proximal has after EPOCHS passes over the examples, the bias at last."""
+    z, n = np.zeros((1 << HASH_BITS) + 1), np.zeros((1 << HASH_BITS) + 1)
 
     def weights(at):
         zs = z[at]
@@ -60,13 +61,21 @@ def fit(texts: list[str], y: list[int]) -> bytes:
         return w
 
     for _ in range(EPOCHS):
-        for at, label in zip(examples, y):
+        for at, label in zip(found, y):
             w = weights(at)
             g = 1.0 / (1.0 + np.exp(-np.clip(w.sum(), -35, 35))) - label
+            if label:
+                g *= POSITIVE
             na = n[at]
             z[at] += g - (np.sqrt(na + g * g) - np.sqrt(na)) / ALPHA * w
             n[at] = na + g * g
-    w = weights(slice(None))
+    return weights(slice(None))
+
+
+def fit(texts: list[str], y: list[int]) -> bytes:
+    """The weights that are not 0: buckets, weights and bias."""
+    size = 1 << HASH_BITS
+    w = ftrl(examples(texts), y)
     kept = np.flatnonzero(w[:size])
     out = io.BytesIO()
     np.savez(out, buckets=kept.astype(np.int32), weights=w[kept].astype(np.float64), bias=w[size:])
@@ -93,7 +102,11 @@ def load(model: bytes) -> tuple[np.ndarray, float]:
 
 def train_toxicity(docs: DataFrame, labels: DataFrame, label: str = "toxic", most: int = TRAINING_ROWS, most_chars: int = TRAINING_CHARS) -> bytes:
     """A model from at most `most` labelled documents outside fold 0, of at most `most_chars` characters
-    together: a text that does not fit beside those taken before it is left out alone."""
+    together: a text that does not fit beside those taken before it is left out alone.
+
+    A null text is an empty one, ids and labels that are null take no part, a repeated row counts as often as it
+    stands there, an id labelled twice has the larger label. Without labelled rows every score is 0.5.
+    """
     return trained(training_rows(docs, labels, label, most), fit, most_chars)
 
 
