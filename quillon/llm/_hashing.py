@@ -82,7 +82,7 @@ class Texts:
 
     def char_ngrams(self, n: int) -> tuple[np.ndarray, np.ndarray]:
         """32-bit hashes of the n-grams of code points within a word and the blank on either side, and the text of each."""
-        p = self.points
+        p = np.concatenate([np.array([32], np.uint32), self.points])  # a blank before the first text too
         m = len(p) - n + 1
         if m <= 0:
             return np.zeros(0, np.uint32), np.zeros(0, np.int64)
@@ -93,8 +93,9 @@ class Texts:
             h *= np.uint32(0x9E3779B1)
             h ^= h >> np.uint32(15)
             if 0 < k < n - 1:
-                keep &= ~self.apart[k : k + m]
+                keep &= ~self.apart[k - 1 : k - 1 + m]
         at = np.flatnonzero(keep)
+        # an n-gram's second code point lies in its word, whichever text's blank is the first
         return h[at], np.searchsorted(self.limits, at, side="right") - 1
 
 

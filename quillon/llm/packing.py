@@ -216,5 +216,9 @@ def pack_pieces(pieces: DataFrame, capacity: int = 4096) -> DataFrame:
 
 
 def pack_documents(docs: DataFrame, tokenizer_file: str, capacity: int = 4096, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """doc_id, piece, start, length, ids_crc32, sequence_id, offset of every piece of every row."""
+    """doc_id, piece, start, length, ids_crc32, sequence_id, offset of every piece of every row.
+
+    A null or empty text is one piece of END_ID alone; a null id stays null; repeated rows are packed one by one, and
+    pieces of equal length are taken in any order. Other columns are not read. An empty table gives an empty result.
+    """
     return pack_pieces(token_pieces(docs, tokenizer_file, capacity, id_col, text_col), capacity)

@@ -26,16 +26,18 @@ TRAINING_ROWS = 6_000
 
 
 def features(texts: list[str]) -> list[tuple[np.ndarray, np.ndarray]]:
-    """(bucket, text) of each word, each repetition of a word at once, and each character n-gram."""
+    """(bucket, text) of each word, each repetition of a word at once, and each character n-gram.
+
+    A pair of equal words is one feature, whatever the word, with bucket 0 for itself.
+    """
     cut = Texts(texts)
     words = cut.hashes()
-    found = [((words >> np.uint64(64 - HASH_BITS)).astype(np.int32), cut.doc)]
-    # a pair of equal words is one feature, whatever the word
+    found = [(np.maximum(words >> np.uint64(64 - HASH_BITS), np.uint64(1)).astype(np.int32), cut.doc)]
     twice = np.flatnonzero((words[1:] == words[:-1]) & (cut.doc[1:] == cut.doc[:-1])) + 1
     found.append((np.zeros(len(twice), np.int32), cut.doc[twice]))
     for n in CHARS:
         h, doc = cut.char_ngrams(n)
-        found.append(((h >> np.uint32(32 - HASH_BITS)).astype(np.int32), doc))
+        found.append((np.maximum(h >> np.uint32(32 - HASH_BITS), np.uint32(1)).astype(np.int32), doc))
     return found
 
 
@@ -87,7 +89,12 @@ def score(texts: list[str], parts: np.ndarray, bias: float) -> np.ndarray:
 
 def train_quality(docs: DataFrame, labels: DataFrame, label: str = "quality", most: int = TRAINING_ROWS, most_chars: int = TRAINING_CHARS) -> bytes:
     """A model from at most `most` labelled documents outside fold 0, of at most `most_chars` characters
-    together: a text that does not fit beside those taken before it is left out alone."""
+    together: a text that does not fit beside those taken before it is left out alone.
+
+    A null text is an empty one and teaches nothing, as one without words; ids and labels that are null take no part,
+    a repeated row counts as often as it stands there, an id labelled twice has the larger label. Without labelled rows
+    every text has nearly the same score, near 0.5.
+    """
     return trained(training_rows(docs, labels, label, most), fit, most_chars)
 
 
@@ -102,7 +109,11 @@ def score_quality(docs: DataFrame, model: bytes, threshold: float = 0.3, id_col:
 
 
 def with_quality(docs: DataFrame, model: bytes, threshold: float = 0.3, text_col: str = "text") -> DataFrame:
-    """docs with every column, and score and predicted beside them; columns of docs of these names are replaced."""
+    """docs with every column, and score and predicted beside them; columns of docs of these names are replaced.
+
+    A null text stays null and is scored as an empty one, repeated rows are scored one by one; an empty table gives an
+    empty result. Other columns, ids included, may hold anything.
+    """
     plain = docs.drop("score", "predicted")
     schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in plain.schema.fields)
     return scored(plain, model, load, score, threshold, schema, plain.columns, text_col)

@@ -269,6 +269,105 @@ def test_an_outsized_training_text_is_left_out_alone(spark, monkeypatch, module)
     assert len(train(docs, labels, most_chars=40).decode().split(" ")) == 10
 
 
+def test_ftrl_is_that_of_plain_loops(monkeypatch):
+    from math import copysign, exp, sqrt
+
+    monkeypatch.setattr(toxicity, "L1", 0.05)
+    rng = random.Random(11)
+    texts = [" ".join(rng.choice(["bad", "good", "fine", "x", "y"]) for _ in range(rng.randrange(8))) for _ in range(60)]
+    y = [int("bad" in t.split()) for t in texts]
+    found = toxicity.examples(texts)
+    z, n = defaultdict(float), defaultdict(float)
+
+    def weight(i):
+        if abs(z[i]) <= toxicity.L1:
+            return 0.0
+        return -(z[i] - copysign(toxicity.L1, z[i])) / ((toxicity.BETA + sqrt(n[i])) / toxicity.ALPHA + toxicity.L2)
+
+    for _ in range(toxicity.EPOCHS):
+        for at, label in zip(found, y):
+            w = {i: weight(i) for i in at.tolist()}
+            g = (1 / (1 + exp(-sum(w.values()))) - label) * (toxicity.POSITIVE if label else 1)
+            for i in w:
+                z[i] += g - (sqrt(n[i] + g * g) - sqrt(n[i])) / toxicity.ALPHA * w[i]
+                n[i] += g * g
+    own = toxicity.ftrl(found, y)
+    assert np.flatnonzero(own).tolist() == sorted(i for i in z if weight(i))
+    assert all(own[i] == pytest.approx(weight(i)) for i in z)
+    model = toxicity.fit(texts, y)
+    scores = toxicity.score(texts, *toxicity.load(model))
+    plain = [1 / (1 + exp(-sum(weight(i) for i in at.tolist()))) for at in found]
+    assert scores.tolist() == pytest.approx(plain)
+    assert all((s >= 0.5) == bool(label) for s, label in zip(scores, y))
+
+
+def test_word_shapes_are_those_of_plain_loops():
+    text = "One two, three one"
+    words = ["one", "two", "three", "one"]
+    h = [int(x) for x in toxicity.Texts([text.lower()], toxicity.SIGNS).hashes()]
+    assert len(h) == 4 and h[0] == h[3] and len(set(h)) == 3
+    sizes = [len(b) for b, _ in toxicity.features([text])]
+    assert sizes == [sum(1 for i in range(len(words)) if i + (gaps[0] if gaps else 0) < len(words)) for gaps in toxicity.SHAPES]
+
+
+def test_features_are_a_texts_own():
+    texts = ["ab cde", "", "fgh", " ij  kl ", "m", "日本語 ab"]
+    for module in (quality, toxicity):
+        found = [(b, d) for b, d in module.features(texts)]
+        buckets, doc = map(np.concatenate, zip(*found))
+        for i, t in enumerate(texts):
+            alone = [b for bs, _ in module.features([t]) for b in bs.tolist()]
+            assert Counter(buckets[doc == i].tolist()) == Counter(alone)
+    grams = quality.Texts(["ab cde"]).char_ngrams(3)[0]
+    assert len(grams) == 5  # " ab", "ab ", " cd", "cde", "de "
+
+
+def test_sgd_is_that_of_plain_loops():
+    rng = random.Random(5)
+    texts = [" ".join(rng.choice(["ab", "cde", "fgh", "ij"]) for _ in range(rng.randrange(6))) for _ in range(40)]
+    y = [int("cde" in t.split()) for t in texts]
+    d = quality.DIMENSIONS
+    start = np.random.default_rng(quality.SEED).uniform(-1 / d, 1 / d, (1 << quality.HASH_BITS, d))
+    vectors = {}
+    out, bias = [[0.0] * d, [0.0] * d], [0.0, 0.0]
+    steps, done = quality.EPOCHS * len(texts), 0
+    for _ in range(quality.EPOCHS):
+        for t, label in zip(texts, y):
+            done += 1
+            counts = Counter(b for buckets, _ in quality.features([t]) for b in buckets.tolist())
+            total = sum(counts.values())
+            if not total:
+                continue
+            own = {b: vectors.get(b, start[b].tolist()) for b in counts}
+            hidden = [sum(n / total * own[b][k] for b, n in counts.items()) for k in range(d)]
+            logits = [sum(o * h for o, h in zip(out[c], hidden)) + bias[c] for c in (0, 1)]
+            p = np.exp(np.array(logits) - max(logits))
+            p = (p / p.sum()).tolist()
+            g = [quality.RATE * (1 - done / steps) * ((label == c) - p[c]) for c in (0, 1)]
+            back = [sum(g[c] * out[c][k] for c in (0, 1)) for k in range(d)]
+            for c in (0, 1):
+                out[c] = [o + g[c] * h for o, h in zip(out[c], hidden)]
+                bias[c] += 0.1 * g[c]
+            for b, n in counts.items():
+                rate = min(1.0, n / total * len(counts))
+                vectors[b] = [v + rate * x for v, x in zip(own[b], back)]
+    parts, own_bias = quality.load(quality.fit(texts, y))
+    assert own_bias == pytest.approx(bias[1] - bias[0], abs=1e-4)
+    for b, v in vectors.items():
+        assert parts[b] == pytest.approx(sum(x * (o1 - o0) for x, o0, o1 in zip(v, *out)), abs=1e-4)
+
+
+def test_thresholds_take_ties(spark):
+    docs = documents(spark, ["same text"] * 5 + ["", "x" * 300_000, "w " * 300_000])
+    none = spark.createDataFrame([], "doc_id long, toxic int, quality int")
+    for module, train, scores, at in ((toxicity, toxicity.train_toxicity, toxicity.score_toxicity, 0.5), (quality, quality.train_quality, quality.score_quality, 0.3)):
+        model = train(docs, none)
+        got = scores(docs, model).collect()
+        assert len(got) == 8 and len({r.score for r in got[:5]}) == 1 and all(r.predicted == (r.score >= at) for r in got)
+        tied = scores(docs, model, threshold=got[0].score).collect()
+        assert all(r.predicted == 1 for r in tied if r.score == got[0].score)
+
+
 # -- repeated lines and passages ----------------------------------------------------------------
 
 
