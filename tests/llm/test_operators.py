@@ -716,3 +716,29 @@ def test_reading_stops_before_the_lists_end():
     for i in range(400):
         scores[i, 50 * i] = -(10**9)
         assert search.best[i][0][0] == -scores[i].max() and search.best[i][4][0] == -np.sort(scores[i])[-5]
+
+
+# -- very long texts ----------------------------------------------------------------------------------
+
+
+def test_very_long_texts_come_through(spark):
+    """Megabytes of words, one word of a million letters, blanks and line ends alone, by every operator over texts."""
+    rng = random.Random(1)
+    prose = " ".join(f"w{rng.randrange(40_000)}" for _ in range(200_000))
+    texts = [prose, prose + " end", "x" * 1_000_000, " " * 1_000_000, "\n" * 300_000, "é" * 200_000, "a b c", ""]
+    docs = documents(spark, texts, extra=[(20, None)]).select("doc_id", "text")
+    assert {r.doc_id: r.n_bytes for r in token_counts.token_counts(docs, PIECES).collect()} == {**{i: len(t.encode()) for i, t in enumerate(texts)}, 20: 0}
+    links = {r.doc_id: (r.class_id, r.n_links) for r in jaccard_join.jaccard_join(docs).collect()}
+    assert links[0] == links[1] == (0, 1) and links[2] == (2, 0) and {links[i][0] for i in (3, 4, 7, 20)} == {3}
+    prints = {r.doc_id: r for r in simhash.with_near_counts(simhash.edited_fingerprints(docs)).collect()}
+    assert len(prints) == 9 and prints[0].n_chars == len(prose) and prints[2].edited_sha256 == hashlib.sha256(("x" * 500_000 + (prose + " end")[:500_000]).encode()).hexdigest()
+    labels = spark.createDataFrame([(i, i % 2, i % 2) for i in range(8)], "doc_id long, quality int, toxic int")
+    assert quality.score_quality(docs, quality.train_quality(docs, labels)).where("score BETWEEN 0 AND 1").count() == 9
+    assert toxicity.score_toxicity(docs, toxicity.train_toxicity(docs, labels)).where("score BETWEEN 0 AND 1").count() == 9
+    lines = {r.doc_id: (r.n_lines, r.n_removed) for r in line_dedup.line_digests(docs).collect()}
+    assert lines[4] == (300_001, 300_000) and lines[0] == (1, 0)
+    pieces = packing.pack_documents(docs, WORDS).groupBy("doc_id").agg(F.sum("length").alias("n")).collect()
+    assert {r.doc_id for r in pieces} == {*range(8), 20} and {r.n for r in pieces if r.doc_id in (7, 20)} == {1}
+    assert all(r.round_trip for r in piece_codec.piece_digests(docs, PIECES).collect())
+    cut = {r.doc_id: (r.n_words, r.n_removed) for r in substring_dedup.substring_digests(docs).collect()}
+    assert cut[1] == (200_001, 200_000) and cut[0] == (200_000, 0) and cut[2] == (1, 0) and cut[3] == (0, 0)

@@ -5,7 +5,7 @@ from pyspark.sql import functions as F
 
 from tests.llm.common import corpus, documents
 from tests.llm.test_operators import brute_links, duck
-from quillon.llm import line_dedup, substring_dedup
+from quillon.llm import quality, substring_dedup
 
 SF = "/root/testdata/sf0.01"
 
@@ -44,9 +44,49 @@ def test_dedup_stages(spark):
     assert {r.doc_id for r in cut.collect() if r.text != before[r.doc_id]} == removed
 
 
-def test_run_packs_what_is_left(spark):
-    out = corpus_pipeline.run(spark, "/root/testdata/sf0.001")
-    assert out.columns == ["doc_id", "piece", "start", "length", "ids_crc32", "sequence_id", "offset"] and 0 < out.count()
+def test_run_is_the_stages_by_brute_force(spark):
+    """run() over a whole table against plain Python, from the classifier's decisions on."""
+    import zlib
+    from collections import defaultdict
+
+    import numpy as np
+    import public_tokenizers
+    from tokenizers import Tokenizer
+
+    sf = "/root/testdata/sf0.001"
+    docs = spark.read.parquet(f"{sf}/documents.parquet")
+    model = quality.train_quality(docs, spark.read.parquet(f"{sf}/labels.parquet"))
+    rows = sorted((r.doc_id, r.text) for r in quality.with_quality(docs, model).where("score >= 0.3").collect())
+    assert 0 < len(rows) < docs.count()
+    places = defaultdict(list)
+    for doc, text in rows:
+        lines = text.split("\n")
+        for i in range(len(lines) - 2):
+            places[tuple(lines[i : i + 3])].append((doc, i))
+    after = []
+    for doc, text in rows:
+        lines = text.split("\n")
+        gone = {j for i in range(len(lines) - 2) if places[tuple(lines[i : i + 3])][0] != (doc, i) for j in range(i, i + 3)}
+        after.append((doc, "\n".join(x for i, x in enumerate(lines) if i not in gone)))
+    kept = {d for d, low, _ in brute_links(after) if d == low}
+    after = [(d, t) for d, t in after if d in kept]
+    low = {}
+    for doc, text in after:
+        w = text.encode().split()
+        for i in range(len(w) - 12):
+            low.setdefault(tuple(w[i : i + 13]), doc)
+    tokenizer, want = Tokenizer.from_file(public_tokenizers.path("word_bpe_49k.json")), []
+    for doc, text in after:
+        w = text.encode().split()
+        gone = {j for i in range(len(w) - 12) if low[tuple(w[i : i + 13])] < doc for j in range(i, i + 13)}
+        if gone:
+            text = b" ".join(x for i, x in enumerate(w) if i not in gone).decode()
+        ids = [*tokenizer.encode(text, add_special_tokens=False).ids, 1]
+        for k, at in enumerate(range(0, len(ids), 4096)):
+            want.append((doc, k, at, len(ids[at : at + 4096]), zlib.crc32(np.array(ids[at : at + 4096], "<u4").tobytes())))
+    out = corpus_pipeline.run(spark, sf)
+    assert out.columns == ["doc_id", "piece", "start", "length", "ids_crc32", "sequence_id", "offset"]
+    assert sorted(tuple(r)[:5] for r in out.collect()) == sorted(want)
 
 
 def test_stages_keep_columns_of_any_name(spark):
