@@ -314,7 +314,7 @@ def components(edges: DataFrame) -> DataFrame:
 
 
 def jaccard_join(docs: DataFrame, words: int = WORDS, similarity: tuple[int, int] = SIMILARITY, recall: float = RECALL, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """doc_id, class_id, copy_id, n_links of every row with an id.
+    """doc_id, class_id, copy_id, n_links, text_key, stays of every row with an id.
 
     copy_id is the smallest doc_id with the same shingle set; class_id the smallest doc_id that
     links lead to; n_links how many other rows have a similarity (a fraction: num, den) or more
@@ -322,7 +322,9 @@ def jaccard_join(docs: DataFrame, words: int = WORDS, similarity: tuple[int, int
     recall or more, and is then decided on the whole sets. A null text is empty; texts without
     words are copies of each other. Rows with a null id take no part and are left out. Rows that
     repeat a doc_id with the same text are copies; with another text they are documents of their
-    own under one id.
+    own under one id, told apart by text_key, the xxhash64 of the text (null: empty). stays is true for the one
+    document of a class that has its smallest id (the smallest text_key, if several do), in each row that repeats it. An
+    empty table gives an empty result; other columns are not read.
     """
     rows = docs.where(F.col(id_col).isNotNull()).select(F.col(id_col).cast("long").alias("doc_id"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
     rows = rows.withColumn("own_text", F.xxhash64("text"))
@@ -330,14 +332,16 @@ def jaccard_join(docs: DataFrame, words: int = WORDS, similarity: tuple[int, int
     signed = checkpointed(_signatures(rows, words, runs))
     least = F.min(F.struct("doc_id", "own_text", "size", "paths")).alias("least")
     first = signed.groupBy("a", "b").agg(least, F.count(F.lit(1)).alias("copies"))
-    first = checkpointed(first.select(F.struct(F.col("least.doc_id").alias("id"), "a", "b").alias("rep"), "copies", "least.own_text", "least.size", "least.paths").withColumnRenamed("own_text", "rep_text"))
-    classes = first.select("rep", F.col("rep.a").alias("a"), F.col("rep.b").alias("b"), "copies")
+    first = checkpointed(first.select(F.struct(F.col("least.doc_id").alias("id"), "a", "b").alias("rep"), "copies", F.col("least.own_text").alias("rep_text"), "least.size", "least.paths"))
+    classes = first.select("rep", "rep_text", F.col("rep.a").alias("a"), F.col("rep.b").alias("b"), "copies")
     tasks = _tasks(_leaves(first, runs), runs).join(first.select("rep", "rep_text", "copies"), "rep")
     links = checkpointed(_links(rows, tasks, words, similarity))
     counts = links.groupBy("rep").agg(F.sum("n").alias("n"))
     labels = components(links.where("rep <> root").select(F.col("rep").alias("u"), F.col("root").alias("v")))
     found = classes.join(counts, "rep", "left").join(labels, classes["rep"] == labels["node"], "left")
-    found = found.select(F.struct("a", "b").alias("keys"), F.coalesce("label", "rep")["id"].alias("class_id"), F.col("rep.id").alias("copy_id"), (F.col("copies") - 1 + F.coalesce("n", F.lit(0))).alias("n_links"))
+    lowest = F.coalesce(F.col("label") == F.col("rep"), F.lit(True))
+    found = found.select(F.struct("a", "b").alias("keys"), F.coalesce("label", "rep")["id"].alias("class_id"), F.when(lowest, F.col("rep_text")).alias("rep_text"), F.col("rep.id").alias("copy_id"), (F.col("copies") - 1 + F.coalesce("n", F.lit(0))).alias("n_links"))
     many = checkpointed(first.where(F.col("copies") > HEAVY_ROWS).select(F.struct("rep.a", "rep.b").alias("keys")))
-    rows = signed.select("doc_id", F.struct("a", "b").alias("keys"))
-    return looked_up(rows, found, "keys", many, F.lit(64)).select("doc_id", "class_id", "copy_id", "n_links")
+    rows = signed.select("doc_id", "own_text", F.struct("a", "b").alias("keys"))
+    stays = (F.col("doc_id") == F.col("class_id")) & F.coalesce(F.col("own_text") == F.col("rep_text"), F.lit(False))
+    return looked_up(rows, found, "keys", many, F.lit(64)).select("doc_id", "class_id", "copy_id", "n_links", F.col("own_text").alias("text_key"), stays.alias("stays"))

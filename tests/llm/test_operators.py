@@ -586,8 +586,12 @@ def test_jaccard_join_tells_texts_of_one_id_apart(spark, monkeypatch, leaf, bloc
         extra.append((0, " ".join(f"o{k}x{i}" for i in range(50))))
     docs = documents(spark, [], extra=[*extra, extra[1], (200, extra[0][1])]).repartition(3)
     rows = [(r.doc_id, r.text) for r in docs.collect()]
-    got = sorted((r.doc_id, r.class_id, r.n_links) for r in jaccard_join.jaccard_join(docs).collect())
+    found = jaccard_join.jaccard_join(docs).collect()
+    got = sorted((r.doc_id, r.class_id, r.n_links) for r in found)
     assert got == brute_links(rows)
+    # one document of each of the 18 groups stays, in one row, but for the repeated one
+    staying = [(r.doc_id, r.text_key) for r in found if r.stays]
+    assert len(set(staying)) == 18 and all(r.doc_id == r.class_id for r in found if r.stays)
 
 
 def test_pairs_at_the_threshold_meet_with_the_recall():
