@@ -35,7 +35,7 @@ def _restored(result: DataFrame, docs: DataFrame, recount: bool = False) -> Data
 def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """The documents that the quality classifier, trained on the labelled ones among them, accepts.
 
-    A null text is judged as an empty one.
+    A null text is judged as an empty one; rows that repeat an id are judged by their own texts.
     """
     model = train_quality(docs, spark.read.parquet(f"{sf_dir}/labels.parquet"))
     return _restored(with_quality(_apart(docs), model).where("predicted = 1"), docs)
@@ -47,14 +47,16 @@ def line_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The smallest doc_id of each group of documents that links of similarity 0.8 or more connect.
+    """One document of each group that links of similarity 0.8 or more connect: that of the smallest doc_id.
 
-    Rows without an id belong to no group and stay; rows that repeat an id stay or go together.
+    Rows without an id belong to no group and stay; rows that repeat an id are judged by their own texts, and
+    those that repeat a text with it are one document, which stays or goes in all of them.
     """
-    others = jaccard_join(docs).where("doc_id <> class_id").select(F.col("doc_id").alias("__other")).distinct()
-    others = measured(checkpointed(others), F.lit(16))
+    others = jaccard_join(docs).where("NOT stays").select(F.col("doc_id").alias("__other"), F.col("text_key").alias("__text")).distinct()
+    others = measured(checkpointed(others), F.lit(32))
     rows = _apart(docs)
-    return _restored(rows.join(others, rows["doc_id"].cast("long") == others["__other"], "left_anti"), docs)
+    same = (rows["doc_id"].cast("long") == others["__other"]) & (F.xxhash64(F.coalesce(rows["text"], F.lit(""))) == others["__text"])
+    return _restored(rows.join(others, same, "left_anti"), docs)
 
 
 def substring_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -63,7 +65,10 @@ def substring_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
 
 
 def packing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The pieces of all documents, each with its place in a sequence of 4096 tokens."""
+    """The pieces of all documents, each with its place in a sequence of 4096 tokens.
+
+    A null or empty text is one piece of the end id alone; a null id stays null; an empty table gives an empty result.
+    """
     return pack_documents(docs, public_tokenizers.path("word_bpe_49k.json"))
 
 
