@@ -8,6 +8,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from quillon.llm._workers import lean
+
 FOLDS = 5
 #: Characters of text that a training sample has at most, beside its bound on rows.
 TRAINING_CHARS = 200_000_000
@@ -51,5 +53,5 @@ def trained(rows: DataFrame, fit: Callable[[list[str], list[int]], bytes], most_
 
     # neither by id nor by class
     ordered = rows.repartition(1).sortWithinPartitions(F.xxhash64("id"), "id", "text")
-    model = ordered.select("text", "y").mapInArrow(run, "model binary").first()  # none without rows
+    model = ordered.select("text", "y").mapInArrow(lean(run), "model binary").first()  # none without rows
     return bytes(model["model"]) if model else fit([], [])

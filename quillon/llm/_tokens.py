@@ -9,10 +9,10 @@ import pyarrow as pa
 import pyarrow.compute as pc
 
 #: Entries that a cache keeps at most, and characters of a pre-token worth keeping.
-CACHE_ENTRIES = 600_000
+CACHE_ENTRIES = 300_000
 CACHE_CHARS = 48
 #: Documents are worked on in slices of about so many characters.
-SLICE_CHARS = 2_000_000
+SLICE_CHARS = 1_000_000
 
 
 def slices(batch: pa.RecordBatch, text: str = "text") -> Iterator[tuple[pa.RecordBatch, list[str]]]:
@@ -56,13 +56,3 @@ class Distinct:
             return
         for w in [w for w in self.kept if len(w) > CACHE_CHARS]:
             del self.kept[w]
-
-
-_models: dict[tuple, object] = {}
-
-
-def once(key: tuple, make: Callable[[], object]) -> object:
-    """One object for each key and Python worker; workers serve many tasks."""
-    if key not in _models:
-        _models[key] = make()
-    return _models[key]

@@ -23,6 +23,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from quillon.llm._shared import checkpointed
+from quillon.llm._workers import lean
 
 #: Vectors of a candidate block and of the first one, bytes of a chunk of queries, and pairs resolved at a time.
 CANDIDATES, FIRST, CHUNK_BYTES, PAIRS = 8192, 4096, 16_000_000, 1 << 18
@@ -215,13 +216,13 @@ def top_k(vectors: DataFrame, k: int = 5, every: int = 50, scale: int = 256, id_
         for d, (at, v) in _vectors(chunk.column("v").combine_chunks(), scale).items() if len(ids) else ():
             asked[d] = ids[at], v, np.full(len(at), -np.inf)
         # the floors that one block leaves are those of all others
-        first = rows.limit(FIRST).mapInArrow(_searching(asked, k, scale), _FOUND)
+        first = rows.limit(FIRST).mapInArrow(lean(_searching(asked, k, scale)), _FOUND)
         kth = first.groupBy("query_id", "own").agg(F.min("score").alias("low"), F.count(F.lit(1)).alias("n")).where(F.col("n") == k)
         floors = {(r["query_id"], r["own"]): r["low"] for r in kth.collect()}
         for d, (own, v, floor) in asked.items():
             floor[:] = [floors.get(key, -np.inf) for key in zip(own.tolist(), _keys(v).tolist())]
         shared = vectors.sparkSession.sparkContext.broadcast(asked)
-        found.append(checkpointed(rows.mapInArrow(_searching(shared, k, scale), _FOUND)))
+        found.append(checkpointed(rows.mapInArrow(lean(_searching(shared, k, scale)), _FOUND)))
         shared.destroy()
     best = found[0]
     for more in found[1:]:

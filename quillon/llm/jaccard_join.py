@@ -26,6 +26,7 @@ from pyspark.sql import functions as F
 
 from quillon.llm._hashing import Texts, mix, span_hashes
 from quillon.llm._shared import HEAVY_ROWS, checkpointed, heavy_keys, looked_up, measured
+from quillon.llm._workers import lean
 
 WORDS, SIMILARITY, RECALL = 5, (4, 5), 0.999
 DEPTH, LEAF, BLOCK = 3, 512, 256
@@ -117,7 +118,7 @@ def _signatures(rows: DataFrame, words: int, runs: int) -> DataFrame:
                 n = len(p)
                 yield pa.RecordBatch.from_arrays([ids.slice(at.start, n), own.slice(at.start, n), pa.array(a), pa.array(c), pa.array(np.diff(limits), pa.int64()), pa.ListArray.from_arrays(pa.array(np.arange(n + 1, dtype=np.int32) * p.shape[1]), pa.array(p.ravel()))], names=["doc_id", "own_text", "a", "b", "size", "paths"])
 
-    return rows.mapInArrow(run, "doc_id long, own_text long, a long, b long, size long, paths array<long>")
+    return rows.mapInArrow(lean(run), "doc_id long, own_text long, a long, b long, size long, paths array<long>")
 
 
 def _exploded(classes: DataFrame, runs: int) -> DataFrame:
@@ -288,8 +289,8 @@ def _links(docs: DataFrame, tasks: DataFrame, words: int, similarity: tuple[int,
             close(key, group)
         yield flush()
 
-    spread_out = rows.mapInArrow(spread, f"leaf long, run int, i int, j int, own int, rep {_REP}, copies long, places binary, codes binary")
-    return spread_out.repartition("leaf", "i", "j").sortWithinPartitions("leaf", "run", "i", "j").mapInArrow(compare, f"rep {_REP}, n long, root {_REP}")
+    spread_out = rows.mapInArrow(lean(spread), f"leaf long, run int, i int, j int, own int, rep {_REP}, copies long, places binary, codes binary")
+    return spread_out.repartition("leaf", "i", "j").sortWithinPartitions("leaf", "run", "i", "j").mapInArrow(lean(compare), f"rep {_REP}, n long, root {_REP}")
 
 
 def components(edges: DataFrame) -> DataFrame:

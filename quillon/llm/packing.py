@@ -23,7 +23,8 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from quillon.llm._shared import checkpointed
-from quillon.llm._tokens import CACHE_ENTRIES, once, slices
+from quillon.llm._tokens import CACHE_ENTRIES, slices
+from quillon.llm._workers import lean, once
 
 END_ID = 1
 _BLANKS = str.maketrans("\t\n\r", "   ")
@@ -125,7 +126,7 @@ def token_pieces(docs: DataFrame, tokenizer_file: str, capacity: int = 4096, id_
                 n = len(columns[0])
                 yield pa.RecordBatch.from_arrays([*(pa.array(c, pa.int64()) for c in columns), pa.array([task] * n, pa.int32())], names=["doc_id", "piece", "start", "length", "ids_crc32", "nth", "task"])
 
-    return rows.mapInArrow(run, "doc_id long, piece long, start long, length long, ids_crc32 long, nth long, task int")
+    return rows.mapInArrow(lean(run, keeps=True), "doc_id long, piece long, start long, length long, ids_crc32 long, nth long, task int")
 
 
 def fullest(available: dict[int, int], room: int) -> list[tuple[int, int]]:
@@ -212,7 +213,7 @@ def pack_pieces(pieces: DataFrame, capacity: int = 4096) -> DataFrame:
             )
 
     ranked = pieces.join(before, ["task", "length"]).select("doc_id", "piece", "start", "length", "ids_crc32", (F.col("base") + F.col("nth")).alias("rank"))
-    return ranked.mapInArrow(run, "doc_id long, piece int, start long, length long, ids_crc32 long, sequence_id long, offset long")
+    return ranked.mapInArrow(lean(run), "doc_id long, piece int, start long, length long, ids_crc32 long, sequence_id long, offset long")
 
 
 def pack_documents(docs: DataFrame, tokenizer_file: str, capacity: int = 4096, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:

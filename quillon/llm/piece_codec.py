@@ -22,7 +22,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from quillon.llm._tokens import Distinct, once, slices
+from quillon.llm._tokens import Distinct, slices
+from quillon.llm._workers import lean, once
 from quillon.llm.token_counts import _META, _spans_blanks, pre_tokens
 
 #: What an unknown character costs a unigram path below the lowest score.
@@ -208,7 +209,7 @@ def encode_pieces(docs: DataFrame, model_file: str, id_col: str = "doc_id", text
                 ends = np.cumsum([0, *(len(x) // 4 for x in ids)], dtype=np.int32)
                 yield pa.RecordBatch.from_arrays([part.column("doc_id"), pa.ListArray.from_arrays(pa.array(ends), pa.array(np.frombuffer(b"".join(ids), "<i4")))], names=["doc_id", "ids"])
 
-    return rows.mapInArrow(run, "doc_id long, ids array<int>")
+    return rows.mapInArrow(lean(run, keeps=True), "doc_id long, ids array<int>")
 
 
 def decode_pieces(encoded: DataFrame, model_file: str, id_col: str = "doc_id", ids_col: str = "ids") -> DataFrame:
@@ -230,7 +231,7 @@ def decode_pieces(encoded: DataFrame, model_file: str, id_col: str = "doc_id", i
                 texts.append(codec.decode(flat.astype("<u4").tobytes()).decode(errors="replace"))
             yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(texts, pa.string())], names=["doc_id", "text"])
 
-    return rows.mapInArrow(run, "doc_id long, text string")
+    return rows.mapInArrow(lean(run, keeps=True), "doc_id long, text string")
 
 
 def piece_digests(docs: DataFrame, model_file: str, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -253,4 +254,4 @@ def piece_digests(docs: DataFrame, model_file: str, id_col: str = "doc_id", text
                     names=["doc_id", "n_ids", "ids_crc32", "decoded_sha256", "round_trip"],
                 )
 
-    return rows.mapInArrow(run, "doc_id long, n_ids long, ids_crc32 long, decoded_sha256 string, round_trip boolean")
+    return rows.mapInArrow(lean(run, keeps=True), "doc_id long, n_ids long, ids_crc32 long, decoded_sha256 string, round_trip boolean")

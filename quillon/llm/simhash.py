@@ -18,6 +18,7 @@ from pyspark.sql import functions as F
 
 from quillon.llm._hashing import Texts, mix
 from quillon.llm._shared import HEAVY_ROWS, checkpointed, looked_up
+from quillon.llm._workers import lean
 
 BITS = 128
 _U = np.uint64
@@ -98,7 +99,7 @@ def document_fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str
             for ids, texts in _cut(zip(batch.column("doc_id").to_pylist(), batch.column("text").to_pylist())):
                 yield pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.array(_hex(fingerprints(texts)), pa.string())], names=["doc_id", "fingerprint"])
 
-    return rows.mapInArrow(run, "doc_id long, fingerprint string")
+    return rows.mapInArrow(lean(run), "doc_id long, fingerprint string")
 
 
 def _cut(rows: Iterator[tuple]) -> Iterator[tuple[list, list[str]]]:
@@ -178,7 +179,7 @@ def edited_fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str =
                 names=["doc_id", "n_chars", "edited_sha256", "fingerprint", "edited_fingerprint", "near_edited", "near_next"],
             )
 
-    return dealt.mapInArrow(run, _EDITED)
+    return dealt.mapInArrow(lean(run), _EDITED)
 
 
 _EDITED = "doc_id long, n_chars long, edited_sha256 string, fingerprint string, edited_fingerprint string, near_edited double, near_next double"

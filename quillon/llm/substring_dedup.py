@@ -31,10 +31,11 @@ from pyspark.sql import functions as F
 
 from quillon.llm._hashing import Texts, mix, span_hashes
 from quillon.llm._shared import checkpointed, measured
+from quillon.llm._workers import give_back, lean
 
 WINDOW = 13
 #: Words of a minimizer, code points of a slice, and bytes of text for each block.
-GRAM, SLICE, BLOCK_BYTES = 3, 2_000_000, 4_000_000
+GRAM, SLICE, BLOCK_BYTES = 3, 1_000_000, 4_000_000
 #: Windows from which on a block is split by the windows themselves, and the counters that say so: blocks share
 #: them beyond that number, and are split together, which is exact too.
 BLOCK_WINDOWS, COUNTERS = 1_000_000, 1 << 20
@@ -271,7 +272,7 @@ def _parts(rows: DataFrame, blocks: int, window: int) -> np.ndarray:
         some = np.flatnonzero(windows)
         yield pa.RecordBatch.from_arrays([pa.array(some), pa.array(windows[some])], names=["block", "n"])
 
-    counted = rows.select("text").mapInArrow(count, "block long, n long").groupBy("block").agg(F.sum("n").alias("n"))
+    counted = rows.select("text").mapInArrow(lean(count), "block long, n long").groupBy("block").agg(F.sum("n").alias("n"))
     parts = np.ones(counters, np.int64)
     usual = BLOCK_WINDOWS * -(-blocks // counters)
     for r in counted.where(F.col("n") > usual).collect():  # at most one row for each counter
@@ -323,9 +324,12 @@ def duplicate_spans(docs: DataFrame, window: int = WINDOW, id_col: str = "doc_id
         else:
             join = lambda c, kind: np.frombuffer(b"".join(column(c)), kind)
             doc, key, start, stop = _parse_block(doc, key, join("places", "<u4").astype(np.int64), join("sizes", np.uint8).astype(np.int64), join("prints", "<u8"), window)
-        return pa.table([pa.array(x, pa.int64()) for x in (doc, key, start, stop)], names=["doc_id", "text_key", "start", "stop"])
+        found = pa.table([pa.array(x, pa.int64()) for x in (doc, key, start, stop)], names=["doc_id", "text_key", "start", "stop"])
+        del doc, key, start, stop
+        give_back()
+        return found
 
-    sent = rows.mapInArrow(send, "block long, docs binary, places binary, sizes binary, prints binary")
+    sent = rows.mapInArrow(lean(send), "block long, docs binary, places binary, sizes binary, prints binary")
     # tasks of a few blocks each, however many partitions the session shuffles into
     tasks = max(int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions")), min(blocks, MOST_TASKS))
     return sent.repartition(tasks, "block").groupBy("block").applyInArrow(parse, "doc_id long, text_key long, start long, stop long")
@@ -385,7 +389,7 @@ def dedup_substrings(docs: DataFrame, window: int = WINDOW, id_col: str = "doc_i
     from pyspark.sql import types as T
 
     schema = T.StructType([*plain.schema.fields, T.StructField("n_words", T.LongType()), T.StructField("n_removed", T.LongType())])
-    return _with_spans(plain, window, id_col, text_col).select(*names, "__spans").mapInArrow(run, schema)
+    return _with_spans(plain, window, id_col, text_col).select(*names, "__spans").mapInArrow(lean(run), schema)
 
 
 def substring_digests(docs: DataFrame, window: int = WINDOW, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -397,7 +401,7 @@ def substring_digests(docs: DataFrame, window: int = WINDOW, id_col: str = "doc_
             yield pa.RecordBatch.from_arrays([b.column("doc_id"), pa.array([n for n, _, _ in cut], pa.int64()), pa.array([r for _, r, _ in cut], pa.int64()), pa.array([hashlib.sha256(k).hexdigest() for _, _, k in cut], pa.string())], names=["doc_id", "n_words", "n_removed", "kept_sha256"])
 
     rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
-    return _with_spans(rows, window, "doc_id", "text").select("doc_id", "text", "__spans").mapInArrow(run, "doc_id long, n_words long, n_removed long, kept_sha256 string")
+    return _with_spans(rows, window, "doc_id", "text").select("doc_id", "text", "__spans").mapInArrow(lean(run), "doc_id long, n_words long, n_removed long, kept_sha256 string")
 
 
 #: The same rows in DuckDB, on the windows' texts.

@@ -19,7 +19,8 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from quillon.llm._tokens import Distinct, once, slices
+from quillon.llm._tokens import Distinct, slices
+from quillon.llm._workers import lean, once
 
 _RUN = re.compile(" +[^ ]*")
 _META = "▁"
@@ -79,4 +80,4 @@ def token_counts(docs: DataFrame, model_file: str, limit: int = 4096, id_col: st
                 size = pc.fill_null(pc.cast(pc.binary_length(part.column("text")), pa.int64()), 0)
                 yield pa.RecordBatch.from_arrays([part.column("doc_id"), size, n, pc.greater(n, limit)], names=["doc_id", "n_bytes", "n_tokens", "over_limit"])
 
-    return rows.mapInArrow(run, "doc_id long, n_bytes long, n_tokens long, over_limit boolean")
+    return rows.mapInArrow(lean(run, keeps=True), "doc_id long, n_bytes long, n_tokens long, over_limit boolean")

@@ -17,6 +17,7 @@ from pyspark.sql import functions as F
 
 from quillon.llm._hashing import SIGNS, Texts, ngrams
 from quillon.llm._labelled import TRAINING_CHARS, fold, trained, training_rows
+from quillon.llm._workers import lean
 
 HASH_BITS = 20
 #: Words at i and at i + these: words, pairs, and pairs that skip one.
@@ -141,4 +142,4 @@ def scored(rows: DataFrame, model: bytes, load, score, threshold: float, schema,
                     start, total = i, 0
                 total += n
 
-    return rows.mapInArrow(run, f"{schema}, score double, predicted int")
+    return rows.mapInArrow(lean(run), f"{schema}, score double, predicted int")
