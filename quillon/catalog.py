@@ -13,8 +13,10 @@ from quillon.functions import dates as D
 from quillon.functions import numbers as N
 from quillon.functions import text as X
 from quillon.operators import blocks, compare, dependency, derive, labels, profile, sequence
+from quillon.operators._lineage import scratch
 from quillon.plans import archive, codec
-from quillon.sources import bytes_in, delimited, json_rows, stats
+from quillon.sources import bytes_in, delimited, json_rows, stats, writers
+from quillon.streaming.blocks import archive_stream
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -76,9 +78,14 @@ SELECT position, col, CASE WHEN num THEN 'NUM' WHEN n_distinct <= least(65536, g
 # -- column model -----------------------------------------------------------------
 
 
-@query(_classify_sql("lineitem", LINEITEM))
+@query(f"SELECT position, col, kind, dec, n, CASE WHEN kind = 'DICT' THEN n_distinct END AS n_distinct FROM ({_classify_sql('lineitem', LINEITEM)})")
 def classify_columns(spark, sf_dir):
-    return profile.classified(profile.column_profile(_t(spark, sf_dir, "lineitem")))
+    return profile.column_kinds(_t(spark, sf_dir, "lineitem"))
+
+
+@query(f"SELECT position, col, kind, dec, n, CASE WHEN kind = 'DICT' THEN n_distinct END AS n_distinct FROM ({_classify_sql('documents', DOCUMENTS)})")
+def classify_documents(spark, sf_dir):
+    return profile.column_kinds(_t(spark, sf_dir, "documents"))
 
 
 @query(_classify_sql("orders", ORDERS))
@@ -181,7 +188,18 @@ def tree_root(spark, sf_dir):
     return spark.createDataFrame([(c, i) for i, (c, _) in enumerate(placed) if i == 0], "column_name string, place int")
 
 
-@query()
+def _tree_sql() -> str:
+    """The tree step by step: an offer of the largest gain, or else a further root."""
+    parts = [_GAINS, f"e AS (SELECT col, floor(h * 1048576 + 0.5) AS q FROM (SELECT col, {_ENT} FROM ({_H}) GROUP BY col))", "t0 AS (SELECT 0 AS place, col AS column_name, CAST(NULL AS VARCHAR) AS parent FROM e ORDER BY q, col LIMIT 1)"]
+    for k in range(1, len(DICTIONARIES)):
+        done = " UNION ALL ".join(f"SELECT column_name FROM t{i}" for i in range(k))
+        parts.append(f"""t{k} AS (SELECT {k} AS place, column_name, parent FROM (
+  SELECT child AS column_name, parent, 0 AS r, -gain_q AS a FROM g WHERE gain_q > 52428 AND parent IN ({done}) AND child NOT IN ({done})
+  UNION ALL SELECT col, NULL, 1, q FROM e WHERE col NOT IN ({done})) ORDER BY r, a, column_name, parent LIMIT 1)""")
+    return "%s %s" % (", ".join(parts), " UNION ALL ".join(f"SELECT CAST(place AS INTEGER) AS place, column_name, parent FROM t{k}" for k in range(len(DICTIONARIES))))
+
+
+@query(_tree_sql())
 def parent_tree(spark, sf_dir):
     placed = dependency.parents(_t(spark, sf_dir, "lineitem"), DICTIONARIES)
     return spark.createDataFrame([(i, c, p) for i, (c, p) in enumerate(placed)], "place int, column_name string, parent string")
@@ -621,6 +639,70 @@ def statistics_roundtrip(spark, sf_dir):
     return rows.groupBy("block").applyInArrow(run, "kind string, n long, mismatches long").groupBy("kind").agg(F.sum("n").alias("n"), F.sum("mismatches").alias("mismatches"))
 
 
+def _cells(table: str, key: str, names: list[str]) -> str:
+    return f"SELECT {key} AS rid, " + ", ".join(f"coalesce(CAST({c} AS VARCHAR), '') AS {c}" for c in names) + f" FROM {table}"
+
+
+def _table(spark, sf_dir, name: str, key: str, columns: list[str]) -> delimited.Table:
+    rows = _t(spark, sf_dir, name)
+    texts = [N.to_text(F.col(c), rows.schema[c].dataType).alias(f"c{i}") for i, c in enumerate(columns)]
+    return delimited.Table(rows.select(F.lit(name).alias("file"), F.col(key).cast("long").alias("rid"), *texts), columns)
+
+
+def _named(table: delimited.Table) -> DataFrame:
+    return table.rows.select("rid", *[F.col(f"c{i}").alias(c) for i, c in enumerate(table.names)])
+
+
+@query(_cells("orders", "o_orderkey", ORDERS))
+def archive_files(spark, sf_dir):
+    """An archive that was written, read again: its cells."""
+    path = scratch(spark)
+    archive.write_archive(_table(spark, sf_dir, "orders", "o_orderkey", ORDERS), path, ROWS)
+    return _named(archive.read_archive(spark, path))
+
+
+@query(_cells("orders", "o_orderkey", ORDERS).replace("o_orderkey AS rid, ", ""))
+def archive_stream_files(spark, sf_dir):
+    """An archive that a stream wrote, read again: its cells."""
+    path = scratch(spark)
+    stream = spark.readStream.schema(_t(spark, sf_dir, "orders").schema).parquet(f"{sf_dir}/orders*.parquet").select(*ORDERS)
+    run = archive_stream(stream, path, scratch(spark), ROWS)
+    run.awaitTermination()
+    return _named(archive.read_archive(spark, path)).drop("rid")
+
+
+@query(_cells("documents", "doc_id", DOCUMENTS))
+def delimited_files(spark, sf_dir):
+    """A delimited file that was written, read again: its cells."""
+    path = scratch(spark) + ".csv"
+    writers.write_delimited(_table(spark, sf_dir, "documents", "doc_id", DOCUMENTS), path)
+    return _named(writers.read_table(spark, path))
+
+
+@query(_cells("documents", "doc_id", DOCUMENTS))
+def json_lines_files(spark, sf_dir):
+    """A JSON Lines file that was written, read again: its cells."""
+    path = scratch(spark) + ".jsonl"
+    writers.write_json_lines(_table(spark, sf_dir, "documents", "doc_id", DOCUMENTS), path)
+    return _named(writers.read_table(spark, path))
+
+
+@query(_cells("events", "event_id", EVENTS))
+def json_files(spark, sf_dir):
+    """A JSON file that was written, read again: its cells."""
+    path = scratch(spark) + ".json"
+    writers.write_json(_table(spark, sf_dir, "events", "event_id", EVENTS), path)
+    return _named(writers.read_table(spark, path))
+
+
+@query(_cells("events", "event_id", EVENTS).replace("event_id AS rid, ", ""))
+def parquet_files(spark, sf_dir):
+    """A Parquet file of text that was written, read again: its cells."""
+    path = scratch(spark) + ".parquet"
+    writers.write_parquet(_table(spark, sf_dir, "events", "event_id", EVENTS), path)
+    return _named(writers.read_table(spark, path)).drop("rid")
+
+
 @query()
 def size_estimate(spark, sf_dir):
     """block, col, n_bytes, estimate, probe: what each text column of a block would compress to, by estimate and by measure."""

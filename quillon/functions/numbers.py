@@ -51,7 +51,13 @@ def is_plain(cell: Column) -> Column:
 
 def decimals(cell: Column) -> Column:
     """Digits after the point, null where the cell is no plain decimal."""
-    return F.when(is_plain(cell), F.length(F.regexp_extract(cell, r"\.([0-9]+)$", 1)).cast("long"))
+    return F.when(is_plain(cell), places(cell))
+
+
+def places(plain: Column) -> Column:
+    """Digits after the point of a plain decimal."""
+    point = F.instr(plain, ".")
+    return F.when(point == 0, F.lit(0)).otherwise(F.length(plain) - point).cast("long")
 
 
 def mantissa(cell: Column) -> Column:
@@ -62,7 +68,8 @@ def mantissa(cell: Column) -> Column:
 
 def is_canonical(cell: Column) -> Column:
     """Whether the cell is what its mantissa and its number of decimals are written as."""
-    return F.coalesce(matches(cell, CANONICAL) & ~matches(cell, NEGATIVE_ZERO) & mantissa(cell).isNotNull(), F.lit(False))
+    short = F.length(cell) <= MOST_DECIMALS  # whatever its digits, within the reach
+    return F.coalesce(matches(cell, CANONICAL) & ~(cell.startswith("-0") & matches(cell, NEGATIVE_ZERO)) & (short | mantissa(cell).isNotNull()), F.lit(False))
 
 
 def scaled(cell: Column, places: Column | int) -> Column:

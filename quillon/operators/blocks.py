@@ -30,11 +30,6 @@ def planned_rows(sample: DataFrame, budget: int, workers: int, verify: bool = Tr
 
 
 def block_stats(sizes: DataFrame, size: str = "bytes") -> DataFrame:
-    """n_blocks, least, middle (the upper of two) and most. Blocks are few beside rows; still no task gets them all."""
-    n = sizes.agg(F.count(F.lit(1)).alias("n"), F.min(size).alias("least"), F.max(size).alias("most"))
-    at = sizes.groupBy(size).agg(F.count(F.lit(1)).alias("k"))
-    from pyspark.sql import Window
-
-    below = at.withColumn("upto", F.sum("k").over(Window.orderBy(size)))
-    middle = below.crossJoin(F.broadcast(n)).where(F.col("upto") > F.floor(F.col("n") / 2)).agg(F.min(size).alias("middle"))
-    return n.crossJoin(F.broadcast(middle)).select(F.col("n").alias("n_blocks"), "least", "middle", "most")
+    """n_blocks, least, middle (the upper of two) and most, counted in each task first."""
+    middle = F.expr(f"percentile_disc(0.5) WITHIN GROUP (ORDER BY `{size}` DESC)")
+    return sizes.agg(F.count(F.lit(1)).alias("n_blocks"), F.min(size).alias("least"), middle.cast(sizes.schema[size].dataType).alias("middle"), F.max(size).alias("most"))

@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from quillon.operators._lineage import measured
+
 
 def missing_range(value: Column, ranges: list[tuple[float, float]]) -> Column:
     """The number of the first range that holds the value, null if none does."""
@@ -22,8 +24,8 @@ def missing_tag(value: Column, ranges: list[tuple[float, float]], first: str = "
 
 def labelled(df: DataFrame, column: str, labels: DataFrame) -> DataFrame:
     """df with `label`: what the first label set row (key, label, nth) says of the column's value, null if nothing."""
-    first = labels.groupBy("key").agg(F.min_by("label", "nth").alias("label"))
-    return df.join(F.broadcast(first), df[column] == first["key"], "left").drop("key")
+    first = measured(labels.groupBy("key").agg(F.min_by("label", "nth").alias("label")), F.coalesce(F.octet_length("label"), F.lit(0)) + 32)
+    return df.join(first, df[column] == first["key"], "left").drop("key")
 
 
 def losses(df: DataFrame, column: str, ranges: list[tuple[float, float]], integral: bool = True, width: int = 8, text: str | None = None) -> DataFrame:

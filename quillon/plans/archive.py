@@ -6,6 +6,7 @@ import json
 from collections import Counter
 
 import pyarrow as pa
+from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -54,8 +55,19 @@ def write_archive(table: Table, path: str, rows_per_block: int = ROWS_PER_BLOCK,
     """blocks/ and, last, plan/ with the names: an archive without a plan is not finished."""
     spark = table.rows.sparkSession
     encode(table, rows_per_block, verify).write.option("compression", "uncompressed").parquet(f"{path}/blocks")
-    plan = json.dumps({"v": codec.VERSION, "names": table.names, "rows_per_block": rows_per_block})
-    spark.createDataFrame([(plan,)], "plan string").coalesce(1).write.parquet(f"{path}/plan")
+    write_plan(spark, path, table.names, rows_per_block)
+
+
+def write_plan(spark: SparkSession, path: str, names: list[str], rows_per_block: int) -> None:
+    """What reading needs beside the blocks; one that is there already must say the same."""
+    plan = {"v": codec.VERSION, "names": names, "rows_per_block": rows_per_block}
+    try:
+        own = _plan(spark, path)
+    except AnalysisException:  # there is none
+        spark.createDataFrame([(json.dumps(plan),)], "plan string").coalesce(1).write.parquet(f"{path}/plan")
+        return
+    if own != plan:
+        raise codec.Damaged(f"the archive at {path} has other columns or blocks")
 
 
 def _plan(spark: SparkSession, path: str) -> dict:

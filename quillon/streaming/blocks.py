@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
 from quillon.functions import numbers as N
-from quillon.plans.archive import encode
+from quillon.plans.archive import encode, write_plan
 from quillon.sources.delimited import Table
 
 
@@ -15,9 +15,12 @@ def archive_stream(stream: DataFrame, path: str, checkpoint: str, rows_per_block
     """Starts a query that takes what is there and writes each micro-batch's rows as blocks of `path`/blocks.
 
     Order within a micro-batch is that of the source's partitions; `file` names the micro-batch.
-    A batch that runs again replaces what it wrote before.
+    A batch that runs again replaces what it wrote before. The plan is written first, since a stream has no end: what
+    read_archive finds at any time are the blocks of the batches that are done. A stream with other columns, or other
+    rows per block, than the archive has is refused.
     """
     names = stream.columns
+    write_plan(stream.sparkSession, path, names, rows_per_block)
     kinds = {f.name: f.dataType for f in stream.schema.fields}
 
     def write(batch: DataFrame, number: int) -> None:

@@ -144,3 +144,30 @@ def test_names_sizes_and_labels(spark):
 def test_block_sizes(spark):
     s = blocks.block_stats(spark.createDataFrame([(x,) for x in (5, 1, 9, 7)], "bytes long")).first()
     assert (s.n_blocks, s.least, s.middle, s.most) == (4, 1, 7, 9)
+
+
+def test_kinds_of_wide_and_hard_tables(spark):
+    wide = spark.range(900).select(*[((F.col("id") * (i + 1)) % (3 + i % 7)).alias(f"c{i}") for i in range(130)], F.concat(F.lit("t"), "id").alias("text"), F.when(F.col("id") % 2 == 0, F.col("id") % 5).alias("holes"))
+    got = {r.col: (r.kind, r.dec, r.n_distinct) for r in profile.column_kinds(wide).collect()}
+    assert len(got) == 132 and all(got[f"c{i}"] == ("NUM", 0, None) for i in range(130))
+    assert got["text"] == ("TEXT", None, None) and got["holes"] == ("DICT", None, 6)
+    assert profile.column_kinds(wide.limit(0)).count() == 0 and profile.column_kinds(wide.select()).count() == 0
+    same = {r.col: (r.kind, r.dec) for r in profile.classified(profile.column_profile(wide.select("c1", "text", "holes"))).collect()}
+    assert same == {c: got[c][:2] for c in same}
+
+
+def test_gains_of_wide_tables_are_those_of_narrow_ones(spark, monkeypatch):
+    monkeypatch.setattr(dependency, "BATCH_SETS", 7)
+    monkeypatch.setattr(dependency, "BATCH_COLUMNS", 4)
+    df = spark.range(200).select(*[((F.col("id") * (i + 3)) % (2 + i)).alias(f"a.{i}") for i in range(9)])
+    got = {(r.parent, r.child): r.gain_q for r in dependency.gain_matrix(df, df.columns).collect()}
+    monkeypatch.undo()
+    assert got == {(r.parent, r.child): r.gain_q for r in dependency.gain_matrix(df, df.columns).collect()} and len(got) == 72
+    many = spark.range(50).select(*[(F.col("id") % (2 + i)).alias(f"c{i}") for i in range(200)])
+    assert dependency.column_entropies(many, many.columns).count() == 200
+
+
+def test_systematic_samples(spark, monkeypatch):
+    monkeypatch.setattr(dependency, "SAMPLE_ROWS", 100)
+    for n, left in ((50, 50), (199, 199), (200, 100), (1000, 100), (1050, 105)):
+        assert dependency.sampled(spark.range(n), "id").count() == left

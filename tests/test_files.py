@@ -177,7 +177,10 @@ def test_streamed_archive(spark, tmp_path):
     source = str(tmp_path / "in")
     spark.range(300).selectExpr("id", "concat('k', id % 5) AS k").repartition(3).write.parquet(source)
     archive_stream(spark.readStream.schema("id long, k string").parquet(source), str(tmp_path / "out"), str(tmp_path / "state"), 64).awaitTermination(120)
-    back = archive.decode(spark.read.parquet(str(tmp_path / "out" / "blocks")), ["id", "k"], 64)
+    back = archive.read_archive(spark, str(tmp_path / "out"))
+    assert back.names == ["id", "k"] and archive.info(spark, str(tmp_path / "out"))["rows"] == 300
+    with pytest.raises(codec.Damaged):
+        archive_stream(spark.readStream.schema("id long, other string").parquet(source), str(tmp_path / "out"), str(tmp_path / "again"), 64)
     assert sorted((int(r.c0), r.c1) for r in back.rows.collect()) == [(i, f"k{i % 5}") for i in range(300)]
 
 
