@@ -58,20 +58,28 @@ def _planned(table, budget: float, verify: bool) -> int:
     return blocks.planned_rows(blocks.row_bytes(table.rows.select(F.col("rid"), *columns), "rid"), int(budget * 1e9), 4, verify).first()["rows_per_block"]
 
 
+#: Formats whose files are kept as their bytes.
+ORIGINALS = ("dta", "sav", "zsav", "xpt", "por", "sas7bdat")
+
+
 def run(arguments: argparse.Namespace) -> None:
     if arguments.command == "version":
         print(VERSION)
         return
-    from quillon.plans import archive
+    from quillon.plans import archive, originals
     from quillon.sources import stats, writers
     from quillon.sources.bytes_in import Refused, format_of
 
     spark = _session()
     if arguments.command in ("compress", "stream-compress"):
+        target = arguments.output or f"{arguments.file}.qln"
+        if format_of(arguments.file) in ORIGINALS:  # their bytes are kept, so that they come back as they are
+            originals.write_originals(spark, arguments.file, target)
+            print(f"{target}: the original bytes of {arguments.file}")
+            return
         table = writers.read_table(spark, arguments.file, arguments.encoding)
         verify = not arguments.no_verify
         rows = arguments.rows or (_planned(table, arguments.budget, verify) if arguments.command == "stream-compress" else archive.ROWS_PER_BLOCK)
-        target = arguments.output or f"{arguments.file}.qln"
         archive.write_archive(table, target, rows, verify)
         found = archive.info(spark, target)
         print(f"{target}: {found['rows'] or 0:,} rows, {found['blocks']:,} blocks, {found['bytes'] or 0:,} bytes")
@@ -79,6 +87,13 @@ def run(arguments: argparse.Namespace) -> None:
         target = arguments.output or arguments.archive.removesuffix(".qln")
         if os.path.exists(target) and not arguments.output:
             raise Refused(f"{target} is there already; name another file with -o")
+        if format_of(target) in ORIGINALS:
+            found = originals.read_originals(spark, arguments.archive).first()
+            part = f"{target}.part"
+            with open(part, "wb") as f:
+                f.write(found["content"])
+            os.replace(part, target)
+            return
         writers.write_table(archive.read_archive(spark, arguments.archive), target)
     elif arguments.command == "convert":
         kinds = ("dta", "sav", "zsav", "xpt", "por")

@@ -69,3 +69,13 @@ def decoded(raw: bytes, encoding: str | None = None) -> str:
     except UnicodeDecodeError as e:
         at = skip + e.start
         raise Refused(f"byte 0x{raw[at]:02x} at {at} is not {codec}") from None
+
+
+def strict_text(raw: bytes, encoding: str) -> str:
+    """The text of a field, or a refusal that names the byte and its place in the field."""
+    try:
+        return raw.decode(encoding)
+    except UnicodeDecodeError as e:
+        raise Refused(f"byte 0x{raw[e.start]:02x} at {e.start} of a field is not {encoding}") from None
+    except LookupError:
+        raise Refused(f"{encoding} is no known encoding") from None

@@ -11,7 +11,7 @@ import struct
 
 import numpy as np
 
-from quillon.sources.bytes_in import Refused
+from quillon.sources.bytes_in import Refused, strict_text
 from quillon.sources.stats import Dataset, Variable
 
 #: The first 32 bytes of every file.
@@ -147,7 +147,7 @@ def _parsed(raw: bytes) -> Dataset:
         index, start, length = reference
         if not length:
             return ""
-        return texts[min(index, len(texts) - 1)][start : start + length].decode(encoding, "replace").rstrip(" \0")
+        return strict_text(texts[min(index, len(texts) - 1)][start : start + length], encoding).rstrip(" \0")
 
     for p in range(pages):
         page = raw[header + p * page_size : header + (p + 1) * page_size]
@@ -193,7 +193,7 @@ def _parsed(raw: bytes) -> Dataset:
         variables.append(v)
         part = np.ascontiguousarray(table[:, start : start + width])
         if v.text:
-            columns.append([r.tobytes().decode(encoding, "replace").rstrip(" \0") for r in part])
+            columns.append([strict_text(r.tobytes(), encoding).rstrip(" \0") for r in part])
             continue
         whole = np.zeros((n, 8), np.uint8)
         if e == "<":

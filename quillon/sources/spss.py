@@ -7,7 +7,7 @@ import zlib
 
 import numpy as np
 
-from quillon.sources.bytes_in import Refused
+from quillon.sources.bytes_in import Refused, strict_text
 from quillon.sources.stats import Dataset, Variable
 
 #: The system-missing double, the lowest and the highest, and display formats by number.
@@ -95,7 +95,7 @@ def parse(raw: bytes) -> Dataset:
         else:
             raise Refused(f"a record of type {kind}")
     encoding = more.get(20, b"").decode("ascii", "replace").strip() or {65001: "utf-8", 1252: "cp1252", 28591: "latin-1"}.get(struct.unpack(e + "8i", more[3])[7] if len(more.get(3, b"")) == 32 else 1252, "cp1252")
-    text = lambda b: b.decode(encoding, "strict" if encoding.lower() in ("utf-8", "utf8") else "replace").rstrip(" \0")
+    text = lambda b: strict_text(b, encoding).rstrip(" \0")
     pairs = lambda b: dict(x.split("=", 1) for x in text(b).split("\t") if "=" in x)
     long_names = pairs(more.get(13, b""))
     very_long = {k: int(w.rstrip("\0")) for k, w in (x.split("=", 1) for x in text(more.get(14, b"")).replace("\0", "").split("\t") if "=" in x)}

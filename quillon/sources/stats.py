@@ -31,6 +31,7 @@ class Variable:
     shown: str = ""  # the display format
     labels: str = ""  # the name of its value labels
     missing: list[tuple[float, float]] = field(default_factory=list)  # user-missing ranges
+    single: bool = False  # stored as a float of 32 bits
 
 
 @dataclass
@@ -54,9 +55,21 @@ class Dataset:
 
 def shortest(x: float) -> str:
     """The shortest text that reads back as the double; whole numbers below 1e15 without a point."""
+    if x == 0:
+        return "-0" if math.copysign(1, x) < 0 else "0"
     return str(int(x)) if x == math.floor(x) and abs(x) < 1e15 else repr(x)
 
 
+def shortest_single(x: float) -> str:
+    """The text of 6 to 9 digits that reads back as the float of 32 bits."""
+    if x and math.isfinite(x):
+        for digits in range(6, 10):
+            near = float(f"{x:.{digits}g}")
+            if np.float32(near) == np.float32(x):
+                return shortest(near)
+    return shortest(x)
+
+
 def _civil(days: float) -> str | None:
     if days != math.floor(days):
         return None
@@ -96,7 +109,8 @@ def rendered(data: Dataset) -> list[list[str]]:
             out.append(list(c))
             continue
         kind = kind_of(data.family, v.shown)
-        out.append(["" if tag == "" else f".{tag}" if tag else shown(x, kind, data.family) if math.isfinite(x) else "" for x, tag in zip(c[0].tolist(), c[1])])
+        text = shortest_single if v.single and kind not in ("date", "datetime", "time") else lambda x: shown(x, kind, data.family)
+        out.append(["" if tag == "" else f".{tag}" if tag else text(x) if math.isfinite(x) else "" for x, tag in zip(c[0].tolist(), c[1])])
     return out
 
 
@@ -249,6 +263,19 @@ def read_stats_text(spark: SparkSession, path: str) -> Table:
     return Table(_files(spark, path).mapInArrow(run, columns), names, schema)
 
 
+def count_stats(spark: SparkSession, path: str) -> DataFrame:
+    """file, rows, variables: what each file holds, without its cells."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            for file, raw in zip(b.column("path").to_pylist(), b.column("content")):
+                data = parse(raw.as_py())
+                yield pa.RecordBatch.from_arrays([pa.array([file]), pa.array([data.rows], pa.int64()), pa.array([len(data.variables)], pa.int64())], names=["file", "rows", "variables"])
+
+    parse = parser(format_of(path))
+    return _files(spark, path).mapInArrow(run, "file string, rows long, variables long")
+
+
 def text_losses(spark: SparkSession, path: str) -> list[tuple[str, int]]:
     """What copies of the files as text lose, summed over them."""
     parse = parser(format_of(path))

@@ -322,3 +322,51 @@ def test_old_stata_files(release, order):
     assert d.sets == {"yes": {0.0: "no", 1.0: "yes"}} and d.variables[0].label == "an x" and d.label == "a file" and d.variables[3].labels == "yes"
     with pytest.raises(Refused):
         stata.parse(raw[:200])
+
+
+@pytest.mark.parametrize("kind,module", [("xpt", transport), ("dta", stata), ("sav", spss), ("por", portable)])
+def test_originals_come_back_byte_for_byte(spark, tmp_path, kind, module):
+    from quillon.plans import originals
+
+    raw = module.written(stats.translated(data(), kind)[0])
+    (tmp_path / f"one.{kind}").write_bytes(raw)
+    source, path = str(tmp_path / f"one.{kind}"), str(tmp_path / "kept")
+    originals.write_originals(spark, source, path, 100)
+    back = originals.read_originals(spark, path).collect()
+    assert [bytes(r.content) for r in back] == [raw]
+    widths = {r.width for r in spark.read.parquet(path + "/parts").select("width").collect()}
+    assert (max(widths) > 0) == (kind == "dta")
+    parts = spark.read.parquet(path + "/parts").where("part <> 1")
+    parts.write.parquet(str(tmp_path / "torn" / "parts"))
+    spark.read.parquet(path + "/plan").write.parquet(str(tmp_path / "torn" / "plan"))
+    with pytest.raises(Exception, match="missing or damaged|not what it was"):
+        originals.read_originals(spark, str(tmp_path / "torn")).collect()
+    counts = stats.count_stats(spark, source).first()
+    assert (counts.rows, counts.variables) == (3, 5)
+
+
+def test_floats_and_signs_as_text():
+    assert [stats.shortest(x) for x in (-0.0, 0.0, -3.0, 0.1, 1e15)] == ["-0", "0", "-3", "0.1", "1000000000000000.0"]
+    import numpy as np
+
+    for x in (0.1, 16777216.0, 3.14159274, 1e-7, 123456.789, -0.3):
+        single = float(np.float32(x))
+        text = stats.shortest_single(single)
+        assert np.float32(float(text)) == np.float32(x) and len(text.replace("-", "").replace(".", "").lstrip("0")) <= 14
+    assert stats.shortest_single(float(np.float32(0.1))) == "0.1" and stats.shortest_single(-0.0) == "-0"
+
+
+def test_stata_119_and_wrong_bytes():
+    raw = stata.written(stats.translated(data(), "dta")[0])
+    newer = raw.replace(b"<release>118", b"<release>119")
+    at = newer.index(b"<K>") + 3
+    newer = newer[: at + 2] + b"\0\0" + newer[at + 2 :]  # the number of variables has four bytes
+    at = newer.index(b"<map>") + 5
+    import struct
+
+    offsets = [x + 2 if i > 0 and x else x for i, x in enumerate(struct.unpack("<14Q", newer[at : at + 112]))]
+    newer = newer[:at] + struct.pack("<14Q", *offsets) + newer[at + 112 :]
+    assert stats.rendered(stata.parse(newer)) == stats.rendered(stata.parse(raw))
+    assert stata._long_key(1, 2, 119, "<") == b"\1\0\0\2\0\0\0\0" and stata._long_key(1, 2, 118, ">") == b"\0\1\0\0\0\0\0\2"
+    with pytest.raises(Exception, match="byte 0xff at"):
+        stata.parse(raw.replace("bé".encode(), b"b\xff\xff"))
