@@ -25,6 +25,8 @@ from quillon.operators import compare, dependency, derive
 
 MAGIC, VERSION = b"QLN1", 1
 MOST_ORDER, EXCEPTION_PERCENT = 4, 5
+#: Bytes that a stream of a block can hold.
+MOST_BYTES = 1 << 30
 _INTS = [{"id": lzma.FILTER_LZMA2, "preset": 6, "lc": 0, "lp": 2, "pb": 2}]
 _TEXT = [{"id": lzma.FILTER_LZMA2, "preset": 6, "lc": 4, "lp": 0, "pb": 1}]
 _canonical, _minus_zero = re.compile(CANONICAL), re.compile(NEGATIVE_ZERO)
@@ -362,11 +364,18 @@ def plan_of(block: bytes) -> dict:
     return plan
 
 
-def _plain(raw: bytes, filters: list) -> bytes:
+def _plain(raw: bytes, filters: list, most: int = MOST_BYTES) -> bytes:
+    """What a stream holds; one that would become longer than `most`, or ends early, is refused before it fills the worker."""
+    stream = lzma.LZMADecompressor(lzma.FORMAT_RAW, filters=filters)
     try:
-        return lzma.decompress(raw, lzma.FORMAT_RAW, filters=filters)
+        out = stream.decompress(raw, most + 1)
     except lzma.LZMAError as e:
         raise Damaged(str(e)) from None
+    if len(out) > most:
+        raise Damaged(f"a stream holds more than {most} bytes")
+    if not stream.eof or stream.unused_data:
+        raise Damaged("a stream does not end where it should")
+    return out
 
 
 def decode_block(block: bytes) -> tuple[list[str], list[list[str]]]:

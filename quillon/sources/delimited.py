@@ -99,7 +99,10 @@ def read_delimited(spark: SparkSession, path: str, delimiter: str | None = None,
     quotes counted. Rows are numbered from 0 within their file. An empty input has no columns.
     """
     files = _files(spark, path)
-    head = files.orderBy("path").select("path", F.substring("content", 1, _HEAD).alias("head"), F.length("content").alias("n")).first()
+    first_path = files.agg(F.min("path")).first()[0]  # no file is read for that
+    head = None
+    if first_path is not None:
+        head = spark.read.format("binaryFile").load(first_path).select("path", F.substring("content", 1, _HEAD).alias("head"), F.length("content").alias("n")).first()
     if head is None or not head["n"]:
         return Table(spark.createDataFrame([], "file string, rid long"), [])
     reason = refusal(head["path"], bytes(head["head"]))

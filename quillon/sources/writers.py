@@ -48,9 +48,10 @@ def _put(spark: SparkSession, lines: DataFrame, path: str) -> None:
             jvm.org.apache.hadoop.io.IOUtils.copyBytes(read, out, 1 << 20, False)
             read.close()
         out.close()
-        fs.delete(target, False)
-        if not fs.rename(whole, target):
-            raise OSError(f"{path} could not be written")
+        # over a file that is there: it is the old one or the new one at any time
+        replace = spark.sparkContext._gateway.new_array(jvm.org.apache.hadoop.fs.Options.Rename, 1)
+        replace[0] = getattr(jvm, "org.apache.hadoop.fs.Options$Rename").OVERWRITE
+        jvm.org.apache.hadoop.fs.FileContext.getFileContext(target.toUri() if target.toUri().getScheme() else fs.getUri(), conf).rename(fs.makeQualified(whole), fs.makeQualified(target), replace)
     finally:
         fs.delete(folder, True)
 

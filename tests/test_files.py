@@ -370,3 +370,22 @@ def test_stata_119_and_wrong_bytes():
     assert stata._long_key(1, 2, 119, "<") == b"\1\0\0\2\0\0\0\0" and stata._long_key(1, 2, 118, ">") == b"\0\1\0\0\0\0\0\2"
     with pytest.raises(Exception, match="byte 0xff at"):
         stata.parse(raw.replace("bé".encode(), b"b\xff\xff"))
+
+
+def test_long_streams_are_refused_before_they_fill_a_worker():
+    import lzma
+
+    raw = lzma.compress(b"a" * 50_000_000, lzma.FORMAT_RAW, filters=codec._TEXT)
+    assert len(raw) < 100_000 and len(codec._plain(raw, codec._TEXT)) == 50_000_000
+    for part, most in ((raw, 1_000_000), (raw[:-20], 1 << 30), (raw + b"x", 1 << 30)):
+        with pytest.raises(codec.Damaged):
+            codec._plain(part, codec._TEXT, most)
+
+
+def test_writing_over_a_file(spark, tmp_path):
+    path = str(tmp_path / "twice.csv")
+    for rows in ("a,b\n1,2\n", "a,b\n3,4\n5,6\n"):
+        t = writers.read_table(spark, put(tmp_path, "in.csv", rows))
+        writers.write_delimited(t, path)
+        with open(path) as f:
+            assert f.read() == rows

@@ -54,3 +54,20 @@ def test_imports_without_the_pipeline(tmp_path):
     shutil.copy(f"{root}/__spark_entry__.py", tmp_path)
     out = subprocess.run([sys.executable, "-c", "import __spark_entry__ as e; assert len(e.queries()) == len(__import__('quillon.catalog', fromlist=['x']).queries()); print('fine')"], cwd=tmp_path, capture_output=True, text=True, env={**os.environ, "PYTHONPATH": str(tmp_path)})
     assert "fine" in out.stdout, out.stderr
+
+
+def test_queries_run_without_the_pipeline(tmp_path):
+    """One query of the library, and the pipeline's operators without corpus_pipeline.py."""
+    import shutil
+
+    root = os.path.dirname(os.path.dirname(os.path.abspath(__file__)))
+    shutil.copytree(f"{root}/quillon", tmp_path / "quillon", ignore=shutil.ignore_patterns("__pycache__"))
+    shutil.copy(f"{root}/__spark_entry__.py", tmp_path)
+    code = "import __spark_entry__ as e; q = e.queries(); assert 'pipeline' not in q; print(any(n.startswith('op1_') for n in q)); from pyspark.sql import SparkSession; s = SparkSession.builder.master('local[2]').config('spark.ui.enabled', 'false').getOrCreate(); print(len(e.entry(s).collect()))"
+    env = {**os.environ, "PYTHONPATH": str(tmp_path)}
+    out = subprocess.run([sys.executable, "-c", code], cwd=tmp_path, capture_output=True, text=True, env=env)
+    had = os.path.isdir(f"{root}/quillon/llm")
+    assert out.stdout.split() == [str(had), "11"], out.stderr
+    shutil.rmtree(tmp_path / "quillon" / "llm", ignore_errors=True)
+    out = subprocess.run([sys.executable, "-c", code], cwd=tmp_path, capture_output=True, text=True, env=env)
+    assert out.stdout.split() == ["False", "11"], out.stderr
