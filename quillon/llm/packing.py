@@ -13,7 +13,7 @@ from __future__ import annotations
 
 import re
 import zlib
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from struct import pack
 
 import numpy as np
@@ -23,16 +23,19 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from quillon.llm._shared import checkpointed
-from quillon.llm._tokens import CACHE_ENTRIES, slices
+from quillon.llm._tokens import slices
 from quillon.llm._workers import lean, once
 
 END_ID = 1
+#: Words and parts that a worker keeps at most.
+WORDS_KEPT = 300_000
 _BLANKS = str.maketrans("\t\n\r", "   ")
 #: Words whose normalization and pre-tokens are plain: Latin letters (composed, with a lower case of one
 #: letter), ASCII digits and ASCII signs but the apostrophe, which starts contractions.
 _LETTERS = "A-Za-zÀ-ÖØ-öø-įı-ɏ"
 _SIGNS = r"!-&(-/:-@\[-`{-~"
 _PLAIN = re.compile(f"[{_LETTERS}0-9{_SIGNS}]*")
+_PLAIN_TEXT = re.compile(f"[{_LETTERS}0-9{_SIGNS} \\t\\n\\r]*")
 _PARTS = re.compile(f"[{_LETTERS}]+|[0-9]|[{_SIGNS}]+")
 
 
@@ -43,8 +46,21 @@ def _byte_alphabet() -> str:
     return "".join(chr(b if b in own else next(free)) for b in range(256))
 
 
+class _Parts(dict):
+    """Ids of the parts met, each distinct one worked out once by `work`."""
+
+    def __init__(self, work: Callable[[str], bytes]):
+        super().__init__()
+        self.work = work
+
+    def __missing__(self, part: str) -> bytes:
+        self[part] = ids = self.work(part)
+        return ids
+
+
 class WordTokenizer(dict):
-    """Ids of whole texts from those of their blank-separated words, one tokenizer per worker.
+    """Ids of whole texts from those of their blank-separated words, one tokenizer per worker; a text of plain words
+    only is cut into their parts at once.
 
     A text may be cut at ASCII blanks because the file's normalizer and pre-tokenizer
     treat what stands on both sides of one apart; any other file is used on whole texts.
@@ -66,13 +82,13 @@ class WordTokenizer(dict):
         self.by_word = kinds == ["Sequence", "NFC", "Replace", "Lowercase", "Sequence", "Split", "ByteLevel"] and not any(t["lstrip"] or t["rstrip"] or t["single_word"] or " " in t["content"] for t in parts["added_tokens"])
         self.specials = tuple(t["content"] for t in parts["added_tokens"])
         self.alphabet = _byte_alphabet()
-        self.parts: dict[str, bytes] = {}
+        self.parts = _Parts(self._part)
 
     def __missing__(self, word: str) -> bytes:
         if word.isascii() and word.isalpha():
-            ids = self.parts.get(low := word.lower()) or self._part(low)
+            ids = self.parts[word.lower()]
         elif _PLAIN.fullmatch(word) and not ("<" in word and any(s in word for s in self.specials)):
-            ids = b"".join([self.parts.get(x) or self._part(x) for x in _PARTS.findall(word.lower())])
+            ids = b"".join([self.parts[x] for x in _PARTS.findall(word.lower())])
         else:
             ids = self._whole(word)
         self[word] = ids
@@ -80,8 +96,7 @@ class WordTokenizer(dict):
 
     def _part(self, part: str) -> bytes:
         known = [t.id for t in self.tokenizer.model.tokenize(part if part.isascii() else part.encode().decode("latin-1").translate(self.alphabet))]
-        self.parts[part] = ids = pack(f"<{len(known)}I", *known)
-        return ids
+        return pack(f"<{len(known)}I", *known)
 
     def _whole(self, text: str) -> bytes:
         known = self.tokenizer.encode(text, add_special_tokens=False).ids
@@ -91,11 +106,17 @@ class WordTokenizer(dict):
         """The ids of each text as bytes of little-endian unsigned 32-bit numbers."""
         if not self.by_word:
             return [self._whole(t) for t in texts]
-        if len(self) + len(self.parts) > CACHE_ENTRIES:
+        if len(self) + len(self.parts) > WORDS_KEPT:
             self.clear()
             self.parts.clear()
-        of = self.__getitem__
-        return [b"".join(map(of, (t.translate(_BLANKS) if "\t" in t or "\r" in t else t.replace("\n", " ")).split(" "))) for t in texts]
+        of, part = self.__getitem__, self.parts.__getitem__
+        out = []
+        for t in texts:
+            if _PLAIN_TEXT.fullmatch(t) and not ("<" in t and any(s in t for s in self.specials)):
+                out.append(b"".join(map(part, _PARTS.findall(t.lower()))))
+            else:
+                out.append(b"".join(map(of, (t.translate(_BLANKS) if "\t" in t or "\r" in t else t.replace("\n", " ")).split(" "))))
+        return out
 
 
 def token_pieces(docs: DataFrame, tokenizer_file: str, capacity: int = 4096, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
