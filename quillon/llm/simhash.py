@@ -31,8 +31,8 @@ RANGE_BYTES = 4_000_000
 #: Ranges at most, so that what the driver holds of them is bounded (larger ranges sort with spills), and keys
 #: drawn for each range that begins at one of them.
 MOST_RANGES, DRAWN = 20_000, 8
-#: Classes that share a block and are compared with each other at a time.
-NEAR_BLOCK = 128
+#: Classes that share a block and are compared with each other at a time: a sixteenth of them, within these bounds.
+NEAR_LEAST, NEAR_BLOCK = 64, 1024
 
 
 def _terms(texts: Texts) -> tuple[np.ndarray, np.ndarray]:
@@ -208,7 +208,7 @@ def near_counts(prints: DataFrame, radius: int = 3) -> DataFrame:
     blocks; a table for each block, with that block moved to the front as its key, holds every
     class; two fingerprints within the radius share a key in at least one table and are compared
     in the first such one. Exact: nothing within the radius is missed, nothing beyond it counts. Classes of a common
-    key are compared in pairs of blocks of NEAR_BLOCK, each a task's; what leaves it are counts, not pairs.
+    key are compared in pairs of blocks of NEAR_BLOCK at most, each by itself; what leaves it are counts, not pairs.
     Rows with a null fingerprint take no part; an empty table gives an empty result.
     """
     blocks = radius + 1
@@ -225,7 +225,7 @@ def near_counts(prints: DataFrame, radius: int = 3) -> DataFrame:
     table = classes.select("n", *words, F.posexplode(F.array(*[key(i) for i in range(blocks)])).alias("t", "key")).select("n", *words, F.struct("t", "key").alias("at"))
     sizes = checkpointed(table.groupBy("at").agg(F.count(F.lit(1)).alias("m")).where("m > 1"))
     heavy = checkpointed(sizes.where(F.col("m") > HEAVY_ROWS).select("at"))
-    several = looked_up(table, sizes, "at", heavy, F.lit(32)).withColumn("parts", F.ceil(F.col("m") / NEAR_BLOCK).cast("int"))
+    several = looked_up(table, sizes, "at", heavy, F.lit(32)).withColumn("parts", F.ceil(F.col("m") / F.least(F.lit(NEAR_BLOCK), F.greatest(F.lit(NEAR_LEAST), F.col("m") / 16))).cast("int"))
     several = several.withColumn("own", F.pmod(F.xxhash64(*words), F.col("parts")).cast("int")).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)))
     several = several.select("at.t", "at.key", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"), "own", "n", *words)
 

@@ -219,6 +219,7 @@ def test_votes_are_those_of_plain_loops():
 @pytest.mark.parametrize("block", [3, 1024])
 def test_all_fingerprints_within_the_radius(spark, monkeypatch, block):
     monkeypatch.setattr(simhash, "NEAR_BLOCK", block)
+    monkeypatch.setattr(simhash, "NEAR_LEAST", min(block, 64))
     rng = random.Random(3)
     base = [rng.getrandbits(128) for _ in range(6)]
     prints = [b ^ sum(1 << k for k in rng.sample(range(128), rng.randrange(6))) for b in base for _ in range(8)] + [base[0], base[0]]
