@@ -24,7 +24,7 @@ HASH_BITS = 20
 SHAPES = ((), (1,), (2,))
 ALPHA, BETA, L1, L2, EPOCHS = 2.0, 1.0, 20.0, 0.0, 10
 #: What an example of label 1 counts, since these are few.
-POSITIVE = 8.0
+POSITIVE = 5.0
 #: Labelled documents that training takes at most.
 TRAINING_ROWS = 20_000
 _SLICE = 400_000
