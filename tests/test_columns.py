@@ -131,6 +131,23 @@ def test_dates_as_text(spark):
     assert [r[0] for r in one(spark, [3661.0, 100 * 3600.0], T.DoubleType(), dates.clock(F.col("x")))] == ["01:01:01", "100:00:00"]
 
 
+def test_dates_after_9999(spark, tmp_path):
+    import duckdb
+
+    from quillon import catalog
+
+    days = [2932896.0 + 3653, 2932897.0 + 3653, 3e6, 1e8, -719529.0 + 3653, 3e9]
+    assert [r[0] for r in one(spark, days, T.DoubleType(), dates.iso_date(F.col("x"), "stata", dates.FAR_DATE))] == ["9999-12-31", "10000-01-01", "10173-09-20", "275750-09-13", None, None]
+    values = [5e14 + 0.125, 5e14 + 0.5, -5e14, 1e19]
+    assert [r[0] for r in one(spark, values, T.DoubleType(), dates.iso_datetime(F.col("x"), "stata", dates.FAR_TIME))] == ["17804-05-15 00:53:20.000125", "17804-05-15 00:53:20.0005", None, None]
+    assert [r[0] for r in one(spark, values, T.DoubleType(), dates.iso_datetime(F.col("x"), "stata"))] == [None] * 4
+    c = duckdb.connect()
+    c.sql(f"COPY (SELECT CAST(k AS BIGINT) AS c_custkey FROM (SELECT unnest([0, 29000, 29441, 29442, 64053, 90000, 173000, 899999]) AS k)) TO '{tmp_path}/customer.parquet' (FORMAT parquet)")
+    c.sql(f"CREATE VIEW customer AS SELECT * FROM '{tmp_path}/customer.parquet'")
+    want = sorted(c.sql(catalog.oracle_sql()["iso_date_render"]).fetchall())
+    assert sorted(map(tuple, catalog.iso_date_render(spark, str(tmp_path)).collect())) == want and None not in want[-1]
+
+
 def test_names_sizes_and_labels(spark):
     taken: set = set()
     assert [text.legal_name(n, taken, 8) for n in ("a b", "A_B", "1st", "", "a_b", "very_long_name")] == ["a_b", "A_B_2", "v1st", "v", "a_b_3", "very_lon"]
