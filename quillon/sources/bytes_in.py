@@ -41,7 +41,7 @@ def refusal(path: str, head: bytes) -> str | None:
     return next((f"this is {what}, not text" for magic, what in MAGIC.items() if head.startswith(magic)), None)
 
 
-def _codec(name: str) -> str:
+def codec_of(name: str) -> str:
     plain = name.lower().replace("_", "-")
     # without a mark, the two wide encodings are little-endian
     plain = {"utf-16": "utf-16-le", "utf-32": "utf-32-le"}.get(plain, plain)
@@ -57,7 +57,7 @@ def decoded(raw: bytes, encoding: str | None = None) -> str:
     if encoding is None:
         codec, skip = (marked[1], len(marked[0])) if marked else ("utf-8", 0)
     else:
-        codec = _codec(encoding)
+        codec = codec_of(encoding)
         mark = next((m for m, c in MARKS if codecs.lookup(c).name == codec), b"")
         skip = 0
         if codec in ("utf-16-le", "utf-32-le") and encoding.lower().replace("_", "-") in ("utf-16", "utf-32") and marked and marked[1][:6] == codec[:6]:

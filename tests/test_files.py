@@ -101,6 +101,42 @@ def test_lines_are_read_side_by_side(spark, tmp_path):
     assert delimited.read_delimited_lines(spark, put(tmp_path, "none.csv", "")).names == []
 
 
+@pytest.fixture
+def small_splits(spark):
+    before = {k: spark.conf.get(k) for k in ("spark.sql.files.maxPartitionBytes", "spark.sql.files.openCostInBytes")}
+    spark.conf.set("spark.sql.files.maxPartitionBytes", "150")
+    spark.conf.set("spark.sql.files.openCostInBytes", "150")
+    yield
+    for k, v in before.items():
+        spark.conf.set(k, v)
+
+
+def same(split, whole):
+    assert split is not None and split.names == whole.names and split.info == whole.info
+    assert split.rows.rdd.getNumPartitions() > whole.rows.rdd.getNumPartitions()
+    assert sorted(map(tuple, split.rows.collect())) == sorted(map(tuple, whole.rows.collect()))
+
+
+def test_delimited_files_are_read_by_all_tasks(spark, tmp_path, small_splits):
+    """Quotes that hold ends of lines, that are left open, that close early, any end of line, a mark or none."""
+    rng = random.Random(5)
+    header = ",".join(f"h{i}" for i in range(40)) + "\n"
+    for kind, parts in (("some", ["a", "é", '"', '""', ",", "\n", "\r\n", "\r", "x y", ',"', '"\n', '",', "word " * 5]), ("few", ["plain words\n", "b,c", "\n", '"quoted\nlines, of ""text"""\n', '5" pipe,'])):
+        folder = tmp_path / f"{kind}.csv"
+        folder.mkdir()
+        for i in range(5):
+            text = "".join(rng.choice(parts) for _ in range(rng.randrange(250)))
+            put(folder, f"{i:02d}.csv", ("\ufeff" if i % 5 == 1 else "") + header + text)
+        first = str(next(folder.glob("00.csv")))
+        for quoting in (True, False, None):
+            same(delimited._read_splits(spark, str(folder), first, None, None, quoting), delimited._read_whole(spark, str(folder), None, None, quoting))
+    for text in ('a,b\n1,"open and\n' + "all the rest\n" * 30, 'a,b\n1,"open and\n' + "all\n" * 90 + "the rest", 'a,"b\nc"\n' + "1,2\n" * 90):
+        path = put(tmp_path, "one.csv", text)
+        same(delimited._read_splits(spark, path, path, None, None, None), delimited._read_whole(spark, path, None, None, None))
+    with pytest.raises(Refused, match="byte 0xe9 at 129 is not utf-8"):
+        delimited.read_delimited(spark, put(tmp_path, "bad.csv", b"\xef\xbb\xbfa\nb" + b"1\n" * 61 + b"x\xe9\n" + b"2\n" * 50))
+
+
 def test_writers(spark, tmp_path):
     source = put(tmp_path, "t.csv", 'id,note\n1,"a, ""b"""\n2,"l\nm"\n3,tab\there\n')
     t = writers.read_table(spark, source)
