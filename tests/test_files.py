@@ -137,6 +137,32 @@ def test_delimited_files_are_read_by_all_tasks(spark, tmp_path, small_splits):
         delimited.read_delimited(spark, put(tmp_path, "bad.csv", b"\xef\xbb\xbfa\nb" + b"1\n" * 61 + b"x\xe9\n" + b"2\n" * 50))
 
 
+def test_json_files_are_read_by_all_tasks(spark, tmp_path, small_splits):
+    """Brackets and ends of line in strings, escapes, nesting, records longer than a split, any layout, a mark or none."""
+    rng = random.Random(6)
+    some = ["a", "é", "}", "{", "]", ",", "\n", '"', "\\", "😀", "}, {", '\\"}', "word " * 5]
+    value = lambda: rng.choice([1, None, True, [], {}, [{"k": ["}"]}, "x"], {"d": {"e": "{"}}, "}" * rng.randrange(400), "".join(rng.choice(some) for _ in range(rng.randrange(30)))])
+    for kind in ("json", "jsonl"):
+        folder = tmp_path / f"all.{kind}"
+        folder.mkdir()
+        for i in range(6):
+            records = [{f"k{rng.randrange(9)}": value() for _ in range(rng.randrange(5))} for _ in range((0, 1, 12, 12, 12, 30)[i])]
+            if kind == "json":
+                text = json.dumps(records, indent=(None, 1)[i % 2], ensure_ascii=i % 3 == 0) + " \n" * (i % 2)
+            else:
+                text = "".join(json.dumps(r, ensure_ascii=i % 3 == 0) + ("\n", "\r\n\n")[i % 2] for r in records)[: None if i % 2 else -1]
+            put(folder, f"{i}.{kind}", ("\ufeff" if i in (1, 4) else "") + text)
+        read = {"json": json_rows._read_arrays, "jsonl": json_rows._read_lines}[kind]
+        same(read(spark, str(folder), None), json_rows._read_whole(spark, str(folder), kind == "jsonl", None))
+    many = ",".join(f'{{"a": {i}}}' for i in range(60))
+    for bad, said in ((f"[{many}, 1, {many}]", "record 61"), (f"[{many} {many}]", "record 61"), (f"[{many},]", "record 61"), (f"[{many}] x", "record 61"), (f'[{many},{{"a": 1.2.3}}]', "of record 61"), (f"[{many}", "not JSON"), (f"[{many}}}]", "not JSON")):
+        with pytest.raises(Exception, match=said):
+            cells(json_rows.read_json(spark, put(tmp_path, "bad.json", bad)))
+    with pytest.raises(Refused, match="line 62 is no object"):
+        json_rows.read_json(spark, put(tmp_path, "bad.jsonl", '{"a": 1}\n\n' + '{"a": 1}\n' * 59 + "1\n" + '{"a": 1}\n' * 9))
+    assert json_rows.read_json(spark, put(tmp_path, "none.json", " [ ] ")).names == []
+
+
 def test_writers(spark, tmp_path):
     source = put(tmp_path, "t.csv", 'id,note\n1,"a, ""b"""\n2,"l\nm"\n3,tab\there\n')
     t = writers.read_table(spark, source)
