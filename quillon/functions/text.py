@@ -26,9 +26,11 @@ def json_string(cell: Column) -> Column:
     """A JSON string: quotes, backslashes and control characters escaped, all else as it is."""
     out = F.replace(F.replace(cell, F.lit("\\"), F.lit("\\\\")), F.lit('"'), F.lit('\\"'))
     short = {"\b": "\\b", "\f": "\\f", "\n": "\\n", "\r": "\\r", "\t": "\\t"}
+    rare = out
     for code in range(32):
         c = chr(code)
-        out = F.replace(out, F.lit(c), F.lit(short.get(c, f"\\u{code:04x}")))
+        rare = F.replace(rare, F.lit(c), F.lit(short.get(c, f"\\u{code:04x}")))
+    out = F.when(out.rlike(r"[\x00-\x1f]"), rare).otherwise(out)
     return F.concat(F.lit('"'), out, F.lit('"'))
 
 
