@@ -33,6 +33,13 @@ def with_blocks(df: DataFrame, rows_per_block: int) -> DataFrame:
     return df.withColumn(BLOCK, F.floor(F.col(ROW) / rows_per_block).cast("long"))
 
 
+def dealt(df: DataFrame, most: int = 5000) -> DataFrame:
+    """df with whole blocks dealt evenly, one to a task up to `most` blocks, for work by blocks that costs more than its rows
+    weigh: hashes would give some tasks several blocks and others none, and few tasks if the bytes are few."""
+    n = df.select(BLOCK).distinct().count()
+    return df.repartitionByRange(max(1, min(2 * n, 2 * most)), BLOCK)  # bounds closer than blocks, so that sampling joins none
+
+
 def _w(*order: str):
     return Window.partitionBy(BLOCK).orderBy(*(order or (ROW,)))
 

@@ -158,6 +158,16 @@ def test_names_sizes_and_labels(spark):
     assert [r[0] for r in one(spark, [5.0, 11.0, 15.0], T.DoubleType(), labels.missing_tag(F.col("x"), [(10, 12), (11, 20)]))] == [None, "a", "b"]
 
 
+def test_blocks_are_dealt_evenly(spark):
+    df = sequence.dealt(sequence.with_blocks(spark.range(40_000).withColumnRenamed("id", "rid"), 1000))
+    met = df.groupBy(F.spark_partition_id().alias("p")).agg(F.countDistinct("block").alias("blocks"), F.count("*").alias("n")).collect()
+    assert len(met) == 40 and {(r.blocks, r.n) for r in met} == {(1, 1000)}
+    assert sequence.dealt(df.where("false")).count() == 0
+    plan = df.groupBy("block").applyInArrow(lambda t: t.select(["block"]).slice(0, 1), "block long")
+    assert plan._jdf.queryExecution().executedPlan().toString().count("Exchange ") == 1  # none but the dealing
+    assert plan.count() == 40
+
+
 def test_block_sizes(spark):
     s = blocks.block_stats(spark.createDataFrame([(x,) for x in (5, 1, 9, 7)], "bytes long")).first()
     assert (s.n_blocks, s.least, s.middle, s.most) == (4, 1, 7, 9)

@@ -205,6 +205,19 @@ def test_blocks_come_back(n):
     assert data == codec.encode_block(names, columns)
 
 
+def test_long_texts_and_numbers_of_blocks():
+    rng = random.Random(3)
+    words = [f"w{i}" for i in range(20_000)]
+    cells = [" ".join(rng.choices(words, k=500)) for _ in range(1000)]
+    block = codec.encode_block(["t"], [cells])
+    assert codec.decode_block(block) == (["t"], [cells])
+    raw = "".join(c + "\n" for c in cells).encode()
+    assert len(raw) > codec.LONG_TEXT and block.endswith(codec.lzma.compress(raw, codec.lzma.FORMAT_RAW, filters=codec._LONG))
+    for places in (0, 1, 5, 18):
+        values = np.array([0, 7, -7, 10**18, 123456789, -(1 << 62), (1 << 62) - 1], np.int64)
+        assert codec.all_written(values, places) == [codec.written(v, places) for v in values.tolist()]
+
+
 def test_damaged_blocks_are_refused():
     data = codec.encode_block(list("abcdefghi"), block(120))
     rng = random.Random(1)
